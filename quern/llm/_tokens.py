@@ -12,12 +12,14 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
+from array import array
 
 import numpy as np
 
 #: Chunks kept in the memo of one Python worker, and the longest one kept; the
 #: memo is emptied when full, so memory stays bounded however large the input.
-MEMO_CHUNKS = 700_000
+MEMO_CHUNKS = 1_200_000
 MEMO_CHUNK_BYTES = 48
 #: Bytes of text encoded at a time, and new chunks joined into one encoder call.
 SLAB_BYTES = 4_000_000
@@ -42,6 +44,7 @@ class ChunkEncoder:
             self.joined = Tokenizer.from_file(path)
             self.mark, self.mark_id = special[-1]["content"], special[-1]["id"]
             self.marks = [t["content"].encode() for t in special]
+            self.model, self.letters = self.plain.model, _byte_letters()
         self.memo: dict[bytes, bytes] = {}
 
     def _whole(self, text: bytes) -> bytes:
@@ -82,9 +85,21 @@ class ChunkEncoder:
         return [b"".join(ids if None not in ids else [found[c] if x is None else x for c, x in zip(chunks, ids)]) for chunks, ids in zip(split, have)]
 
     def _ids(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        odd = [c for c in chunks if any(m in c for m in self.marks)]
-        out = {c: self._whole(c) for c in odd}
-        chunks = [c for c in chunks if c not in out] if odd else chunks
+        out, rest, tokenize, letters = {}, [], self.model.tokenize, self.letters
+        for c in chunks:
+            # A chunk of small letters is one piece: its bytes go to the merges as they are.
+            if c.isalpha() and c.islower():
+                out[c] = array("I", [t.id for t in tokenize(c.decode())]).tobytes()
+                continue
+            word = c.decode("utf-8", "replace")
+            if word.isalpha() and word.lower() == word and unicodedata.is_normalized("NFC", word):
+                out[c] = array("I", [t.id for t in tokenize(c.decode("latin-1").translate(letters))]).tobytes()
+            else:
+                rest.append(c)
+        chunks = rest
+        for c in [c for c in chunks if any(m in c for m in self.marks)]:
+            out[c] = self._whole(c)
+        chunks = [c for c in chunks if c not in out]
         joined = [self.mark.join([c.decode("utf-8", "replace") for c in chunks[k : k + JOIN]]) + self.mark for k in range(0, len(chunks), JOIN)]
         at = 0
         for e in self.joined.encode_batch_fast(joined, add_special_tokens=False):
@@ -97,6 +112,13 @@ class ChunkEncoder:
         return out
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it is visible, else the next free one."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: 256 + k for k, b in enumerate(hidden)}
+
+
 def _drops_white_space(spec: dict) -> bool:
     """Whether ids of a text are those of its chunks between ASCII white space."""
     parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [spec.get("pre_tokenizer") or {}])
@@ -106,7 +128,8 @@ def _drops_white_space(spec: dict) -> bool:
     pattern = (head.get("pattern") or {}).get("Regex", "")
     # Every alternative is made of letters, digits or a class without white space.
     safe = all(re.fullmatch(r"'[a-z]+|\[\\p\{[LN]\}\]\+?|\[\^\\s[^\]]*\]\+", p) for p in pattern.split("|"))
-    return bool(fixed and pattern and safe and head.get("type") == "Split" and head.get("behavior") == "Removed" and head.get("invert"))
+    bytewise = len(parts) == 2 and parts[1].get("type") == "ByteLevel" and not parts[1].get("add_prefix_space") and not parts[1].get("use_regex")
+    return bool(fixed and bytewise and pattern and safe and head.get("type") == "Split" and head.get("behavior") == "Removed" and head.get("invert"))
 
 
 def encoder(path: str) -> ChunkEncoder:

@@ -30,9 +30,9 @@ from quern.llm._common import cut, scratch, stored, texts_of
 
 END_ID = 1
 #: Tokens after which a block ends with the document it is in.
-BLOCK = 1 << 18
+BLOCK = 1 << 20
 SCALE = 20
-LANES, STEPS = 256, 256
+LANES, STEPS = 512, 512
 _LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<4sBIHIIII")
 _MAGIC = b"QANS"
