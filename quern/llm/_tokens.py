@@ -17,12 +17,13 @@ from array import array
 
 import numpy as np
 
-#: Chunks kept in the memo of one Python worker, and the longest one kept; the
-#: memo is emptied when full, so memory stays bounded however large the input.
-MEMO_CHUNKS = 1_200_000
+#: Chunks in a generation of a Python worker's memo, and the longest one kept. When a
+#: generation is full it becomes the old one and the one before goes, except for the
+#: chunks met again: memory stays bounded however large the input.
+MEMO_CHUNKS = 450_000
 MEMO_CHUNK_BYTES = 48
 #: Bytes of text encoded at a time, and new chunks joined into one encoder call.
-SLAB_BYTES = 4_000_000
+SLAB_BYTES = 12_000_000
 JOIN = 256
 
 _encoders: dict = {}
@@ -46,43 +47,75 @@ class ChunkEncoder:
             self.marks = [t["content"].encode() for t in special]
             self.model, self.letters = self.plain.model, _byte_letters()
         self.memo: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _whole(self, text: bytes) -> bytes:
         ids = self.plain.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.asarray(ids, dtype="<u4").tobytes()
 
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text; null and empty texts have none."""
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of an Arrow string array one after another, and how many each text has; null texts have none."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         if not self.splits:
-            return [self._whole(t) if t else b"" for t in texts]
-        out, slab, n = [], [], 0
-        for t in texts:
-            slab.append(t or b"")
-            n += len(slab[-1])
-            if n > SLAB_BYTES:
-                out += self._slab(slab)
-                slab, n = [], 0
-        return out + self._slab(slab)
-
-    def _slab(self, texts: list[bytes]) -> list[bytes]:
-        # Combining marks may compose with small letters only: such texts keep their case here.
-        split = [(t if b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
+            each = [self._whole(t) if t else b"" for t in texts.cast(pa.binary()).to_pylist()]
+            return np.frombuffer(b"".join(each), dtype="<u4"), np.array([len(x) // 4 for x in each], dtype=np.int64)
+        size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+        flat, counts, start = [], [], 0
+        while start < len(texts):
+            before = size[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(size, before + SLAB_BYTES)))
+            ids, n = self._slab(texts.slice(start, end - start).fill_null(""))
+            flat.append(ids)
+            counts.append(n)
+            start = end
+        return np.concatenate(flat or [np.zeros(0, "<u4")]), np.concatenate(counts or [np.zeros(0, np.int64)])
+
+    def _slab(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        small = pc.ascii_lower(texts)
+        raw = np.frombuffer(small.buffers()[2] or b"", dtype=np.uint8)
+        if ((raw == 0xCC) | (raw == 0xCD)).any():
+            # Combining marks may compose with small letters only: such texts keep their case here.
+            marked = [b"\xcc" in t or b"\xcd" in t for t in texts.cast(pa.binary()).to_pylist()]
+            small = pc.if_else(pa.array(marked), texts, small)
+        words = pc.ascii_split_whitespace(small)
+        coded = words.flatten().dictionary_encode()
+        at = coded.indices.to_numpy()
+        ids = self._chunks(coded.dictionary.cast(pa.binary()).to_pylist())
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        flat, first = np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(size) - size
+        n = size[at]
+        ends = np.cumsum(n)
+        out = flat[np.repeat(first[at] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        edge = np.concatenate([[0], ends])[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        return out, np.diff(edge)
+
+    def _chunks(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of different chunks."""
         if len(self.memo) > MEMO_CHUNKS:
-            self.memo.clear()
-        memo, found, have = self.memo, {}, []
-        for chunks in split:
-            have.append(list(map(memo.get, chunks)))
-        new = {c for chunks, ids in zip(split, have) if None in ids for c, x in zip(chunks, ids) if x is None}
-        if new:
-            # A last full stop or comma after a letter or digit is a piece of its own.
-            ended = [c for c in new if c[-1] in b".," and c[-2:-1].isalnum()]
-            bare = {c[:-1] for c in ended}
-            found = self._ids([c for c in (new.difference(ended) | bare | {b".", b","}) if c not in memo])
-            get = lambda c: memo[c] if c in memo else found[c]
-            stop = {b"."[0]: get(b"."), b","[0]: get(b",")}
-            found.update([(c, get(c[:-1]) + stop[c[-1]]) for c in ended])
-            memo.update((c, x) for c, x in found.items() if len(c) <= MEMO_CHUNK_BYTES)
-        return [b"".join(ids if None not in ids else [found[c] if x is None else x for c, x in zip(chunks, ids)]) for chunks, ids in zip(split, have)]
+            self.old, self.memo = self.memo, {}
+        memo = self.memo
+        memo[b""] = b""
+        have = list(map(memo.get, chunks))
+        new = [c for c, x in zip(chunks, have) if x is None]
+        if not new:
+            return have
+        again = {c: x for c, x in zip(new, map(self.old.get, new)) if x is not None}
+        memo.update(again)
+        new = set(new).difference(again)
+        # A last full stop or comma after a letter or digit is a piece of its own.
+        ended = [c for c in new if c[-1] in b".," and c[-2:-1].isalnum()]
+        found = self._ids([c for c in (new.difference(ended) | {c[:-1] for c in ended} | {b".", b","}) if c not in memo])
+        get = lambda c: memo[c] if c in memo else found[c]
+        stop = {b"."[0]: get(b"."), b","[0]: get(b",")}
+        found.update([(c, get(c[:-1]) + stop[c[-1]]) for c in ended])
+        memo.update((c, x) for c, x in found.items() if len(c) <= MEMO_CHUNK_BYTES)
+        found.update(again)
+        return [found[c] if x is None else x for c, x in zip(chunks, have)]
 
     def _ids(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         out, rest, tokenize, letters = {}, [], self.model.tokenize, self.letters

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm._common import cut, scratch, stored, texts_of
+from quern.llm._common import cut, scratch, stored
 
 END_ID = 1
 #: Tokens after which a block ends with the document it is in.
@@ -141,30 +141,29 @@ def _raw_blocks(docs: DataFrame, path: str, end_id: int, block: int) -> DataFram
         from quern.llm._tokens import encoder
 
         part, at = TaskContext.get().partitionId(), 0
-        tail = np.array([end_id], dtype="<u4").tobytes()
+        tail = np.array([end_id], dtype="<u4")
         doc_ids, sizes, held, n = [], [], [], 0
 
         def row():
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([at], pa.int32()), pa.array([n], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([np.frombuffer(b"".join(held), "<u4").astype("<u2" if narrow else "<u4").tobytes()], pa.binary())],
+                [pa.array([part], pa.int32()), pa.array([at], pa.int32()), pa.array([n], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([np.concatenate(held).astype("<u2" if narrow else "<u4").tobytes()], pa.binary())],
                 names=["part", "block", "n_tokens", "doc_ids", "doc_tokens", "payload"],
             )
 
         e = encoder(path)
         narrow = e.plain.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
         for b in batches:
-            ids = b.column(0).to_pylist()
-            texts = texts_of(b.column(1))
-            for k in range(0, len(ids), 512):
-                for doc, raw in zip(ids[k : k + 512], e.encode(texts[k : k + 512])):
-                    raw += tail
-                    doc_ids.append(doc)
-                    sizes.append(len(raw) // 4)
-                    held.append(raw)
-                    n += len(raw) // 4
-                    if n >= block:
-                        yield row()
-                        at, n, doc_ids, sizes, held = at + 1, 0, [], [], []
+            ids, at_id = b.column(0).to_pylist(), 0
+            flat, counts = e.encode(b.column(1))
+            for doc, size in zip(ids, counts.tolist()):
+                held += [flat[at_id : at_id + size], tail]
+                at_id += size
+                doc_ids.append(doc)
+                sizes.append(size + 1)
+                n += size + 1
+                if n >= block:
+                    yield row()
+                    at, n, doc_ids, sizes, held = at + 1, 0, [], [], []
         if n:
             yield row()
 
