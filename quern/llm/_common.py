@@ -55,3 +55,8 @@ def texts_of(column) -> list[bytes | None]:
     import pyarrow as pa
 
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+
+
+def once(df: DataFrame) -> DataFrame:
+    """The same rows; what later columns use several times is computed once, not inlined into each use."""
+    return df.select(F.explode(F.array(F.struct(*[F.col(c) for c in df.columns]))).alias("row")).select("row.*")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._common import cut
+from quern.llm._common import cut, once
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -53,9 +53,10 @@ def _long(c: Column) -> Column:
     return c.cast("bigint")
 
 
-def find(text: Column, pattern: str) -> Column:
+def find(text: Column, pattern: str | Column) -> Column:
     """Matches of a pattern as structs of start, end and value."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
     parts = F.arrays_zip(F.transform(between, lambda x: F.length(x)).alias("gap"), found.alias("value"))
     empty = F.lit(None).cast(SPAN)
     first = F.struct(F.lit(0).cast("bigint").alias("at"), F.coalesce(empty, F.array().cast(SPAN)).alias("out"))
@@ -90,7 +91,7 @@ def base_spans(text: Column, kind: str) -> Column:
 def with_base(docs: DataFrame) -> DataFrame:
     """doc_id, text without nulls, and an array of spans per kind."""
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.select("*", *[base_spans(F.col("text"), k).alias(k) for k in KINDS])
+    return once(rows.select("*", *[base_spans(F.col("text"), k).alias(k) for k in KINDS]))
 
 
 def _entity(kind: str, value: Column) -> Column:
@@ -144,9 +145,9 @@ def bounded(side: DataFrame) -> DataFrame:
 
 
 def _term_spans(text: Column, flagged: Column) -> Column:
-    """Spans of the flagged terms of a text; terms are compared in lower case, found in the text as it is."""
-    hits = F.filter(find(text, TERM), lambda x: F.array_contains(flagged, F.lower(x["value"])))
-    return F.when(F.size(flagged) > 0, hits).otherwise(F.array().cast(SPAN))
+    """Spans of the flagged terms, as whole runs of letters in any case."""
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(flagged, "|"), F.lit(r")(?!\p{L})"))
+    return F.when(F.size(flagged) > 0, find(text, pattern)).otherwise(F.array().cast(SPAN))
 
 
 def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, payload=()) -> DataFrame:
@@ -165,7 +166,7 @@ def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = RE
         marked = marked.withColumns({c: F.coalesce(F.col(c), none) for c in ("t_remove", "t_generalise")})
     text = F.coalesce(F.col("text"), F.lit(""))
     base = marked.select("doc_id", text.alias("text"), "payload", *[base_spans(text, k).alias(k) for k in KINDS], "t_remove", "t_generalise")
-    return base.select("doc_id", "text", *[f"payload.{c}" for c in payload], *KINDS, _term_spans(F.col("text"), F.col("t_remove")).alias("removed"), _term_spans(F.col("text"), F.col("t_generalise")).alias("generalised"))
+    return once(base.select("doc_id", "text", *[f"payload.{c}" for c in payload], *KINDS, _term_spans(F.col("text"), F.col("t_remove")).alias("removed"), _term_spans(F.col("text"), F.col("t_generalise")).alias("generalised")))
 
 
 def spans_text(*kinds: str) -> Column:
