@@ -64,7 +64,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenfile.crc_of(tokenfile.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+    return tokenfile.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), digest=True)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,8 @@ END_ID = 1
 BLOCK = 1 << 20
 SCALE = 20
 LANES, STEPS = 512, 512
+#: Ranges whose limits are compared one by one, at most.
+RANGES = 1_000
 _LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<4sBIHIIII")
 _MAGIC = b"QANS"
@@ -82,14 +84,17 @@ def encode(ids: np.ndarray, tables: Tables, lanes: int = LANES, steps: int = STE
         on = there[:, k]
         if not on.any():
             continue
-        f = np.where(on, tables.freq[full[:, k]], np.uint64(1))
-        out = on & (state >= (f << shift))
+        f, all_on = tables.freq[full[:, k]], on.all()
+        f = f if all_on else np.where(on, f, np.uint64(1))
+        out = state >= (f << shift)
+        out = out if all_on else out & on
         s = np.nonzero(out)[0]
         words.append((state[out] & np.uint64(0xFFFFFFFF)).astype("<u4"))
         whose.append(s)
         state = np.where(out, state >> np.uint64(32), state)
         q = state // f
-        state = np.where(on, (q << scale) + (state - q * f) + tables.start[full[:, k]], state)
+        new = (q << scale) + (state - q * f) + tables.start[full[:, k]]
+        state = new if all_on else np.where(on, new, state)
     flat = np.concatenate(words[::-1]) if words else np.zeros(0, "<u4")
     seg = np.concatenate(whose[::-1]) if whose else np.zeros(0, np.int64)
     order = np.argsort(seg, kind="stable")
@@ -169,7 +174,15 @@ def _raw_blocks(docs: DataFrame, path: str, end_id: int, block: int) -> DataFram
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, BLOCKS)
+    if parts <= RANGES:
+        # Range limits from the ids alone; sampling the rows themselves would read all texts once more.
+        limits = rows.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 10_000)).first()[0] or []
+        limits = F.array(*[F.lit(x) for x in sorted(set(limits))]).cast("array<bigint>")
+        part = F.size(F.filter(limits, lambda x: x < F.col("doc_id")))
+        dealt = rows.repartitionById(parts, F.coalesce(part, F.lit(0)).cast("int"))
+    else:
+        dealt = rows.repartitionByRange(parts, "doc_id")
+    return dealt.sortWithinPartitions("doc_id", "text").mapInArrow(run, BLOCKS)
 
 
 def write(docs: DataFrame, out: str, path: str, end_id: int = END_ID, block: int = BLOCK) -> None:
@@ -222,27 +235,30 @@ def _remove(spark: SparkSession, path: str | None) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def read(spark: SparkSession, out: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids (little-endian unsigned 32 bits) of every document of a file set, decoded."""
+def read(spark: SparkSession, out: str, digest: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens and ids (little-endian unsigned 32 bits) of every document of a file set, decoded; with ``digest`` ids_crc32 instead of ids."""
     table = spark.read.parquet(f"{out}/table").first()
     tables = Tables(np.array(table["freq"], dtype=np.int64), table["scale"])
     blocks = spark.read.schema(BLOCKS).parquet(f"{out}/blocks")
+    name, kind = ("ids_crc32", "bigint") if digest else ("ids", "binary")
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             for part, block, docs, sizes, payload in zip(*(b.column(k).to_pylist() for k in range(5))):
-                raw = decode(payload, tables).tobytes()
+                raw = memoryview(decode(payload, tables).tobytes())
                 ends = np.cumsum(sizes)
                 first = ends - sizes
+                cuts = [raw[4 * x : 4 * y] for x, y in zip(first.tolist(), ends.tolist())]
+                last = pa.array([zlib.crc32(c) for c in cuts], pa.int64()) if digest else pa.array([bytes(c) for c in cuts], pa.binary())
                 m = len(docs)
-                yield pa.RecordBatch.from_arrays([pa.array([part] * m, pa.int32()), pa.array([block] * m, pa.int32()), pa.array(docs, pa.int64()), pa.array(first, pa.int64()), pa.array(sizes, pa.int64()), pa.array([raw[4 * x : 4 * y] for x, y in zip(first.tolist(), ends.tolist())], pa.binary())], names=["part", "block", "doc_id", "at", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([part] * m, pa.int32()), pa.array([block] * m, pa.int32()), pa.array(docs, pa.int64()), pa.array(first, pa.int64()), pa.array(sizes, pa.int64()), last], names=["part", "block", "doc_id", "at", "n_tokens", name])
 
-    found = blocks.select("part", "block", "doc_ids", "doc_tokens", "payload").mapInArrow(run, "part int, block int, doc_id bigint, at bigint, n_tokens bigint, ids binary")
+    found = blocks.select("part", "block", "doc_ids", "doc_tokens", "payload").mapInArrow(run, f"part int, block int, doc_id bigint, at bigint, n_tokens bigint, {name} {kind}")
     starts = block_starts(blocks)
     side = F.broadcast(starts) if starts.count() <= 200_000 else starts
-    return found.join(side, ["part", "block"]).select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids")
+    return found.join(side, ["part", "block"]).select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", name)
 
 
 def block_starts(blocks: DataFrame) -> DataFrame:
@@ -254,13 +270,8 @@ def block_starts(blocks: DataFrame) -> DataFrame:
     return cut(sizes.join(parts, "part").select("part", "block", (F.col("before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).alias("start")))
 
 
-def round_trip(docs: DataFrame, path: str, end_id: int = END_ID, block: int = BLOCK) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, end_id: int = END_ID, block: int = BLOCK, digest: bool = False) -> DataFrame:
     """Writes a new file set and returns what reading it gives."""
     out = scratch(docs.sparkSession, "ids")
     write(docs, out, path, end_id, block)
-    return read(docs.sparkSession, out)
-
-
-def crc_of(docs: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of decoded documents."""
-    return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read(docs.sparkSession, out, digest)
