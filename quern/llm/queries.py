@@ -84,6 +84,6 @@ ORACLES = {
             sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
             CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
             sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
-            CAST(sum(length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}) + 16) AS BIGINT) AS formatted_chars
+            CAST(sum(length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}) + 15) AS BIGINT) AS formatted_chars
         FROM rows GROUP BY conv_id""",
 }

@@ -96,12 +96,14 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def fit_linear(rows: list[np.ndarray], y: np.ndarray, gone: list[np.ndarray], new: list[np.ndarray], l1: float = 2e-4, fair: float = 1.0, rounds: int = 300) -> Linear:
+def fit_linear(rows: list[np.ndarray], y: np.ndarray, gone: list[np.ndarray], new: list[np.ndarray], l1: float | None = None, fair: float = 1.0, rounds: int = 300) -> Linear:
     """FISTA on logistic loss + l1 * |w| + fair * mean squared change of the raw score under swaps."""
     n = len(rows)
     if n == 0 or y.min() == y.max():
         rate = (y.sum() + 1) / (n + 2) if n else 0.5
         return Linear({}, float(np.log(rate / (1 - rate))))
+    # The prior behind the penalty is one: its share of the mean loss falls with the rows.
+    l1 = 1.5 / n if l1 is None else l1
     size = 1 << BITS
     of = np.repeat(np.arange(n), [len(r) for r in rows])
     flat = np.concatenate(rows) if rows else np.zeros(0, int)
