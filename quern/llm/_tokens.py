@@ -21,10 +21,10 @@ import numpy as np
 #: Chunks in a generation of a Python worker's memo, and the longest one kept. When a
 #: generation is full it becomes the old one and the one before goes, except for the
 #: chunks met again: memory stays bounded however large the input.
-MEMO_CHUNKS = 450_000
+MEMO_CHUNKS = 400_000
 MEMO_CHUNK_BYTES = 48
 #: Bytes of text encoded at a time, and new chunks joined into one encoder call.
-SLAB_BYTES = 12_000_000
+SLAB_BYTES = 10_000_000
 JOIN = 256
 
 _encoders: dict = {}
@@ -56,25 +56,31 @@ class ChunkEncoder:
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """The ids of an Arrow string array one after another, and how many each text has; null texts have none."""
+        parts = list(self.slabs(texts))
+        return np.concatenate([p[1] for p in parts] or [np.zeros(0, "<u4")]), np.concatenate([p[2] for p in parts] or [np.zeros(0, np.int64)])
+
+    def slabs(self, texts):
+        """As encode, a bounded lot of texts at a time: (place of the first text, ids, counts)."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        if not self.splits:
-            each = [self._whole(t) if t else b"" for t in texts.cast(pa.binary()).to_pylist()]
-            return np.frombuffer(b"".join(each), dtype="<u4"), np.array([len(x) // 4 for x in each], dtype=np.int64)
-        # The memo holds no cycles; looking for some in it costs a good part of the time.
-        gc.disable()
         size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
-        flat, counts, start = [], [], 0
+        start = 0
         while start < len(texts):
             before = size[start - 1] if start else 0
             end = max(start + 1, int(np.searchsorted(size, before + SLAB_BYTES)))
-            ids, n = self._slab(texts.slice(start, end - start).fill_null(""))
-            flat.append(ids)
-            counts.append(n)
+            some = texts.slice(start, end - start).fill_null("")
+            if self.splits:
+                # The memo holds no cycles; looking for some in it costs a good part of the time.
+                gc.disable()
+                ids, n = self._slab(some)
+                gc.enable()
+            else:
+                each = [self._whole(t) if t else b"" for t in some.cast(pa.binary()).to_pylist()]
+                ids, n = np.frombuffer(b"".join(each), dtype="<u4"), np.array([len(x) // 4 for x in each], dtype=np.int64)
+            yield start, ids, n
             start = end
-        gc.enable()
-        return np.concatenate(flat or [np.zeros(0, "<u4")]), np.concatenate(counts or [np.zeros(0, np.int64)])
+        pa.default_memory_pool().release_unused()
 
     def _slab(self, texts) -> tuple[np.ndarray, np.ndarray]:
         import pyarrow as pa

@@ -98,21 +98,21 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
 
         tail, step = np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
         for b in batches:
-            rows = [], [], [], []
-            of, at = [], 0
-            flat, counts = encoder(path).encode(b.column(1))
-            raw = memoryview(flat.tobytes())
-            for k, n in enumerate(counts.tolist()):
-                last = 4 * n
-                for j, first in enumerate(range(0, last + 4, step)):
-                    # The end id follows the text's ids, in a piece of its own if they fill theirs.
-                    crc = zlib.crc32(raw[at + first : at + min(first + step, last)])
-                    ended = first + step > last
-                    of.append(k)
-                    for c, x in zip(rows, (j, first // 4, (min(first + step, last + 4) - first) // 4, zlib.crc32(tail, crc) if ended else crc)):
-                        c.append(x)
-                at += last
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), pa.array(rows[0], pa.int32()), *(pa.array(c, pa.int64()) for c in rows[1:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            for start, flat, counts in encoder(path).slabs(b.column(1)):
+                rows = [], [], [], []
+                of, at = [], 0
+                raw = memoryview(flat).cast("B") if len(flat) else memoryview(b"")
+                for k, n in enumerate(counts.tolist()):
+                    last = 4 * n
+                    for j, first in enumerate(range(0, last + 4, step)):
+                        # The end id follows the text's ids, in a piece of its own if they fill theirs.
+                        crc = zlib.crc32(raw[at + first : at + min(first + step, last)])
+                        ended = first + step > last
+                        of.append(start + k)
+                        for c, x in zip(rows, (j, first // 4, (min(first + step, last + 4) - first) // 4, zlib.crc32(tail, crc) if ended else crc)):
+                            c.append(x)
+                    at += last
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), pa.array(rows[0], pa.int32()), *(pa.array(c, pa.int64()) for c in rows[1:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")

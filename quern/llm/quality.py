@@ -24,6 +24,8 @@ from quern.llm._common import crc_mod, texts_of
 #: Labelled rows that a fit uses at most.
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.3
+#: Rows of an Arrow batch that are worked on at a time.
+SLICE = 1_000
 
 _CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -154,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
     def stats(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             x = features(texts_of(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "y", "x"])
 
@@ -174,9 +176,10 @@ def score(docs: DataFrame, trees: Trees, keep: list[str] | None = None, name: st
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            at = keep.index("text") if text_at is None else text_at
+        at = keep.index("text") if text_at is None else text_at
+        for b in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             s = trees.score(features(texts_of(b.column(at)))).astype(np.float64)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(s)], names=[*keep, name])
+        pa.default_memory_pool().release_unused()
 
     return docs.select(*keep, *([] if text_at is None else ["text"])).mapInArrow(run, schema)

@@ -30,6 +30,8 @@ SEED = 42
 BUCKET = 256
 #: Shingle hashes turned into bits at a time.
 SLAB = 200_000
+#: Rows of an Arrow batch that are worked on at a time.
+SLICE = 1_000
 
 
 def shingle_hashes(text: bytes | None, width: int = SHINGLE) -> list[int]:
@@ -81,8 +83,9 @@ def fingerprinted(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints(texts_of(b.column(1)), width).view(np.int64))], names=["doc_id", "fp"])
+        pa.default_memory_pool().release_unused()
 
     schema = docs.select("doc_id").withColumn("fp", F.lit(0).cast("bigint")).schema
     return docs.select("doc_id", "text").mapInArrow(run, schema)

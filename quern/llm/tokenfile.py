@@ -158,17 +158,18 @@ def _raw_blocks(docs: DataFrame, path: str, end_id: int, block: int) -> DataFram
         e = encoder(path)
         narrow = e.plain.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
         for b in batches:
-            ids, at_id = b.column(0).to_pylist(), 0
-            flat, counts = e.encode(b.column(1))
-            for doc, size in zip(ids, counts.tolist()):
-                held += [flat[at_id : at_id + size], tail]
-                at_id += size
-                doc_ids.append(doc)
-                sizes.append(size + 1)
-                n += size + 1
-                if n >= block:
-                    yield row()
-                    at, n, doc_ids, sizes, held = at + 1, 0, [], [], []
+            ids = b.column(0).to_pylist()
+            for start, flat, counts in e.slabs(b.column(1)):
+                at_id = 0
+                for doc, size in zip(ids[start : start + len(counts)], counts.tolist()):
+                    held += [flat[at_id : at_id + size], tail]
+                    at_id += size
+                    doc_ids.append(doc)
+                    sizes.append(size + 1)
+                    n += size + 1
+                    if n >= block:
+                        yield row()
+                        at, n, doc_ids, sizes, held = at + 1, 0, [], [], []
         if n:
             yield row()
 
