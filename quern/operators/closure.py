@@ -31,29 +31,72 @@ def proven(roots: DataFrame, edges: DataFrame) -> DataFrame:
     return closure(roots, edges.where("exact"))
 
 
+def addressed(namespaces: DataFrame, nodes: DataFrame) -> DataFrame:
+    """affected_namespace, id: the nodes that each namespace covers, as an equi-join.
+
+    An id offers its beginnings of every length that a namespace has, and, for
+    namespaces without a colon, the stretches of those lengths after each slash.
+    """
+    spaces = bounded(namespaces.where(F.col("affected_namespace").isNotNull()).select("affected_namespace").distinct())
+    # As many lengths as the longest namespace has characters, at most.
+    lengths = F.array(*[F.lit(r[0]) for r in spaces.select(F.length("affected_namespace")).distinct().collect()]).cast("array<int>")
+    id_ = F.col("id")
+    cuts = lambda start: F.transform(F.filter(lengths, lambda n: n <= F.length(id_) - start + 1), lambda n: F.substring(id_, start, n))
+    slashes = F.filter(F.sequence(F.lit(1), F.length(id_)), lambda i: F.substring(id_, i, F.lit(1)) == "/")
+    inner = F.filter(F.flatten(F.transform(slashes, lambda i: cuts(i + 1))), lambda x: ~x.contains(":"))
+    outer = cuts(F.lit(1))
+    offered = nodes.select("id").where(id_ != "").select("id", F.explode(F.array_distinct(F.concat(outer, inner))).alias("affected_namespace"))
+    return offered.join(spaces, "affected_namespace").select("affected_namespace", "id")
+
+
+#: The scope of blockers that name neither a namespace nor ids: it covers every node.
+EVERYTHING = "scope*"
+
+
+def _scope(blockers: DataFrame) -> DataFrame:
+    """Blockers with ``hub``: the node of their namespace, or the scope of everything; null if they only list ids."""
+    ids = F.coalesce(F.size("affected_node_ids"), F.lit(0)) > 0
+    hub = F.when(F.col("affected_namespace").isNotNull(), F.concat(F.lit("scope:"), "affected_namespace")).when(~ids, F.lit(EVERYTHING))
+    return blockers.withColumn("hub", hub)
+
+
 def address_edges(blockers: DataFrame, nodes: DataFrame) -> DataFrame:
     """Blockers as edges: source -> scope -> addressed nodes. A scope is a node of its own, so nothing is multiplied out."""
-    scoped = blockers.where(F.col("affected_namespace").isNotNull()).select("source_node_id", "affected_namespace").distinct()
-    hub = lambda c: F.concat(F.lit("scope:"), c)
-    into = scoped.where(F.col("source_node_id").isNotNull()).select(F.col("source_node_id").alias("src"), hub(F.col("affected_namespace")).alias("dst"))
-    side = bounded(scoped.select("affected_namespace").distinct())
-    ns, id_ = F.col("affected_namespace"), F.col("id")
-    inside = id_.startswith(ns) | (~ns.contains(":") & id_.contains(F.concat(F.lit("/"), ns)))
-    out = nodes.select("id").join(side, inside).select(hub(ns).alias("src"), id_.alias("dst"))
+    scoped = _scope(blockers)
+    into = scoped.where("source_node_id is not null and hub is not null").select(F.col("source_node_id").alias("src"), F.col("hub").alias("dst"))
+    out = addressed(blockers, nodes).select(F.concat(F.lit("scope:"), "affected_namespace").alias("src"), F.col("id").alias("dst"))
     listed = blockers.where(F.col("source_node_id").isNotNull()).select(F.col("source_node_id").alias("src"), F.explode("affected_node_ids").alias("dst"))
-    return into.unionByName(out).unionByName(listed)
+    # Ids that are listed but are no nodes are addressed by nothing.
+    listed = listed.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    everything = nodes.select(F.lit(EVERYTHING).alias("src"), F.col("id").alias("dst"))
+    if scoped.where(F.col("hub") == EVERYTHING).isEmpty():
+        return into.unionByName(out).unionByName(listed)
+    return into.unionByName(out).unionByName(listed).unionByName(everything)
 
 
-def retained(roots: DataFrame, edges: DataFrame, protected: DataFrame, blockers: DataFrame, nodes: DataFrame, contexts: DataFrame) -> DataFrame:
-    """The fail-closed closure: every edge, protected nodes, and what active blockers address."""
+def sourceless(blockers: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Blockers that are active everywhere: without a source, or with one that is no node."""
     known = nodes.select(F.col("id").alias("source_node_id"))
-    free = blockers.where(F.col("source_node_id").isNull()).unionByName(blockers.where(F.col("source_node_id").isNotNull()).join(known, "source_node_id", "left_anti").select(*blockers.columns))
-    scopes = free.where(F.col("affected_namespace").isNotNull()).select(F.concat(F.lit("scope:"), "affected_namespace").alias("id"))
-    listed = free.select(F.explode("affected_node_ids").alias("id"))
-    everywhere = protected.select("id").unionByName(scopes).unionByName(listed).distinct()
-    seeds = roots.select("context", "id").unionByName(contexts.select("context").crossJoin(everywhere).select("context", "id"))  # tens of contexts
-    all_edges = edges.select("src", "dst").unionByName(address_edges(blockers, nodes))
-    return closure(seeds, all_edges).where(~F.col("id").startswith("scope:"))
+    unknown = blockers.where(F.col("source_node_id").isNotNull()).join(known, "source_node_id", "left_anti").select(*blockers.columns)
+    return blockers.where(F.col("source_node_id").isNull()).unionByName(unknown)
+
+
+def retained(roots: DataFrame, edges: DataFrame, protected: DataFrame, blockers: DataFrame, nodes: DataFrame, contexts: DataFrame, per_context: bool = False) -> DataFrame:
+    """The fail-closed closure: every edge, protected nodes, and what active blockers address.
+
+    With ``per_context`` the edges carry the context in which they apply.
+    """
+    free = sourceless(blockers, nodes)
+    listed = free.select(F.explode("affected_node_ids").alias("id")).join(nodes.select("id"), "id", "left_semi")
+    everywhere = protected.select("id").unionByName(_scope(free).where("hub is not null").select(F.col("hub").alias("id"))).unionByName(listed).distinct()
+    every = bounded(contexts.select("context").distinct())  # tens of contexts
+    seeds = roots.select("context", "id").unionByName(everywhere.join(every).select("context", "id"))
+    pseudo = address_edges(blockers, nodes)
+    if per_context:
+        all_edges = edges.select("context", "src", "dst").unionByName(pseudo.join(every).select("context", "src", "dst"))
+    else:
+        all_edges = edges.select("src", "dst").unionByName(pseudo)
+    return closure(seeds, all_edges, per_context).where(~F.col("id").startswith("scope:") & (F.col("id") != EVERYTHING))
 
 
 def unreachable(nodes: DataFrame, reached: DataFrame) -> DataFrame:

@@ -32,21 +32,30 @@ def candidates(nodes: DataFrame, proven: DataFrame, retained: DataFrame, protect
     return out
 
 
-def classified(rows: DataFrame, supported: Column, external: Column, coverage: Column, integrity: Column) -> DataFrame:
-    """Adds not_retained, no_blockers, tier and reasons."""
-    retained = F.size("retained_in") > 0
+def classified(rows: DataFrame, supported: Column, external: Column, coverage: Column, integrity: Column, package_mode: bool = False) -> DataFrame:
+    """Adds not_retained, no_blockers, action_supported, external, tier and reasons. ``generated``, if there, tells generated references apart."""
+    retained, generated = F.size("retained_in") > 0, F.col("generated") if "generated" in rows.columns else F.lit(False)
     clear = ~F.col("has_blockers") & integrity
     gates = coverage & ~retained & clear & ~F.col("is_protected") & supported
     risks = F.filter(F.array(F.when(external, F.lit(RISKS[0]))), lambda x: x.isNotNull())
-    reason = [(~coverage, "incompleteTargetMatrix"), (~integrity, "incompleteGraphIntegrity"), (retained, "retainedOnly"), (F.col("kind") == "duplicateGroup", "duplicateCanonicalChoice"), (F.col("has_blockers"), "dynamicReference"), (~supported, "unsupportedAction"), (external, RISKS[0])]
-    reasons = F.filter(F.array(*[F.when(c, F.lit(name)) for c, name in reason]), lambda x: x.isNotNull())
-    return rows.withColumns({"tier": tier(F.col("is_protected"), F.col("kind"), gates, risks), "reasons": reasons})
-
-
-def statistics(findings: DataFrame) -> DataFrame:
-    """dimension, value, n: by tier (zero-filled), kind and reason."""
-    tiers = findings.sparkSession.createDataFrame([(t,) for t in TIERS], "value string")
-    by_tier = tiers.join(findings.groupBy(F.col("tier").alias("value")).count(), "value", "left").select(F.lit("tier").alias("dimension"), "value", F.coalesce("count", F.lit(0)).alias("n"))
-    by_kind = findings.groupBy("kind").count().select(F.lit("kind").alias("dimension"), F.col("kind").alias("value"), F.col("count").alias("n"))
-    by_reason = findings.select(F.explode("reasons").alias("value")).groupBy("value").count().select(F.lit("reason").alias("dimension"), "value", F.col("count").alias("n"))
-    return by_tier.unionByName(by_kind).unionByName(by_reason)
+    reason = [(~coverage, "incompleteTargetMatrix"), (~integrity, "incompleteGraphIntegrity"), (retained, "retainedOnly"), (F.col("kind") == "duplicateGroup", "duplicateCanonicalChoice"), (F.col("has_blockers"), F.when(generated, "generatedCodeUncertainty").otherwise("dynamicReference")), (~supported, "unsupportedAction"), (external, RISKS[0])]
+    reasons = F.filter(F.array(*[F.when(c, name if isinstance(name, Column) else F.lit(name)) for c, name in reason]), lambda x: x.isNotNull())
+    level = tier(F.col("is_protected"), F.col("kind"), gates, risks, F.lit(package_mode))
+    return rows.withColumns({"not_retained": ~retained, "no_blockers": clear, "action_supported": supported, "external": external, "tier": level, "reasons": reasons})
+
+
+def allowed(mode: str) -> Column:
+    """Whether a classified finding may be acted on in application, package or packageInternal mode."""
+    gates = F.col("not_retained") & F.col("no_blockers") & ~F.col("is_protected") & F.col("action_supported")
+    high = (F.col("tier") == "high") & F.col("external")
+    level = {"application": F.col("tier") == "safe", "package": F.lit(False), "packageInternal": (F.col("tier") == "safe") | high}[mode]
+    return gates & level
+
+
+def statistics(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """dimension, value, n: by tier (zero-filled), kind, reason and the columns of ``extra``, in one pass over the findings."""
+    pairs = [F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in ("tier", "kind", *extra)]
+    tagged = F.concat(F.array(*pairs), F.transform("reasons", lambda r: F.struct(F.lit("reason").alias("dimension"), r.alias("value"))))
+    counted = rows.select(F.explode(tagged).alias("x")).groupBy("x.dimension", "x.value").agg(F.count("*").alias("n"))
+    zero = rows.sparkSession.createDataFrame([("tier", t, 0) for t in TIERS], "dimension string, value string, n bigint")
+    return counted.unionByName(zero).groupBy("dimension", "value").agg(F.sum("n").alias("n"))
