@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.conditions import segments
+from quern.functions.conditions import blocker_id, segments
+from quern.operators.closure import addressed
 from quern.plans.materialise import bounded
 
 #: Directories and files that no scan enters.
@@ -133,13 +134,17 @@ def repeated_json_keys(text: Column) -> Column:
 
 
 def blocker_counts(blockers: DataFrame, active: DataFrame, nodes: DataFrame) -> DataFrame:
-    """producer, recorded, distinct_blockers, active, unbound, in one row per producer."""
-    ids = ["producer", "source_node_id", "affected_namespace"]
-    known = nodes.select(F.col("id").alias("source_node_id"), F.lit(True).alias("bound")).distinct()
-    on = active.select(*ids).distinct().withColumn("active", F.lit(True))
-    same = [F.col(f"b.{c}").eqNullSafe(F.col(f"a.{c}")) for c in ids]
-    rows = blockers.join(known, "source_node_id", "left").alias("b").join(on.alias("a"), same, "left")
-    return rows.groupBy(F.col("b.producer").alias("producer")).agg(F.sum("b.recorded").alias("recorded"), F.count("*").alias("distinct_blockers"), F.count_if(F.coalesce("a.active", F.lit(False))).alias("active"), F.count_if(F.col("bound").isNull()).alias("unbound"))
+    """producer, recorded, distinct_blockers, active, unbound (addressing no node)."""
+    six = ("producer", "reason", "location", "source_node_id", "affected_namespace", "affected_node_ids")
+    with_id = lambda df: df.withColumn("blocker_id", blocker_id(*map(F.col, six)))
+    rows = with_id(blockers)
+    listed = rows.select("blocker_id", F.explode("affected_node_ids").alias("id")).join(nodes.select("id"), "id", "left_semi").select("blocker_id").distinct().withColumn("lists", F.lit(True))
+    spaces = addressed(blockers, nodes).select("affected_namespace").distinct().withColumn("covers", F.lit(True))
+    on = with_id(active).select("blocker_id").distinct().withColumn("is_active", F.lit(True))
+    marked = rows.join(on, "blocker_id", "left").join(listed, "blocker_id", "left").join(spaces, "affected_namespace", "left")
+    whole = F.col("affected_namespace").isNull() & (F.coalesce(F.size("affected_node_ids"), F.lit(0)) <= 0)
+    bound = F.coalesce("covers", F.lit(False)) | F.coalesce("lists", F.lit(False)) | whole
+    return marked.groupBy("producer").agg(F.sum("recorded").alias("recorded"), F.count("*").alias("distinct_blockers"), F.count_if(F.col("is_active").isNotNull()).alias("active"), F.count_if(~bound).alias("unbound"))
 
 
 def measurements(findings: DataFrame, kind: str, size: str) -> DataFrame:

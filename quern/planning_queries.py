@@ -4,13 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.catalogue import QUERIES, _FOUND, _findings, _read, query
+from quern.catalogue import _FOUND, _GRAPH, _RETAINED, QUERIES, _findings, _read, _retained, query
 from quern.functions.conditions import CONDITION
-from quern.operators import catalogues, ledger, planner, surface
+from quern.operators import catalogues, facts, ledger, planner, surface
+from quern.operators.closure import sourceless
 from quern.plans.model import Model
+from quern.plans.projection import NAMESPACES, Graph
 
 __all__ = ["QUERIES"]
 
+
+def _on_platform(column: str):
+    """The condition that holds on the platform of a column, everywhere where that is null."""
+    return F.expr(f"named_struct('platforms', CASE WHEN {column} IS NULL THEN array() ELSE array({column}) END, 'flavors', array(), 'entrypoints', array(), 'dart_defines', map(), 'exact_targets', array(), 'exact_aux_targets', array())").cast(CONDITION)
+
+
+def _model(spark, nodes, edges, roots) -> Model:
+    """A graph over one context on ios and one on android, with nothing protected or blocked."""
+    targets = spark.createDataFrame([("one", "ios", "main", None, {}), ("two", "android", "main", None, {})], "name string, platform string, entrypoint string, flavor string, dart_defines map<string,string>")
+    empty = lambda schema: spark.createDataFrame([], schema)
+    blockers = empty("producer string, reason string, location string, source_node_id string, affected_namespace string, affected_node_ids array<string>")
+    return Model(nodes, edges, roots, targets, empty("id string, environment_complete boolean"), empty("id string, reason string"), blockers)
+
+
 _STEPS = """
     n AS (SELECT p_partkey, p_brand || '-' || (p_size % 8) AS id, p_brand, p_size % 8 AS p_size, p_size AS whole FROM part),
     links AS (SELECT DISTINCT a.id AS src, b.id AS dst FROM n a JOIN n b ON b.p_partkey = a.p_partkey + 1 WHERE b.whole > a.whole)"""
@@ -267,12 +283,40 @@ def conditional_closure(spark, sf_dir):
     raw = raw.unionByName(customer.select(ids("customer", F.col("c_custkey")).alias("src"), ids("nation", F.col("c_nationkey")).alias("dst"), segment.alias("only")))
     k = F.col("n_nationkey")
     raw = raw.unionByName(nation.where("n_nationkey % 5 <> 0").select(ids("nation", k).alias("src"), ids("nation", (k + 1) % 25).alias("dst"), F.when(k % 2 == 0, "ios").alias("only")))
-    text = "array()"
-    condition = F.expr(f"named_struct('platforms', CASE WHEN only IS NULL THEN array() ELSE array(only) END, 'flavors', {text}, 'entrypoints', {text}, 'dart_defines', map(), 'exact_targets', {text}, 'exact_aux_targets', {text})").cast(CONDITION)
-    edges = raw.select("src", "dst", F.lit("uses").alias("kind"), F.lit(True).alias("exact"), F.lit("").alias("evidence"), condition.alias("condition"))
+    edges = raw.select("src", "dst", F.lit("uses").alias("kind"), F.lit(True).alias("exact"), F.lit("").alias("evidence"), _on_platform("only").alias("condition"))
     nodes = raw.select(F.col("src").alias("id"), F.lit("node").alias("kind"))
     roots = orders.where("o_orderpriority = '1-URGENT'").select(ids("orders", F.col("o_orderkey")).alias("id"), F.lit(None).cast(CONDITION).alias("condition"), none.alias("aux_id"))
-    targets = spark.createDataFrame([("one", "ios", "main", None, {}), ("two", "android", "main", None, {})], "name string, platform string, entrypoint string, flavor string, dart_defines map<string,string>")
-    empty = lambda schema: spark.createDataFrame([], schema)
-    blockers = empty("producer string, reason string, location string, source_node_id string, affected_namespace string, affected_node_ids array<string>")
-    return Model(nodes, edges, roots, targets, empty("id string, environment_complete boolean"), empty("id string, reason string"), blockers).proven
+    return _model(spark, nodes, edges, roots).proven
+
+
+_SPACES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NAMESPACES.items())
+
+
+@query(f"""WITH RECURSIVE {_GRAPH}{_RETAINED},
+    b AS (SELECT event_type AS producer, 'customer:' || user_id AS source, CASE event_type {_SPACES} END AS space, count(*) AS recorded FROM events GROUP BY ALL)
+    SELECT producer, CAST(sum(recorded) AS BIGINT) AS recorded, count(*) AS distinct_blockers, count(*) FILTER (source IN (SELECT id FROM retained) OR source NOT IN (SELECT id FROM nodes)) AS active,
+        count(*) FILTER (NOT EXISTS (SELECT 1 FROM nodes WHERE starts_with(id, space))) AS unbound FROM b GROUP BY producer""")
+def blocker_statistics(spark, sf_dir):
+    g = Graph(spark, sf_dir)
+    space = F.create_map(*[F.lit(x) for pair in NAMESPACES.items() for x in pair])
+    rows = g.table("events").select(F.col("event_type").alias("producer"), F.lit("unresolved").alias("reason"), F.lit(None).cast("string").alias("location"), g.ids("customer", "user_id", "source_node_id"), F.element_at(space, F.col("event_type")).alias("affected_namespace"), F.array().cast("array<string>").alias("affected_node_ids"))
+    recorded = facts.blockers(rows)
+    kept = _retained(g, g.cached_edges()).select(F.col("id").alias("source_node_id")).distinct()
+    active = recorded.join(kept, "source_node_id", "left_semi").select(*recorded.columns).unionByName(sourceless(recorded, g.nodes()))
+    return catalogues.blocker_counts(recorded, active, g.nodes())
+
+
+@query("""WITH e AS (SELECT DISTINCT l_orderkey, l_partkey, CASE l_returnflag WHEN 'A' THEN 'ios' WHEN 'R' THEN 'web' END AS platform FROM lineitem WHERE l_linenumber = 7),
+    r AS (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderstatus = 'P'), t(context, platform) AS (VALUES ('app:one', 'ios'), ('app:two', 'android')),
+    c AS (SELECT context, (SELECT count(*) FROM e WHERE coalesce(e.platform, t.platform) = t.platform) AS dangling_edges, (SELECT count(*) FROM r) AS dangling_roots FROM t
+        UNION ALL SELECT 'unattributed', (SELECT count(*) FROM e WHERE platform = 'web'), 0)
+    SELECT context, dangling_edges, dangling_roots, CAST(0 AS BIGINT) AS unknown_edges, dangling_edges + dangling_roots = 0 AS complete FROM c""")
+def context_integrity(spark, sf_dir):
+    g = Graph(spark, sf_dir)
+    far = F.when(F.col("l_linenumber") == 7, F.col("l_partkey") + 10**9).otherwise(F.col("l_partkey"))
+    only = F.when(F.col("l_returnflag") == "A", "ios").when(F.col("l_returnflag") == "R", "web")
+    raw = g.table("lineitem").withColumn("far", far).select(g.ids("orders", "l_orderkey", "src"), g.ids("part", "far", "dst"), only.alias("only")).distinct()
+    edges = raw.select("src", "dst", F.lit("uses").alias("kind"), F.lit(True).alias("exact"), F.lit("").alias("evidence"), _on_platform("only").alias("condition"))
+    lost = g.table("orders").withColumn("far", F.col("o_orderkey") + F.when(F.col("o_orderstatus") == "P", 10**9).otherwise(0))
+    roots = lost.select(g.ids("orders", "far"), F.lit(None).cast(CONDITION).alias("condition"), F.lit(None).cast("string").alias("aux_id"))
+    return _model(spark, g.nodes(), edges, roots).integrity
