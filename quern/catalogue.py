@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions.conditions import blocker_id, compose_path, sanitised_id
 from quern.operators import closure as C
 from quern.operators import facts, findings, resolve
+from quern.plans.materialise import cut
 from quern.plans.projection import NAMESPACES, Graph
 
 QUERIES: dict = {}
@@ -97,8 +98,9 @@ def _findings(spark, sf_dir):
     g = Graph(spark, sf_dir)
     edges = g.cached_edges()
     kept = _retained(g, edges)
-    active = g.blockers().join(kept.select(F.col("id").alias("source_node_id")).distinct(), "source_node_id", "left_semi")
-    free = C.sourceless(g.blockers(), g.nodes())
+    blockers = cut(g.blockers())
+    active = blockers.join(kept.select(F.col("id").alias("source_node_id")).distinct(), "source_node_id", "left_semi")
+    free = C.sourceless(blockers, g.nodes())
     blocked = C.addressed(active.unionByName(free.select(*active.columns)), g.nodes()).select("id")
     rows = findings.candidates(g.nodes(), C.proven(g.roots(), edges), kept, g.protected(), blocked)
     return findings.classified(rows, F.col("kind") != "region", F.col("kind") == "customer", F.lit(True), F.lit(True))

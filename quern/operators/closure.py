@@ -39,13 +39,20 @@ def addressed(namespaces: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     spaces = bounded(namespaces.where(F.col("affected_namespace").isNotNull()).select("affected_namespace").distinct())
     # As many lengths as the longest namespace has characters, at most.
-    lengths = F.array(*[F.lit(r[0]) for r in spaces.select(F.length("affected_namespace")).distinct().collect()]).cast("array<int>")
+    seen = spaces.groupBy(F.length("affected_namespace").alias("n")).agg(F.bool_or(~F.contains("affected_namespace", F.lit(":"))).alias("inner")).collect()
+    if not seen:
+        return nodes.limit(0).select(F.col("id").alias("affected_namespace"), "id")
     id_ = F.col("id")
-    cuts = lambda start: F.transform(F.filter(lengths, lambda n: n <= F.length(id_) - start + 1), lambda n: F.substring(id_, start, n))
-    slashes = F.filter(F.sequence(F.lit(1), F.length(id_)), lambda i: F.substring(id_, i, F.lit(1)) == "/")
-    inner = F.filter(F.flatten(F.transform(slashes, lambda i: cuts(i + 1))), lambda x: ~x.contains(":"))
-    outer = cuts(F.lit(1))
-    offered = nodes.select("id").where(id_ != "").select("id", F.explode(F.array_distinct(F.concat(outer, inner))).alias("affected_namespace"))
+
+    def stretches(start, sizes):
+        return F.transform(F.filter(F.array(*map(F.lit, sizes)), lambda n: n <= F.length(id_) - start + 1), lambda n: F.substring(id_, start, n))
+
+    keys = stretches(F.lit(1), [r.n for r in seen])
+    if any(r.inner for r in seen):
+        slashes = F.filter(F.sequence(F.lit(1), F.length(id_)), lambda i: F.substring(id_, i, F.lit(1)) == "/")
+        inner = F.flatten(F.transform(slashes, lambda i: stretches(i + 1, [r.n for r in seen if r.inner])))
+        keys = F.concat(keys, F.filter(inner, lambda x: ~x.contains(":")))
+    offered = nodes.select("id").where(id_ != "").select("id", F.explode(F.array_distinct(keys)).alias("affected_namespace"))
     return offered.join(spaces, "affected_namespace").select("affected_namespace", "id")
 
 
@@ -86,6 +93,7 @@ def retained(roots: DataFrame, edges: DataFrame, protected: DataFrame, blockers:
 
     With ``per_context`` the edges carry the context in which they apply.
     """
+    blockers = cut(blockers)
     free = sourceless(blockers, nodes)
     listed = free.select(F.explode("affected_node_ids").alias("id")).join(nodes.select("id"), "id", "left_semi")
     everywhere = protected.select("id").unionByName(_scope(free).where("hub is not null").select(F.col("hub").alias("id"))).unionByName(listed).distinct()
