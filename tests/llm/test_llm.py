@@ -344,3 +344,58 @@ def test_pipeline(spark, odd):
     clean = odd.select("doc_id", "text", "lang", "source", "n_chars")
     assert corpus_pipeline.near_dedup(spark, clean, SF).where("doc_id = 3").count() == 1
     assert corpus_pipeline.source_mixing(spark, clean, SF).columns == clean.columns
+
+
+def shingles_brute(text):
+    w = (text or "").lower().split()
+    return frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def roots_brute(texts):
+    """The least text of each text's group of near copies."""
+    texts = sorted(set(texts))
+    sets, root = [shingles_brute(t) for t in texts], list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, a in enumerate(sets):
+        for k, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= 0.8 * len(a | b):
+                x, y = find(i), find(k)
+                root[max(x, y)] = min(x, y)
+    return {t: texts[find(k)] for k, t in enumerate(texts)}
+
+
+def edited_copies():
+    """Copies with 1 to 20 of 300 words changed, far more than SimHash's 4 bits, and texts around one common passage."""
+    r = random.Random(11)
+    out, passage = [], " ".join(f"p{k}" for k in range(60))
+    for g in range(6):
+        base = [f"g{g}w{r.randrange(900)}" for _ in range(300)]
+        for _ in range(12):
+            w = list(base)
+            for k in r.sample(range(300), r.randrange(1, 21)):
+                w[k] = f"n{r.randrange(10**6)}"
+            out.append(" ".join(w))
+    return out + [passage + " " + " ".join(f"u{k}x{r.randrange(10**6)}" for _ in range(30)) for k in range(40)]
+
+
+@pytest.mark.parametrize("pairs", [16, 2])
+def test_near_dedup_equals_jaccard(spark, odd, pairs, monkeypatch):
+    import corpus_pipeline
+    from quern.llm import overlap
+
+    monkeypatch.setattr(overlap.near_copies, "__defaults__", (pairs, 2))
+    rows = [(k, t) for k, t in enumerate(edited_copies())] + [(1_000 + r.doc_id, r.text) for r in odd.collect() if r.doc_id is not None]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    roots = roots_brute([t or "" for _, t in rows])
+    least = {}
+    for i, t in rows:
+        least[roots[t or ""]] = min(least.get(roots[t or ""], i), i)
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect())
+    assert got == sorted(least.values())
+    assert simhash.near_duplicates(docs).where("doc_id < 72").select("component_id").distinct().count() > sum(i < 72 for i in got)
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), SF).count() == 0
