@@ -399,3 +399,13 @@ def test_near_dedup_equals_jaccard(spark, odd, pairs, monkeypatch):
     assert got == sorted(least.values())
     assert simhash.near_duplicates(docs).where("doc_id < 72").select("component_id").distinct().count() > sum(i < 72 for i in got)
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), SF).count() == 0
+
+
+def test_near_dedup_decides_by_row(spark):
+    import corpus_pipeline
+
+    unlike = [" ".join(f"t{k}w{i}" for i in range(40)) for k in range(12)]
+    rows = [(3, unlike[0]), (None, unlike[0] + " more"), (None, unlike[1]), (None, unlike[2]), (None, unlike[2]), (7, unlike[3]), (7, unlike[4]), (7, unlike[0] + " extra"), (9, unlike[5]), (9, unlike[5]), (None, None), (4, "")]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SF).collect()
+    want = [(3, unlike[0]), (None, unlike[1]), (None, unlike[2]), (7, unlike[3]), (7, unlike[4]), (9, unlike[5]), (4, "")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept))) == sorted(map(str, want))
