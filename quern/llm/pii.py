@@ -9,8 +9,10 @@ address, card or phone number). With p(e) the share of documents with entity e a
 p(e|t) that of the documents with term t that also hold e, the pointwise mutual
 information is log p(e|t) / p(e). A term whose PMI is at least ``remove`` times the
 entity's information -log p(e) discloses it and is removed; one that reaches
-``generalise`` times it is generalised. Document counts are over all documents; a
-pair needs contexts of at least ``MIN_CONTEXTS`` different wordings.
+``generalise`` times it is generalised. Document counts are over all documents and
+their whole texts without base spans; a pair also needs support of two wordings:
+contexts of the entity that hold the term or, of a document that has it elsewhere
+only, one of the entity's contexts there.
 
 Defined results: null text is empty and has no spans; ids may be null or repeat,
 equal rows get equal results and none are multiplied; offsets are code points, end
@@ -42,7 +44,6 @@ TERM = r"\p{L}{3,}+"
 SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
 #: Code points of context on each side of an entity.
 WINDOW = 120
-MIN_CONTEXTS = 2
 #: Shares of an entity's information that a term may disclose.
 GENERALISE, REMOVE = 0.8, 0.95
 #: Rows of a side that is broadcast, at most; beyond it the join is dealt out by key.
@@ -107,29 +108,53 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces for the spans, of the same length."""
+    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(s, x):
+        kept = text.substr((s["at"] + 1).cast("int"), F.greatest(x["start"] - s["at"], F.lit(0)).cast("int"))
+        fill = F.repeat(F.lit(" "), F.greatest(x["end"] - F.greatest(x["start"], s["at"]), F.lit(0)).cast("int"))
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], F.array(kept, fill)).alias("out"))
+
+    return F.aggregate(F.array_sort(spans), first, step, lambda s: F.concat(F.array_join(s["out"], ""), text.substr((s["at"] + 1).cast("int"), F.length(text))))
+
+
 def disclosing_terms(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """term and action (remove or generalise) of the terms that disclose an entity."""
-    text = F.col("text")
-    spans = F.concat(*[F.transform(F.col(k), _named(k)) for k in KINDS])
 
-    def context(x):
+    def around(text, x):
         start = F.greatest(x["start"] - WINDOW, F.lit(0))
         before = text.substr((start + 1).cast("int"), (x["start"] - start).cast("int"))
         before = F.when(start > 0, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
         after = F.regexp_replace(text.substr((x["end"] + 1).cast("int"), F.lit(WINDOW)), r"(?<=^.{119})\p{L}$", "")
         after = F.when(F.length(after) >= WINDOW - 1, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
-        both = F.concat(before, F.lit(" "), after)
-        return F.struct(x["entity"].alias("entity"), F.xxhash64(both).alias("wording"), _terms(both).alias("terms"))
-
-    seen = with_base(docs).where(sum([F.size(k) for k in KINDS]) > 0).select(F.transform(spans, context).alias("c"))
-    per_doc = cut(seen.select(F.monotonically_increasing_id().alias("row"), F.explode("c").alias("c")).select("row", "c.*"))
-    # Wordings and documents first, so that copies and hot entities shrink before the counts meet.
-    per_wording = per_doc.select("row", "entity", "wording", F.explode("terms").alias("term")).where(~F.col("entity").contains(F.col("term"))).groupBy("entity", "term", "wording").agg(F.count_distinct("row").alias("n"))
-    pairs = per_wording.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("wording").alias("wordings")).where(F.col("wordings") >= MIN_CONTEXTS)
-    pairs = cut(pairs)
-    held = per_doc.groupBy("entity").agg(F.count_distinct("row").alias("of_entity"))
+        return F.concat(before, F.lit(" "), after)
+
+    def context(x):
+        return F.struct(x["entity"].alias("entity"), F.xxhash64(around(F.col("text"), x)).alias("wording"), _terms(around(F.col("plain"), x)).alias("near"))
+
+    seen = with_base(docs).where(sum([F.size(k) for k in KINDS]) > 0)
+    seen = once(seen.select("text", F.concat(*[F.transform(F.col(k), _named(k)) for k in KINDS]).alias("spans")).withColumn("plain", _blanked(F.col("text"), F.col("spans"))))
+    # Terms of the whole text, and those that stand in base spans only.
+    seen = seen.select(F.transform("spans", context).alias("c"), _terms(F.col("plain")).alias("terms"), F.array_except(_terms(F.col("text")), _terms(F.col("plain"))).alias("inside"))
+    seen = cut(seen.select(F.monotonically_increasing_id().alias("row"), "*"))
+    per_doc = seen.select("row", F.explode("c").alias("c")).select("row", "c.*")
+    # Only an entity of two wordings can have the support.
+    held = per_doc.groupBy("entity").agg(F.count_distinct("row").alias("of_entity"), (F.min("wording") < F.max("wording")).alias("worded")).where("worded").select("entity", "of_entity")
+    held = bounded(held)
+    per_doc = cut(per_doc.join(held.select("entity"), "entity"))
+    whole = per_doc.groupBy("row", "entity").agg(F.min("wording").alias("wording"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    whole = cut(whole.join(seen.select("row", "terms"), "row"))
+    # A document counts once for an entity and a term; wordings are compared, not gathered.
+    far = whole.select("entity", F.explode(F.array_except("terms", "near")).alias("term"), F.lit(1).alias("one"), "wording")
+    close = whole.select("entity", F.explode(F.array_intersect("terms", "near")).alias("term"), F.lit(1).alias("one"), F.lit(None).cast("bigint").alias("wording"))
+    worded = per_doc.select("entity", F.explode("near").alias("term"), F.lit(0).alias("one"), "wording")
+    pairs = far.unionByName(close).unionByName(worded).where(~F.col("entity").contains(F.col("term"))).groupBy("entity", "term").agg(F.sum("one").alias("both"), (F.min("wording") < F.max("wording")).alias("worded"))
+    pairs = cut(pairs.where("worded and both > 0").select("entity", "term", "both"))
     terms = bounded(pairs.select("term").distinct())
-    with_term = docs.select(F.explode(_terms(F.coalesce(F.col("text"), F.lit("")))).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("of_term"))
+    counts = docs.select(F.explode(_terms(F.coalesce(F.col("text"), F.lit("")))).alias("term"), F.lit(1).alias("n")).unionByName(seen.select(F.explode("inside").alias("term"), F.lit(-1).alias("n")))
+    with_term = counts.join(terms, "term").groupBy("term").agg(F.sum("n").alias("of_term"))
     total = docs.agg(F.greatest(F.count("*"), F.lit(2)).alias("total"))
     scored = pairs.join(held, "entity").join(with_term, "term").crossJoin(F.broadcast(total))  # one row
     p_entity = F.col("of_entity") / F.col("total")

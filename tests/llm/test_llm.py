@@ -409,3 +409,14 @@ def test_near_dedup_decides_by_row(spark):
     kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SF).collect()
     want = [(3, unlike[0]), (None, unlike[1]), (None, unlike[2]), (7, unlike[3]), (7, unlike[4]), (9, unlike[5]), (4, "")]
     assert sorted(map(str, ((r.doc_id, r.text) for r in kept))) == sorted(map(str, want))
+
+
+def test_pii_terms_far_from_the_entity(spark):
+    far = " ".join(["plain"] * 60)
+    docs = [(k, f"quokkas{k} timbuktu {far} word{k} bob@corp.example said{k} here") for k in range(6)]
+    docs += [(50, f"{far} carol@corp.example one {far} onlyhere {far} carol@corp.example two")]
+    docs += [(100 + k, f"common words here plain{k} and plain one two") for k in range(200)]
+    terms = {r.term: r.action for r in pii.disclosing_terms(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert terms.get("timbuktu") == "remove" and "plain" not in terms
+    # One document is one wording for what stands away from its entity.
+    assert "onlyhere" not in terms
