@@ -150,7 +150,7 @@ def disclosing_terms(docs: DataFrame, generalise: float = GENERALISE, remove: fl
     far = whole.select("entity", F.explode(F.array_except("terms", "near")).alias("term"), F.lit(1).alias("one"), "wording")
     close = whole.select("entity", F.explode(F.array_intersect("terms", "near")).alias("term"), F.lit(1).alias("one"), F.lit(None).cast("bigint").alias("wording"))
     worded = per_doc.select("entity", F.explode("near").alias("term"), F.lit(0).alias("one"), "wording")
-    pairs = far.unionByName(close).unionByName(worded).where(~F.col("entity").contains(F.col("term"))).groupBy("entity", "term").agg(F.sum("one").alias("both"), (F.min("wording") < F.max("wording")).alias("worded"))
+    pairs = far.unionByName(close).unionByName(worded).groupBy("entity", "term").agg(F.sum("one").alias("both"), (F.min("wording") < F.max("wording")).alias("worded"))
     pairs = cut(pairs.where("worded and both > 0").select("entity", "term", "both"))
     terms = bounded(pairs.select("term").distinct())
     counts = docs.select(F.explode(_terms(F.coalesce(F.col("text"), F.lit("")))).alias("term"), F.lit(1).alias("n")).unionByName(seen.select(F.explode("inside").alias("term"), F.lit(-1).alias("n")))

@@ -420,3 +420,13 @@ def test_pii_terms_far_from_the_entity(spark):
     assert terms.get("timbuktu") == "remove" and "plain" not in terms
     # One document is one wording for what stands away from its entity.
     assert "onlyhere" not in terms
+
+
+def test_pii_terms_of_the_address(spark):
+    docs = [(k, f"note{k} from Zebulon and quist{'' if k % 2 else ' again'} to zebulon.quist@corp.org sent{k}") for k in range(6)]
+    docs += [(50, "zebulon alone, no address"), (51, "quist by mail")] + [(100 + k, f"common words here {'mail ' * (k % 2)}filler{k} and more") for k in range(400)]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    terms = {r.term for r in pii.disclosing_terms(docs).collect()}
+    assert {"zebulon", "quist"} <= terms and not {"mail", "words", "corp", "org"} & terms
+    masked = {r.doc_id: r.m for r in pii.sanitise(docs).select("doc_id", pii.masked(F.col("text")).alias("m")).collect()}
+    assert all("zebulon" not in m.lower() and "quist" not in m.lower() for m in masked.values()) and "<EMAIL>" in masked[0]
