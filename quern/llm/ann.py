@@ -5,8 +5,11 @@ the last coordinate is kept as it is. The vector part is product-quantised to fo
 bits per subspace. Codes and codebooks minimise |r|^2 + (eta - 1) (r . x/|x|)^2 of
 the residual r, so that error along the vector, which moves large inner products
 most, weighs eta times. Queries meet the rows in blocks: a table of 16 products per
-subspace and query scores every row of the block, the best ``DEPTH`` and their ties
-are scored exactly on the original vectors, and each query's best of all blocks stay.
+subspace and query scores every row of the block, and the best ``DEPTH`` and their
+ties are scored exactly on the original vectors. A row is no nearer than its decoded
+vector less the length of its residual: all rows that this does not exclude are then
+scored by exact products, so that each block gives its true nearest. Each query's
+best of all blocks stay.
 
 Of equal vectors only the smallest ids can be among the k nearest, so k + 1 of each
 enter the blocks (one may be the query itself): nothing that could be found is lost.
@@ -61,6 +64,11 @@ class Codebooks:
                 total = others + along[:, j]
         return codes.astype(np.uint8)
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """The vectors that codes stand for, padded to whole subspaces."""
+        m = len(self.books)
+        return self.books[np.arange(m), codes].reshape(len(codes), -1)
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Products of each query with each centre: queries x subspaces x 16."""
         return np.einsum("qms,mcs->qmc", self.parts(q), self.books).astype(np.float32)
@@ -143,22 +151,43 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, rows: int = ROWS,
             order = np.argsort(ids, kind="stable")
             ids, v = ids[order], np.array(left["v"].to_pylist(), dtype=np.float64)[order]
             codes = np.frombuffer(b"".join(left["code"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1)[order]
-            base = (-0.5 * (v**2).sum(1)).astype(np.float32)
+            v2 = (v**2).sum(1)
+            base = (-0.5 * v2).astype(np.float32)
+            decoded = books.decode(codes)
+            n2, off = (decoded**2).sum(1), np.sqrt(((books.parts(v).reshape(len(v), -1) - decoded) ** 2).sum(1))
             q_ids, q = right["vec_id"].to_numpy(), np.array(right["v"].to_pylist(), dtype=np.float64)
             table = books.tables(q)
+
+            def nearest(near, i):
+                near = near[ids[near] != q_ids[i]]
+                d = np.sqrt(((v[near] - q[i]) ** 2).sum(1))
+                order = np.lexsort((ids[near], d))
+                near, d = near[order], d[order]
+                first = np.sort(np.unique(ids[near], return_index=True)[1])[:k]
+                return near[first], d[first]
+
             for a in range(0, len(q), 128):
                 t = table[a : a + 128]
-                score = np.broadcast_to(base, (len(t), len(ids))).copy()
+                dot = np.zeros((len(t), len(ids)), dtype=np.float32)
                 for j in range(codes.shape[1]):
-                    score += t[:, j, :][:, codes[:, j]]
-                for i, s in enumerate(score):
+                    dot += t[:, j, :][:, codes[:, j]]
+                best = []
+                for i, s in enumerate(dot + base):
                     near = np.arange(len(ids)) if len(ids) <= depth else np.flatnonzero(s >= np.partition(s, len(s) - depth)[len(s) - depth])
-                    near = near[ids[near] != q_ids[a + i]]
-                    d = np.sqrt(((v[near] - q[a + i]) ** 2).sum(1))
-                    best = np.lexsort((ids[near], d))[:k]
-                    out[0].append(np.full(len(best), q_ids[a + i]))
-                    out[1].append(ids[near][best])
-                    out[2].append(d[best])
+                    best.append(nearest(near, a + i))
+                if len(ids) > depth:
+                    limit = np.array([d[-1] if len(d) == k else np.inf for _, d in best])[:, None]
+                    q2 = (q[a : a + 128] ** 2).sum(1)[:, None]
+                    # Products of the tables are rounded to 32 bits; what is not a number excludes nothing.
+                    low = np.sqrt(np.maximum(q2 - 2.0 * dot + n2 - 1e-5 * (q2 + n2), 0)) - off
+                    left = np.flatnonzero(~(low > limit).all(0))
+                    exact = q2 - 2.0 * (q[a : a + 128] @ v[left].T) + v2[left]
+                    open_ = ~(exact > limit**2 + 1e-9 * (q2 + v2[left]))
+                    best = [nearest(left[o], a + i) for i, o in enumerate(open_)]
+                for i, (near, d) in enumerate(best):
+                    out[0].append(np.full(len(near), q_ids[a + i]))
+                    out[1].append(ids[near])
+                    out[2].append(d)
         cat = [np.concatenate(o) if o else np.zeros(0, dt) for o, dt in zip(out, (np.int64, np.int64, np.float64))]
         return pa.Table.from_arrays([pa.array(c) for c in cat], names=["query_id", "vec_id", "score"])
 

@@ -430,3 +430,32 @@ def test_pii_terms_of_the_address(spark):
     assert {"zebulon", "quist"} <= terms and not {"mail", "words", "corp", "org"} & terms
     masked = {r.doc_id: r.m for r in pii.sanitise(docs).select("doc_id", pii.masked(F.col("text")).alias("m")).collect()}
     assert all("zebulon" not in m.lower() and "quist" not in m.lower() for m in masked.values()) and "<EMAIL>" in masked[0]
+
+
+@pytest.mark.parametrize("spread", [0.03, 0.3, "hot"])
+def test_ann_close_vectors(spark, spread):
+    rng = np.random.default_rng(4)
+    n = 8_192
+    if spread == "hot":
+        v = rng.normal(size=(n, 64))
+        v[: n // 3] = v[0] + 0.01 * rng.normal(size=(n // 3, 64))
+    else:
+        v = rng.normal(size=(20, 64))[rng.integers(20, size=n)] + spread * rng.normal(size=(n, 64))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(v.ravel(), 64).cast(pa.list_(pa.float64()))}))
+    found = {}
+    for r in ann.search(df).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for i, ids in found.items():
+        d = ((v - v[i]) ** 2).sum(1)
+        d[i] = np.inf
+        hit += len(ids & set(np.argsort(d)[:10].tolist()))
+    assert len(found) == 82 and hit == 10 * len(found)
+
+
+def test_ann_ids_of_several_vectors(spark):
+    v = np.random.default_rng(6).normal(size=(300, 8))
+    rows = [(0, v[0].tolist())] + [(5, (v[0] + 1e-3 * (k + 1)).tolist()) for k in range(15)] + [(k, v[k].tolist()) for k in range(6, 300)]
+    found = ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), every=1_000).collect()
+    near = {5: 0.0} | {k: ((v[k] - v[0]) ** 2).sum() for k in range(6, 300)}
+    assert [r.vec_id for r in sorted(found, key=lambda r: r.rank)] == sorted(near, key=near.get)[:10]
