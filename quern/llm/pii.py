@@ -48,6 +48,8 @@ WINDOW = 120
 GENERALISE, REMOVE = 0.8, 0.95
 #: Rows of a side that is broadcast, at most; beyond it the join is dealt out by key.
 BROADCAST_ROWS = 50_000
+#: Terms that are looked up row by row, at most; more are joined.
+LISTED = 5_000
 
 
 def _long(c: Column) -> Column:
@@ -152,9 +154,12 @@ def disclosing_terms(docs: DataFrame, generalise: float = GENERALISE, remove: fl
     worded = per_doc.select("entity", F.explode("near").alias("term"), F.lit(0).alias("one"), "wording")
     pairs = far.unionByName(close).unionByName(worded).groupBy("entity", "term").agg(F.sum("one").alias("both"), (F.min("wording") < F.max("wording")).alias("worded"))
     pairs = cut(pairs.where("worded and both > 0").select("entity", "term", "both"))
-    terms = bounded(pairs.select("term").distinct())
-    counts = docs.select(F.explode(_terms(F.coalesce(F.col("text"), F.lit("")))).alias("term"), F.lit(1).alias("n")).unionByName(seen.select(F.explode("inside").alias("term"), F.lit(-1).alias("n")))
-    with_term = counts.join(terms, "term").groupBy("term").agg(F.sum("n").alias("of_term"))
+    terms = cut(pairs.select("term").distinct())
+    words, all_terms = few(terms), _terms(F.coalesce(F.col("text"), F.lit("")))
+    # Terms are counted before they meet the wanted ones; a short list of these is looked up row by row.
+    counts = docs.select(F.explode(all_terms if words is None else F.filter(all_terms, lambda t: listed(t, words))).alias("term"), F.lit(1).alias("n"))
+    counts = counts.unionByName(seen.select(F.explode("inside").alias("term"), F.lit(-1).alias("n"))).groupBy("term").agg(F.sum("n").alias("of_term"))
+    with_term = counts.join(terms, "term")
     total = docs.agg(F.greatest(F.count("*"), F.lit(2)).alias("total"))
     scored = pairs.join(held, "entity").join(with_term, "term").crossJoin(F.broadcast(total))  # one row
     p_entity = F.col("of_entity") / F.col("total")
@@ -169,6 +174,18 @@ def bounded(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
 
 
+def few(terms: DataFrame) -> list[str] | None:
+    """The terms, if they are at most LISTED."""
+    if terms.count() > LISTED:
+        return None
+    return sorted(r.term for r in terms.select("term").collect())
+
+
+def listed(term: Column, words: list[str]) -> Column:
+    """Whether a term is one of the words: a look into one hash set, without a join."""
+    return term.isin(words) if words else F.lit(False)
+
+
 def _term_spans(text: Column, flagged: Column) -> Column:
     """Spans of the flagged terms, as whole runs of letters in any case."""
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(flagged, "|"), F.lit(r")(?!\p{L})"))
@@ -179,16 +196,21 @@ def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = RE
     """doc_id, text, the payload columns, spans per kind, and ``removed`` and ``generalised`` spans of disclosing terms."""
     rows = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *payload).alias("payload"))
     flagged = disclosing_terms(rows, generalise, remove)
-    none = F.array().cast("array<string>")
-    if flagged.isEmpty():
-        marked = rows.withColumns({"t_remove": none, "t_generalise": none})
+    here = _terms(F.coalesce(F.col("text"), F.lit("")))
+    words = few(flagged)
+    if words is not None:
+        # No text moves: each row looks its own terms up.
+        of = {a: sorted(r.term for r in flagged.where(F.col("action") == a).collect()) for a in ("remove", "generalise")}
+        known = F.filter(here, lambda t: listed(t, words)) if words else F.array().cast("array<string>")
+        of_action = lambda a: F.filter("known", lambda t: listed(t, of[a]))
+        marked = once(rows.select("*", known.alias("known"))).select(*rows.columns, *[of_action(a).alias(f"t_{a}") for a in of])
     else:
         # Equal rows share a key, so the join back gives each row exactly one partner.
         key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("key_id"), F.xxhash64("text").alias("key_text")]
-        hits = rows.select(*key, F.explode(_terms(F.coalesce(F.col("text"), F.lit("")))).alias("term")).join(bounded(flagged), "term")
+        hits = rows.select(*key, F.explode(here).alias("term")).join(bounded(flagged), "term")
         hits = hits.groupBy("key_id", "key_text").agg(*[F.collect_set(F.when(F.col("action") == a, F.col("term"))).alias(f"t_{a}") for a in ("remove", "generalise")])
         marked = rows.select("*", *key).join(bounded(hits), ["key_id", "key_text"], "left").drop("key_id", "key_text")
-        marked = marked.withColumns({c: F.coalesce(F.col(c), none) for c in ("t_remove", "t_generalise")})
+        marked = marked.withColumns({c: F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("t_remove", "t_generalise")})
     text = F.coalesce(F.col("text"), F.lit(""))
     base = marked.select("doc_id", text.alias("text"), "payload", *[base_spans(text, k).alias(k) for k in KINDS], "t_remove", "t_generalise")
     return once(base.select("doc_id", "text", *[f"payload.{c}" for c in payload], *KINDS, _term_spans(F.col("text"), F.col("t_remove")).alias("removed"), _term_spans(F.col("text"), F.col("t_generalise")).alias("generalised")))
