@@ -15,8 +15,9 @@ what chunks leave open goes up a reduction tree, pair by pair, until one is left
 per source. Random numbers are hashes of ids, so reruns agree.
 
 Defined results: null or empty texts have size 0 and take 0; null sources are one
-source, the last; ids may be null or repeat, each row is rounded by itself; sources
-of size 0 have target 0; an empty table gives no rows; other columns stay unread.
+source, the last; ids may be null or repeat, each row is rounded by itself, rows that
+are alike too; sources of size 0 have target 0; very long texts are counted whole; an
+empty table gives no rows; columns that are neither named above nor payload stay unread.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SHARE = 1.5
 MOST = 2.0
 #: Documents of a chunk, on average.
 CHUNK = 128
+#: Rows that are alike and numbered at a time.
+LOT = 4_096
 SEED = 20_011
 
 
@@ -144,17 +147,19 @@ def rounded(units: DataFrame, chunk: int = CHUNK) -> DataFrame:
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, payload=()) -> DataFrame:
     """doc_id, size, source_size, target, copies and taken of every row, and the payload columns."""
     names = ["doc_id", "source", *payload]
-    sized = docs.select(*names, size_of(F.col("text")).alias("size"))
-    if not payload:
-        sized = cut(sized)
-    goal = cut(targets(sized.select("source", "size"), weights, share, most))
+    # Rows that are alike in all that is read are counted, then numbered, so that each meets a chunk of its own.
+    sized = cut(docs.select(*names, size_of(F.col("text")).alias("size")).groupBy(*names, "size").agg(F.count("*").alias("alike")))
+    goal = cut(targets(sized.select("source", (F.col("size") * F.col("alike")).alias("size")), weights, share, most))
     # One row per source: a side of bounded size in practice, checked before it is broadcast.
     side = F.broadcast(goal) if goal.count() <= 100_000 else goal
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = sized.join(side.withColumnRenamed("source", "goal_source"), F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
     rows = rows.withColumn("rate", F.least(rate, F.lit(float(most)))).withColumn("whole", F.floor("rate").cast("int")).withColumn("p", F.col("rate") - F.col("whole"))
     kept = F.struct(*[F.col(c) for c in names], "source_size", "target", "whole")
-    units = rows.select(F.xxhash64(F.coalesce("source", F.lit("\x00null"))).alias("grp"), "size", F.xxhash64("doc_id", "size").alias("key"), "p", kept.alias("payload"))
+    lots = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("alike") - 1) / LOT)))
+    rows = rows.select("*", lots.alias("lot")).withColumn("number", F.explode(F.sequence(F.col("lot") * LOT, F.least((F.col("lot") + 1) * LOT, F.col("alike")) - 1)))
+    key = F.xxhash64(*names, "size", "number")
+    units = rows.select(F.xxhash64(F.coalesce("source", F.lit("\x00null"))).alias("grp"), "size", key.alias("key"), "p", kept.alias("payload"))
     out = rounded(units).select("payload.*", "size", "one")
     copies = (F.col("whole") + F.col("one")).cast("bigint")
     return out.select(*names, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
