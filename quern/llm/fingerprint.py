@@ -6,23 +6,25 @@ paragraphs it touches only. A paragraph's digest holds 48 hashed bits and 16 bit
 length; repeats are told apart by their number. A sketch adds each digest to three
 cells of (count, digest sum, check sum). Subtracting two sketches leaves the digests
 that differ; peeling cells of one digest recovers them. If some cells stay, the
-pair is sketched anew with more cells, until nothing stays.
+pair is sketched anew with more cells, until nothing stays. Pairs that never peel
+(two equal digests in one text) are compared digest by digest after twelve retries.
 
 The likeness of two fingerprints is 1 minus the share of their paragraphs' length
 that the recovered digests make up: 1 for equal texts, 0 if no paragraph is shared.
 
 Defined results: null text is empty; two empty texts have likeness 1; rows of equal
-id follow each other in the order of their texts; null ids are the smallest; the
-only document's next one is itself; an empty table gives no rows.
+id follow each other in the order of their texts; null ids are the smallest; very
+long texts are sketched whole; the only document's next one is itself; an empty table
+gives no rows; only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ from quern.llm._common import texts_of
 #: Cells of the fingerprint that is returned, and the factor of each retry.
 CELLS = 24
 LARGER = 8
+#: Retries after which a pair is compared without sketches.
+RETRIES = 12
 #: One of so many white-space places ends a paragraph.
 EVERY = 4
 #: Bytes of text compared at a time.
@@ -127,6 +131,13 @@ def peel(count, key, check, first, sizes, salt: int = 0):
     return np.concatenate(found or [np.zeros(0, np.uint64)]), np.concatenate(found_of or [np.zeros(0, np.int64)]), ~stuck
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> float:
+    """The length of the paragraphs in which two arrays of digests differ, repeats counted."""
+    keys, of = np.unique(np.concatenate([a, b]), return_inverse=True)
+    more = np.bincount(of[: len(a)], minlength=len(keys)) - np.bincount(of[len(a) :], minlength=len(keys))
+    return float((np.abs(more) * (keys & np.uint64(0xFFFF)).astype(np.int64)).sum())
+
+
 def likeness(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = CELLS) -> np.ndarray:
     """Likeness of each pair of digest arrays, by subtraction and peeling, larger where that fails."""
     out, todo, salt = np.ones(len(pairs)), np.arange(len(pairs)), 0
@@ -147,6 +158,11 @@ def likeness(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = CELLS) ->
         i = todo[done]
         out[i] = np.where(total[i] > 0, 1 - lost[done] / np.maximum(total[i], 1), 1.0)
         todo = todo[~done]
+        if salt == RETRIES:
+            # What no sketch tells apart (digests that collide within a text) is compared digest by digest.
+            for i in todo:
+                out[i] = 1 - _apart(*pairs[i]) / total[i] if total[i] else 1.0
+            break
         # A sketch with three cells for each digest of both seldom fails; then its double is taken.
         larger = np.where(sizes[todo] < most[todo], np.minimum(sizes[todo] * LARGER, most[todo]), sizes[todo] * 2)
         sizes[todo] = -(-np.maximum(larger, cells) // 3) * 3
@@ -201,24 +217,29 @@ def with_edits(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     least = -(2**63)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(least)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(least)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").isNull().alias("none"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = rows.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 10_000)).first()[0]
     if cuts is None:
         return spark.createDataFrame([], schema)
     cuts = np.unique(np.array(cuts, dtype=np.int64))
+    step = max(1, math.isqrt(len(cuts)))
+    groups = [cuts[k : k + step].tolist() for k in range(0, len(cuts), step)]
+    tops, limits = F.array(*[F.lit(g[-1]) for g in groups]).cast("array<bigint>"), F.array(*[F.array(*map(F.lit, g)) for g in groups]).cast("array<array<bigint>>")
 
-    @F.pandas_udf("int")
-    def bucket(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(), side="left"))
+    def bucket(ids: str):
+        """How many cuts lie below an id: whole groups of them first, then within the next."""
+        below = F.size(F.filter(tops, lambda c: c < F.col(ids)))
+        more = F.coalesce(F.size(F.filter(F.get(limits, below), lambda c: c < F.col(ids))), F.lit(0))
+        return F.least(below * step + more, F.lit(len(cuts)))
 
     # The first row of each range also goes to the range above it, whose last row it follows.
     firsts = sorted(rows.groupBy(bucket("doc_id").alias("bucket")).agg(F.max("doc_id").alias("doc_id")).collect())
     to = [(firsts[k][1], firsts[(k + 1) % len(firsts)][0]) for k in range(len(firsts))]
     extra = spark.createDataFrame(to, "doc_id bigint, bucket int")  # a row per range
-    again = rows.join(F.broadcast(extra), "doc_id").select("doc_id", "text", "bucket", F.lit(True).alias("extra"))
-    dealt = rows.select("doc_id", "text", bucket("doc_id").alias("bucket"), F.lit(False).alias("extra")).unionByName(again)
-    dealt = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "extra", F.desc("doc_id"), "text")
+    again = rows.join(F.broadcast(extra), "doc_id").select("doc_id", "text", "bucket", F.lit(True).alias("extra"), "none")
+    dealt = rows.select("doc_id", "text", bucket("doc_id").alias("bucket"), F.lit(False).alias("extra"), "none").unionByName(again)
+    dealt = dealt.repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("bucket", "extra", F.desc("doc_id"), "none", "text")
 
     def run(batches):
         import pyarrow as pa
@@ -226,14 +247,14 @@ def with_edits(docs: DataFrame) -> DataFrame:
         out_schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
         last, slab, size = None, [], 0
         for b in batches:
-            for doc_id, text, where, more in zip(*(b.column(k).to_pylist() for k in range(4))):
+            for doc_id, text, where, more, none in zip(*(b.column(k).to_pylist() for k in range(5))):
                 if last and last[2] == where and not last[3]:
-                    slab.append((None if last[0] == least else last[0], last[1], text))
+                    slab.append((last[0], last[1], text))
                     size += len(last[1]) + len(text)
                     if size > SLAB:
                         yield _compared(slab, out_schema)
                         slab, size = [], 0
-                last = (doc_id, text, where, more)
+                last = (None if none else doc_id, text, where, more)
         if slab:
             yield _compared(slab, out_schema)
 
