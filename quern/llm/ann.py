@@ -16,7 +16,8 @@ enter the blocks (one may be the query itself): nothing that could be found is l
 
 Defined results: vectors that are null, zero, not finite, hold nulls or have another
 length than most take no part; rows that repeat an id count as one for the query and
-never answer themselves; fewer candidates give fewer ranks; no rows: no rows.
+never answer themselves; equal distances come by id; fewer candidates give fewer
+ranks; no rows: no rows; only vec_id and embedding are read, whatever else is there.
 """
 
 from __future__ import annotations
@@ -32,8 +33,12 @@ FIT_ROWS = 20_000
 #: Dimensions of a subspace, and weight of the parallel error.
 SUB = 2
 ETA = 4.0
-#: Rows and queries of a block, and rows of a block that are scored exactly for each query.
-ROWS, QUERIES, DEPTH = 8_192, 1_024, 160
+#: Rows and queries of a block at most, and rows of a block that are scored exactly for each query.
+ROWS, QUERIES, DEPTH = 65_536, 4_096, 160
+#: Rows of a block at least, where there are as many: small tables are dealt to all tasks.
+LEAST_ROWS = 8_192
+#: Products held at a time.
+SLAB = 8_000_000
 
 
 class Codebooks:
@@ -103,6 +108,22 @@ def fit(x: np.ndarray, sub: int = SUB, eta: float = ETA, rounds: int = 6, seed:
     return c
 
 
+def packed(codes: np.ndarray) -> np.ndarray:
+    """Two four-bit codes a byte."""
+    even = np.concatenate([codes, np.zeros((len(codes), codes.shape[1] % 2), np.uint8)], 1)
+    return np.ascontiguousarray(even[:, ::2] | (even[:, 1::2] << 4))
+
+
+def unpacked(raw: np.ndarray, subspaces: int) -> np.ndarray:
+    return np.stack([raw & 15, raw >> 4], 2).reshape(len(raw), -1)[:, :subspaces]
+
+
+def _matrix(column) -> np.ndarray:
+    """An Arrow column of lists of one length as rows of doubles."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+
 def valid(vectors: DataFrame) -> DataFrame:
     """vec_id and v (array of double) of the vectors that take part."""
     v = F.col("embedding").cast("array<double>")
@@ -132,10 +153,11 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, rows: int = ROWS,
         import pyarrow as pa
 
         for b in batches:
-            v = np.stack([np.asarray(a.values) for a in b.column(1)]) if b.num_rows else np.zeros((0, x.shape[1]))
-            codes = books.encode(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "v", "code"])
+            codes = books.encode(_matrix(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in packed(codes)], pa.binary())], names=["vec_id", "v", "code"])
 
+    # Every row goes to each block of queries and every query to each block of rows, so blocks are as large as memory allows.
+    rows = min(rows, max(LEAST_ROWS, -(-n // int(spark.conf.get("spark.sql.shuffle.partitions")))))
     n_rows, n_queries = -(-n // rows), -(-m // queries)
     row_side = held.mapInArrow(coded, "vec_id bigint, v array<double>, code binary").withColumn("rb", F.pmod(F.xxhash64("vec_id"), F.lit(n_rows)))
     row_side = row_side.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
@@ -149,13 +171,14 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, rows: int = ROWS,
         if left.num_rows and right.num_rows:
             ids = left["vec_id"].to_numpy()
             order = np.argsort(ids, kind="stable")
-            ids, v = ids[order], np.array(left["v"].to_pylist(), dtype=np.float64)[order]
-            codes = np.frombuffer(b"".join(left["code"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1)[order]
+            ids, v = ids[order], _matrix(left["v"].combine_chunks())[order]
+            raw = np.frombuffer(b"".join(left["code"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1)[order]
+            codes = unpacked(raw, len(books.books))
             v2 = (v**2).sum(1)
             base = (-0.5 * v2).astype(np.float32)
             decoded = books.decode(codes)
             n2, off = (decoded**2).sum(1), np.sqrt(((books.parts(v).reshape(len(v), -1) - decoded) ** 2).sum(1))
-            q_ids, q = right["vec_id"].to_numpy(), np.array(right["v"].to_pylist(), dtype=np.float64)
+            q_ids, q = right["vec_id"].to_numpy(), _matrix(right["v"].combine_chunks())
             table = books.tables(q)
 
             def nearest(near, i):
@@ -166,8 +189,9 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, rows: int = ROWS,
                 first = np.sort(np.unique(ids[near], return_index=True)[1])[:k]
                 return near[first], d[first]
 
-            for a in range(0, len(q), 128):
-                t = table[a : a + 128]
+            lot = max(1, min(128, SLAB // len(ids)))
+            for a in range(0, len(q), lot):
+                t = table[a : a + lot]
                 dot = np.zeros((len(t), len(ids)), dtype=np.float32)
                 for j in range(codes.shape[1]):
                     dot += t[:, j, :][:, codes[:, j]]
@@ -177,11 +201,11 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, rows: int = ROWS,
                     best.append(nearest(near, a + i))
                 if len(ids) > depth:
                     limit = np.array([d[-1] if len(d) == k else np.inf for _, d in best])[:, None]
-                    q2 = (q[a : a + 128] ** 2).sum(1)[:, None]
+                    q2 = (q[a : a + lot] ** 2).sum(1)[:, None]
                     # Products of the tables are rounded to 32 bits; what is not a number excludes nothing.
                     low = np.sqrt(np.maximum(q2 - 2.0 * dot + n2 - 1e-5 * (q2 + n2), 0)) - off
                     left = np.flatnonzero(~(low > limit).all(0))
-                    exact = q2 - 2.0 * (q[a : a + 128] @ v[left].T) + v2[left]
+                    exact = q2 - 2.0 * (q[a : a + lot] @ v[left].T) + v2[left]
                     open_ = ~(exact > limit**2 + 1e-9 * (q2 + v2[left]))
                     best = [nearest(left[o], a + i) for i, o in enumerate(open_)]
                 for i, (near, d) in enumerate(best):
