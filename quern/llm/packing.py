@@ -5,11 +5,12 @@ alike, so the packing is made on the table of lengths: from the longest length d
 a segment tree over remaining capacities finds the tightest open sequences, and a run
 of pieces goes into a run of them at once. That is best-fit decreasing, piece by
 piece, but its cost depends on ``capacity`` only. Its runs (length, ranks, sequences,
-offset) are then joined to the pieces by length and rank.
+offset) are then looked up by length and rank.
 
-Defined results: a null text is empty, its one piece is the end id; null and repeated
-ids are rows like others; equal lengths are ranked by hash of the id, then id, then
-piece; no rows: no rows; only doc_id and text are read.
+Defined results: a null text is empty, its one piece is the end id; very long texts
+are cut into pieces as any other; null and repeated ids are rows like others; equal
+lengths are ranked by a hash of id, piece and ids, then by these; no rows: no rows;
+only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from quern.llm._common import cut, stored
 
 CAPACITY = 2048
 END_ID = 0
-#: Runs that are broadcast at most; more are joined by length.
-BROADCAST_RUNS = 200_000
+#: Bits of a rank within its length.
+RANK_BITS = 48
 
 
 class CapacityTree:
@@ -88,6 +89,19 @@ def best_fit_decreasing(lengths: dict[int, int], capacity: int = CAPACITY) -> li
     return runs
 
 
+class Places:
+    """Runs in the order of length and rank, found by binary search: one run a piece."""
+
+    def __init__(self, runs: list[tuple[int, int, int, int, int]]):
+        r = np.array(sorted(runs) or [(0, 0, 0, 0, 0)], dtype=np.int64)
+        self.key, self.rank, self.sequence, self.at = (r[:, 0] << RANK_BITS) + r[:, 1], r[:, 1], r[:, 3], r[:, 4]
+
+    def of(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sequence and offset of the pieces with these lengths and ranks."""
+        k = np.searchsorted(self.key, (length << RANK_BITS) + rank, side="right") - 1
+        return self.sequence[k] + rank - self.rank[k], self.at[k]
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of the pieces of every document."""
 
@@ -124,15 +138,22 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     rows = stored(pieces(docs, path, capacity, end_id), "pieces")
     # Ranks within a length: within one of many buckets, after the buckets before it.
     buckets = F.lit(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), buckets).cast("int"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), buckets).cast("int"))
     counts = cut(rows.groupBy("length", "bucket").count())
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"), "count")
     lengths = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("count")).collect()}  # at most ``capacity`` rows
     runs = best_fit_decreasing(lengths, capacity)
-    places = spark.createDataFrame(runs or [(0, 0, 0, 0, 0)], "length bigint, first_rank bigint, n bigint, first_sequence bigint, at bigint")
-    here = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")
+    sent = spark.sparkContext.broadcast(Places(runs))  # as many runs as ``capacity`` allows, however many pieces there are
+    here = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = rows.withColumn("rank", F.row_number().over(here) - 1).join(counts.drop("count"), ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
-    places = F.broadcast(places) if len(runs) <= BROADCAST_RUNS else places
-    found = ranked.join(places, "length").where((F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("n")))
-    return found.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), F.col("at").alias("offset"))
+
+    def put(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            sequence, at = sent.value.of(b.column("length").to_numpy(), b.column("rank").to_numpy())
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(at)], names=[*b.schema.names[:5], "sequence_id", "offset"])
+
+    kind = dict(rows.dtypes)["doc_id"]
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(put, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
