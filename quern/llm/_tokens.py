@@ -167,7 +167,8 @@ def _drops_white_space(spec: dict) -> bool:
     parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [spec.get("pre_tokenizer") or {}])
     head = parts[0]
     normal = (spec.get("normalizer") or {}).get("normalizers", [spec.get("normalizer") or {}])
-    fixed = all(n.get("type") in ("NFC", "Lowercase") or n == {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "} for n in normal)
+    # Chunks are lower-cased before they are encoded, so the vocabulary must do so itself.
+    fixed = any(n.get("type") == "Lowercase" for n in normal) and all(n.get("type") in ("NFC", "Lowercase") or n == {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "} for n in normal)
     pattern = (head.get("pattern") or {}).get("Regex", "")
     # Every alternative is made of letters, digits or a class without white space.
     safe = all(re.fullmatch(r"'[a-z]+|\[\\p\{[LN]\}\]\+?|\[\^\\s[^\]]*\]\+", p) for p in pattern.split("|"))
