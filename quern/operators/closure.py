@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,21 +10,121 @@ from quern.plans.materialise import bounded, cut
 
 #: Rows up to which the edges are broadcast in every step.
 BROADCAST_EDGES = 200_000
+#: Edges and seeds up to which one task walks the whole graph, in memory of its own.
+LOCAL_EDGES = 2_000_000
+#: Edges of one source beyond which they are met by broadcasting the source, not by its key.
+HUB = 100_000
+#: Rows of a frontier that is small, and steps that a small one takes in one job.
+SMALL_FRONT, HOPS = 100_000, 4
+#: Frontiers that are kept apart before they become one table.
+PIECES = 8
 
 
-def closure(seeds: DataFrame, edges: DataFrame, per_context: bool = False) -> DataFrame:
-    """context, id: the least set that holds the seeds (context, id) and follows the edges (src, dst[, context])."""
+def closure(seeds: DataFrame, edges: DataFrame, per_context: bool = False, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """context, id: the least set that holds the seeds (context, id) and follows the edges (src, dst[, context]).
+
+    Null ends are no nodes. A graph of at most ``local_edges`` edges is walked in one
+    task; a larger one in a loop of joins, whose steps write their frontier alone.
+    """
     keys = ["src", "dst", "context"] if per_context else ["src", "dst"]
-    edges = cut(edges.select(*keys).distinct())
-    step = F.broadcast(edges) if edges.count() <= BROADCAST_EDGES else edges
-    on = ["id", "context"] if per_context else ["id"]
-    step = step.withColumnRenamed("src", "id")
-    seen = front = cut(seeds.select("context", "id").distinct())
-    while not front.isEmpty():
-        reached = front.join(step, on).select("context", F.col("dst").alias("id")).distinct()
-        front = cut(reached.join(seen, ["context", "id"], "left_anti"))
-        seen = cut(seen.unionByName(front))
-    return seen
+    edges = cut(edges.select(*keys).where("src is not null and dst is not null"))
+    seeds = cut(seeds.select("context", "id").where("id is not null").distinct())
+    if edges.count() <= local_edges and seeds.count() <= local_edges:
+        return cut(_walked(seeds, edges, per_context))
+    return _spread(seeds, cut(edges.distinct()), ["id", "context"] if per_context else ["id"])
+
+
+def _walked(seeds: DataFrame, edges: DataFrame, per_context: bool) -> DataFrame:
+    """The closure by breadth-first search over arrays, context by context."""
+    none = F.lit(None).cast("string")
+    facts = seeds.select("context", F.col("id").alias("src"), none.alias("dst"))
+    facts = facts.unionByName(edges.select(F.col("context") if per_context else none.alias("context"), "src", "dst"))
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        names = pa.chunked_array([*table["src"].chunks, *table["dst"].chunks]).combine_chunks().dictionary_encode()
+        codes = names.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        src, dst = codes[: table.num_rows], codes[table.num_rows :]
+        spaces = table["context"].combine_chunks().dictionary_encode()
+        space = spaces.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        # A null context is one like others; edges without contexts hold in all.
+        space = np.where(space < 0, len(spaces.dictionary), space)
+        is_edge, n = dst >= 0, len(names.dictionary)
+        if per_context:
+            # A node of a context is a node of its own: one walk for all of them.
+            pair, code = np.unique(np.concatenate([space * n + src, (space * n + dst)[is_edge]]), return_inverse=True)
+            walks = [(None, _reached(len(pair), code[: len(src)][is_edge], code[len(src) :], code[: len(src)][~is_edge]))]
+        else:
+            graph = _rows(n, src[is_edge], dst[is_edge])
+            walks = ((c, _reached(n, None, None, src[~is_edge & (space == c)], graph)) for c in np.unique(space[~is_edge]))
+        labels = pa.concat_arrays([spaces.dictionary.cast(pa.string()), pa.array([None], pa.string())])
+        for c, seen in walks:
+            of, found = (pair[seen] // n, pair[seen] % n) if c is None else (np.full(len(seen), c), seen)
+            yield pa.RecordBatch.from_arrays([pc.take(labels, pa.array(of)), pc.take(names.dictionary, pa.array(found)).cast(pa.string())], names=["context", "id"])
+
+    return facts.repartition(1).mapInArrow(run, "context string, id string")
+
+
+def _rows(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each node's targets begin, and the targets."""
+    order = np.argsort(src, kind="stable")
+    return np.searchsorted(src[order], np.arange(n + 1)), dst[order]
+
+
+def _reached(n: int, src, dst, seeds: np.ndarray, graph=None) -> np.ndarray:
+    first, to = graph or _rows(n, src, dst)
+    seen, front = np.zeros(n, dtype=bool), np.unique(seeds)
+    while len(front):
+        seen[front] = True
+        size = first[front + 1] - first[front]
+        front = np.unique(to[np.repeat(first[front] - (np.cumsum(size) - size), size) + np.arange(size.sum())])
+        front = front[~seen[front]]
+    return np.flatnonzero(seen)
+
+
+def _spread(seeds: DataFrame, edges: DataFrame, on: list[str]) -> DataFrame:
+    """The closure by joins of the frontier with the edges; hubs are broadcast to their edges, not met by key."""
+    step = edges.withColumnRenamed("src", "id")
+    hubs = cut(step.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > HUB).select(*on))
+    many = bounded(hubs)
+    wide = None if hubs.isEmpty() else cut(step.join(many, on, "left_semi"))
+    narrow = step if wide is None else cut(step.join(many, on, "left_anti"))
+    narrow = F.broadcast(narrow) if narrow.count() <= BROADCAST_EDGES else narrow
+
+    def after(front):
+        out = front.join(narrow, on).select("context", F.col("dst").alias("id"))
+        if wide is not None:
+            out = out.unionByName(wide.join(bounded(front.join(many, on, "left_semi")), on).select("context", F.col("dst").alias("id")))
+        return out.distinct()
+
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces, front, n = [seeds], seeds, seeds.count()
+    while n:
+        reached = front = after(front)
+        if wide is None and n <= SMALL_FRONT:
+            for _ in range(HOPS - 1):
+                front = after(front)
+                reached = reached.unionByName(front)
+            reached = reached.distinct()
+        seen = pieces[0]
+        for p in pieces[1:]:
+            seen = seen.unionByName(p)
+        if len(pieces) > PIECES:
+            seen = cut(seen.repartition(parts, "context", "id"))
+            pieces = [seen]
+        front = cut(reached.join(seen, reached["context"].eqNullSafe(seen["context"]) & (reached["id"] == seen["id"]), "left_anti"))
+        n = front.count()
+        pieces.append(front)
+    out = pieces[0]
+    for p in pieces[1:-1]:
+        out = out.unionByName(p)
+    return out
 
 
 def proven(roots: DataFrame, edges: DataFrame) -> DataFrame:
