@@ -77,8 +77,40 @@ def url_safe_base64(text: Column) -> Column:
     return F.translate(F.base64(text.cast("binary")), "+/", "-_")
 
 
-#: What a generated source path ends with or contains.
-GENERATED_SUFFIXES = (".g.dart", ".freezed.dart", ".gr.dart", ".config.dart", ".mocks.dart")
+#: What a generated source path ends with, and the folders it lies in.
+GENERATED_SUFFIXES = (".g.dart", ".freezed.dart", ".gen.dart", ".mocks.dart", ".gr.dart")
+GENERATED_FOLDERS = (".dart_tool", "build")
+
+
+def generated_path(path: Column) -> Column:
+    """Whether a path, with slashes of either kind and in any case, names generated output."""
+    plain = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+    bounded = F.concat(F.lit("/"), plain)
+    out = F.lit(False)
+    for folder in GENERATED_FOLDERS:
+        out = out | bounded.contains(f"/{folder}/")
+    for suffix in GENERATED_SUFFIXES:
+        out = out | plain.endswith(suffix)
+    return out
+
+
+#: Domains of auxiliary contexts.
+AUXILIARY_DOMAINS = ("test", "runtime", "external")
+
+
+def context_domain(id_: Column) -> Column:
+    """configuredTarget, auxiliary or unattributed; null for an id that is not canonical: an empty suffix, control characters or a nested prefix."""
+
+    def fine(suffix):
+        return (suffix != "") & ~suffix.rlike(r"[\x00-\x1f\x7f]")
+
+    app = F.substring(id_, 5, 1 << 30)
+    out = F.when(id_ == "unattributed", "unattributed").when(id_.startswith("app:") & fine(app), "configuredTarget")
+    for domain in AUXILIARY_DOMAINS:
+        prefix = f"aux:{domain}:"
+        rest = F.substring(id_, len(prefix) + 1, 1 << 30)
+        out = out.when(id_.startswith(prefix) & fine(rest) & ~rest.startswith("app:") & ~rest.startswith("aux:"), "auxiliary")
+    return out
 
 
 def compose_path(parent: Column, child: Column) -> Column:

@@ -2,28 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def fingerprint(*parts: Column) -> Column:
-    """Length-prefixed parts as one string."""
+    """Length-prefixed parts as one string; a null part is written like an empty one."""
     each = [F.coalesce(p.cast("string"), F.lit("")) for p in parts]
-    return F.concat(*[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in each])
+    return F.concat_ws("|", *[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in each])
+
+
+def _joined(parts) -> str:
+    # Lengths are in UTF-16 units, as the ids that other tools wrote have them.
+    return "|".join(f"{len(p.encode('utf-16-le')) // 2}:{p}" for p in parts)
+
+
+def _form(value) -> str:
+    """The canonical form of a JSON value: its type, then its parts, maps in the order of their keys' forms."""
+    if value is None:
+        return "null"
+    if isinstance(value, bool):
+        return _joined(["bool", str(value).lower()])
+    if isinstance(value, int):
+        return _joined(["int", str(value)])
+    if isinstance(value, float):
+        return _joined(["double", repr(value)])
+    if isinstance(value, str):
+        return _joined(["string", value])
+    if isinstance(value, list):
+        return _joined(["list", *map(_form, value)])
+    return _joined(["map", *[_joined([k, _form(v)]) for k, v in sorted((_form(k), v) for k, v in value.items())]])
+
+
+def metadata_form(text: str | None) -> str | None:
+    """The canonical form of a JSON object: equal objects have equal forms whatever the order of their keys. Null for what is no object."""
+    try:
+        value = json.loads(text) if text is not None else None
+    except ValueError:
+        return None
+    return _joined(_joined([k, _form(v)]) for k, v in sorted(value.items())) if isinstance(value, dict) else None
+
+
+def with_metadata_form(rows: DataFrame, column: str, name: str = "form") -> DataFrame:
+    """Adds the canonical form of a column of JSON objects. Nested values have no form of bounded depth in SQL, so batches go through Python."""
+    form = F.pandas_udf(lambda s: s.map(metadata_form), "string")
+    return rows.withColumn(name, form(F.col(column)))
 
 
 def nodes(rows: DataFrame, payload: list[str]) -> tuple[DataFrame, DataFrame]:
-    """One row per id (the smallest fingerprint, the first producer as owner, all contributors), and a blocker per conflict."""
-    marked = rows.withColumn("fp", fingerprint(*[F.col(c) for c in payload]))
-    kept = marked.groupBy("id").agg(
-        *[F.min_by(c, "fp").alias(c) for c in payload], F.min_by("producer", "seq").alias("owner"),
-        F.array_sort(F.collect_set("producer")).alias("contributors"), F.count_distinct("fp").alias("definitions"),
+    """One row per id (the smallest fingerprint, the first producer as owner, all contributors), and a blocker per conflict.
+
+    Definitions that differ only in a null against an empty text have one fingerprint, but conflict.
+    """
+    order = F.struct(fingerprint(*[F.col(c) for c in payload]).alias("fp"), *[F.col(c).isNull().alias(f"no_{c}") for c in payload])
+    whole = F.struct(*payload)
+    kept = rows.groupBy("id").agg(
+        F.min_by(whole, order).alias("best"), F.min_by("producer", "seq").alias("owner"),
+        F.array_sort(F.collect_set("producer")).alias("contributors"), F.count_distinct(whole).alias("definitions"),
     )
     blockers = kept.where("definitions > 1").select(
         F.lit("graph").alias("producer"), F.lit("conflicting definitions").alias("reason"), F.lit(None).cast("string").alias("location"),
         F.lit(None).cast("string").alias("source_node_id"), F.lit(None).cast("string").alias("affected_namespace"), F.array("id").alias("affected_node_ids"),
     )
-    return kept.drop("definitions"), blockers
+    return kept.select("id", "best.*", "owner", "contributors"), blockers
 
 
 def edges(rows: DataFrame) -> DataFrame:
@@ -38,10 +81,52 @@ def blockers(rows: DataFrame) -> DataFrame:
     return rows.withColumn("affected_node_ids", ids).groupBy("producer", "reason", "location", "source_node_id", "affected_namespace", "affected_node_ids").agg(F.count("*").alias("recorded"))
 
 
-def auxiliary_targets(rows: DataFrame, payload: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The first definition of each id, and an issue for each different later one."""
-    marked = rows.withColumn("definition", F.sha2(fingerprint(*[F.col(c) for c in payload]), 256))
-    first = Window.partitionBy("id").orderBy("seq")
-    marked = marked.withColumn("accepted", F.first("definition").over(first)).withColumn("n", F.row_number().over(first))
+def auxiliary_targets(rows: DataFrame, payload: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The first definition of each id with its hash, an issue for each different later one, and a blocker of everything per issue."""
+    marked = rows.withColumn("definition", F.sha2(F.to_json(F.struct("id", *payload), {"ignoreNullFields": "false"}), 256))
+    first = marked.groupBy("id").agg(F.min_by("definition", "seq").alias("accepted"))
+    marked = marked.join(first, "id")
     issues = marked.where("definition <> accepted").select("id", "accepted", F.col("definition").alias("rejected")).distinct()
-    return marked.where("n = 1").drop("n", "accepted"), issues
+    none = F.lit(None).cast("string")
+    stop = issues.select(
+        F.lit("graph").alias("producer"), F.concat(F.lit("conflicting auxiliary execution target definition for "), "id").alias("reason"), none.alias("location"),
+        none.alias("source_node_id"), none.alias("affected_namespace"), F.array().cast("array<string>").alias("affected_node_ids"),
+    )
+    kept = marked.where("definition = accepted").groupBy("id", "definition").agg(F.min_by(F.struct(*payload), "seq").alias("t")).select("id", "definition", "t.*")
+    return kept, issues, stop
+
+
+def auxiliary_roots(roots: DataFrame, accepted: DataFrame) -> DataFrame:
+    """roots(node_id, reason, aux_id, definition) whose target was accepted in just that definition, each record once."""
+    known = accepted.select(F.col("id").alias("aux_id"), "definition")
+    return roots.join(known, ["aux_id", "definition"], "left_semi").select("node_id", "reason", "aux_id").distinct()
+
+
+def protections(rows: DataFrame) -> DataFrame:
+    """id, reasons: every reason of each protected id in the order in which they came, repeats kept; ids need not be nodes."""
+    held = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "reason"))).alias("r"))
+    return held.select("id", F.col("r.reason").alias("reasons"))
+
+
+def counts(nodes: DataFrame, edges: DataFrame, roots: DataFrame, blockers: DataFrame) -> DataFrame:
+    """fact, kind, n: nodes by kind, edges by kind, roots and blockers."""
+    one = lambda df, fact, kind: df.groupBy(F.lit(fact).alias("fact"), kind.alias("kind")).agg(F.count("*").alias("n"))
+    every = F.lit("*")
+    return one(nodes, "node", F.col("kind")).unionByName(one(edges, "edge", F.col("kind"))).unionByName(one(roots, "root", every)).unionByName(one(blockers, "blocker", every))
+
+
+class FactBuilder:
+    """Collects one producer's facts, each stamped with its name and place, as DataFrames that the graph unites."""
+
+    def __init__(self, producer: str):
+        self.producer, self.tables = producer, {}
+
+    def add(self, table: str, rows: DataFrame) -> FactBuilder:
+        held = self.tables.get(table)
+        self.tables[table] = rows if held is None else held.unionByName(rows)
+        return self
+
+    def stamped(self, table: str, order: list[str]) -> DataFrame:
+        """The table's rows with producer and seq; seq is a hash-free rank that only has to be the same in every run."""
+        key = F.struct(*order)
+        return self.tables[table].withColumns({"producer": F.lit(self.producer), "seq": F.to_json(key)})
