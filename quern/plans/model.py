@@ -29,14 +29,14 @@ def context_id(name):
 
 
 class Model:
-    def __init__(self, nodes: DataFrame, edges: DataFrame, roots: DataFrame, targets: DataFrame, aux_targets: DataFrame, protections: DataFrame, blockers: DataFrame):
+    def __init__(self, nodes: DataFrame, edges: DataFrame, roots: DataFrame, targets: DataFrame, aux_targets: DataFrame, protections: DataFrame, blockers: DataFrame, registry_issues: DataFrame | None = None):
         self.nodes, self.roots, self.protections = nodes, roots, protections
         self.targets, self.aux_targets = bounded(targets), bounded(aux_targets)
         if self.targets.isEmpty():
             raise ValueError("at least one target is needed")
         if not self.targets.groupBy(context_id(F.col("name"))).count().where("count > 1").isEmpty():
             raise ValueError("target names and their context ids must be unique")
-        self.edges, self._blockers = edges, blockers
+        self.edges, self._blockers, self.registry_issues = edges, blockers, registry_issues
 
     # Contexts and where facts apply.
 
@@ -144,6 +144,18 @@ class Model:
         out = rows.unionByName(rest).select("context", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
         return cut(out.withColumn("complete", F.expr(" + ".join(counts)) == 0))
 
+    @cached_property
+    def whole(self) -> bool:
+        """Whether nothing is incomplete anywhere: no dangling fact, no undecided condition, no conflict of auxiliary targets."""
+        return self.integrity.where("not complete").isEmpty() and (self.registry_issues is None or self.registry_issues.isEmpty())
+
+    def violations(self) -> DataFrame:
+        """context, id, problem: members that break proven within retained and, for configured contexts, within the compatibility closure."""
+        app = self.contexts.where("domain = 'configured'").select("context")
+        outside = lambda a, b, text: a.join(b, ["context", "id"], "left_anti").select("context", "id", F.lit(text).alias("problem"))
+        mine = self.proven.join(app, "context", "left_semi")
+        return outside(self.proven, self.retained, "proven, not retained").unionByName(outside(mine, self.reachable, "proven, not reachable"))
+
     # Findings.
 
     def active_blockers(self) -> DataFrame:
@@ -164,7 +176,7 @@ class Model:
 
     def findings(self, supported, external, coverage_complete: bool = True, package_mode: bool = False) -> DataFrame:
         """Unproven nodes with tier and reasons. Any incompleteness of the graph takes SAFE from all of them."""
-        complete = self.integrity.where("not complete").isEmpty()
+        complete = self.whole
         rows = findings.candidates(self.nodes, self.proven, self.retained, self.protections, self.blocked(self.nodes, self.active_blockers()))
         return findings.classified(rows, supported, external, F.lit(coverage_complete), F.lit(complete), package_mode)
 
