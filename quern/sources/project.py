@@ -7,11 +7,16 @@ as text by the executors, never by the driver.
 from __future__ import annotations
 
 import json
+import posixpath
+import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.functions.conditions import generated_path
 from quern.operators.catalogues import exclusion_reason, normal_locale, repeated_json_keys
+from quern.operators.closure import closure
+from quern.plans.materialise import cut
 
 #: Platforms of targets.
 PLATFORMS = ("android", "ios", "web", "macos", "linux", "windows")
@@ -89,11 +94,172 @@ def declared_assets(listing: DataFrame, declared: DataFrame) -> DataFrame:
     return either.join(declared.select("entry").distinct(), "entry", "left_semi").select("path", "size_bytes").distinct()
 
 
+#: Folders of Dart sources, and folders that a walk along imports leaves out.
+SOURCE_FOLDERS = ("lib", "bin", "test", "integration_test", "test_driver", "benchmark", "tool", "example")
+#: Keys that the SDK defines for every target begin so.
+SDK_PREFIX = "dart.library."
+
+
+def dart_sources(paths: DataFrame, **rules) -> DataFrame:
+    """path of the Dart files below the standard folders, without hidden segments and excluded paths."""
+    parts = F.split("path", "/")
+    shown = ~F.exists(parts, lambda x: x.startswith("."))
+    return paths.where(F.get(parts, F.lit(0)).isin(*SOURCE_FOLDERS) & (F.size(parts) > 1) & F.col("path").endswith(".dart") & shown & exclusion_reason(F.col("path"), **rules).isNull()).select("path")
+
+
+def deep_links(files: DataFrame, targets: DataFrame) -> DataFrame:
+    """source: what lets an address outside activate a route: files(path, text: null if unreadable) and web targets(name, platform). An unreadable file counts."""
+    path, name = F.col("path"), F.substring_index("path", "/", -1)
+    has = lambda *texts: [F.col("text").contains(t) for t in texts]
+    verified, view, scheme = has('autoVerify="true"', "android.intent.action.VIEW", "android:scheme")
+    domains, schemes = has("com.apple.developer.associated-domains", "CFBundleURLSchemes")
+    apple = path.startswith("ios/") | path.startswith("macos/")
+    rules = F.when(path.startswith("android/app/src/") & (name == "AndroidManifest.xml"), verified | (view & scheme)).when(apple & path.endswith(".entitlements"), domains).when(apple & (name == "Info.plist"), schemes)
+    asked = (path.startswith("android/app/src/") & (name == "AndroidManifest.xml")) | (apple & (path.endswith(".entitlements") | (name == "Info.plist")))
+    found = files.where(asked & F.coalesce(rules, F.lit(True))).select(path.alias("source"))
+    web = targets.where("platform = 'web'").select(F.concat(F.lit("target:"), "name", F.lit(":web")).alias("source"))
+    return found.unionByName(web).distinct()
+
+
+def native_targets(lines: DataFrame) -> DataFrame:
+    """lines(path, n, line) of build files -> path, flavor, entrypoint: the target that each product flavor's block names, the last one if it names several.
+
+    Where a line stands is told by the braces before it: flavors open one level inside productFlavors, their settings at least one more.
+    """
+    w = Window.partitionBy("path").orderBy("n")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    text = F.trim("line")
+    opens, closes = (F.length("line") - F.length(F.replace("line", F.lit(c), F.lit(""))) for c in "{}")
+    rows = lines.withColumn("text", text).withColumn("depth", F.coalesce(F.sum(opens - closes).over(before), F.lit(0)))
+    begins = F.col("text").rlike(r"^productFlavors\b") & F.col("text").contains("{")
+    rows = rows.withColumn("level", F.last(F.when(begins, F.col("depth") + 1), ignorenulls=True).over(before))
+    made, plain = (F.regexp_extract("text", r"""^(?:create\(["']([^"']+)["']\)|([A-Za-z_][\w-]*))\s*\{""", k) for k in (1, 2))
+    name = F.when((F.col("depth") == F.col("level")) & (F.concat(made, plain) != ""), F.concat(made, plain))
+    rows = rows.withColumn("flavor", F.last(name, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    target = F.regexp_extract("text", r"""flutter\.target\s*(?:=\s*)?["']([^"']+)["']""", 1)
+    inside = (F.col("depth") > F.col("level")) | (name.isNotNull())
+    return rows.where(inside & F.col("flavor").isNotNull() & (target != "")).groupBy("path", "flavor").agg(F.max_by(target, "n").alias("entrypoint"))
+
+
+def scheme_targets(files: DataFrame) -> DataFrame:
+    """files(path, text) of Xcode schemes -> flavor, entrypoint."""
+    target = F.regexp_extract("text", r"""argument\s*=\s*["']-t\s+([^"'\s]+)""", 1)
+    return files.where(F.col("path").endswith(".xcscheme") & (target != "")).select(F.regexp_extract("path", r"([^/]*)\.xcscheme$", 1).alias("flavor"), target.alias("entrypoint"))
+
+
+def dependency_assets(listed: DataFrame, declared: DataFrame, listing: DataFrame, own: str) -> DataFrame:
+    """listed(name, root), declared(name, entry), listing(path, size_bytes) -> key, package, size_bytes: assets of other packages, which are protected."""
+    path = F.concat(F.rtrim("root", F.lit("/")), F.lit("/"), "entry")
+    met = listed.where(F.col("name") != own).join(declared, "name").select("name", "entry", path.alias("path"))
+    return met.join(listing, "path").select(F.concat(F.lit("packages/"), "name", F.lit("/"), "entry").alias("key"), F.col("name").alias("package"), "size_bytes").distinct()
+
+
+def inadmissible(starts: DataFrame, imports: DataFrame, conditions: DataFrame, files: DataFrame, defines: DataFrame, targets: DataFrame) -> DataFrame:
+    """path, problem: what keeps a declared target matrix from being complete. No row: it may be.
+
+    starts(path), imports(src, dst) between local files, conditions(path, name, uri_path: null if it leads nowhere), files(path, readable), defines(target, name), targets(name).
+    Conditions of every file that the starts reach must be known to all targets, all their alternatives must exist, and every file must be readable.
+    """
+    seen = cut(closure(starts.select(F.lit("").alias("context"), F.col("path").alias("id")), imports).select(F.col("id").alias("path")))
+    blind = seen.join(files.where("readable").select("path"), "path", "left_anti").select("path", F.lit("file cannot be read").alias("problem"))
+    held = conditions.join(seen, "path", "left_semi")
+    n = targets.agg(F.count("*").alias("all"))
+    known = defines.join(targets.select(F.col("name").alias("target")), "target", "left_semi").groupBy("name").agg(F.count_distinct("target").alias("in_targets"))
+    met = held.join(known, "name", "left").crossJoin(F.broadcast(n))  # one row
+    unknown = met.where(~F.col("name").startswith(SDK_PREFIX) & (F.coalesce("in_targets", F.lit(0)) < F.col("all"))).select("path", F.concat(F.lit("unknown condition "), "name").alias("problem"))
+    there = files.select(F.col("path").alias("uri_path"))
+    nowhere = held.join(there, "uri_path", "left_anti").select("path", F.lit("inadmissible branch").alias("problem"))
+    return blind.unionByName(unknown).unionByName(nowhere).distinct()
+
+
+def source_path_problem(path: Column) -> Column:
+    """What is wrong with the text of a project-relative source path, or null: empty, control characters, absolute, outside the project, no Dart file, generated or excluded."""
+    steps = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    low = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.lit(0).alias("least")), lambda s, x: F.struct((s["at"] + F.when(x == "..", -1).otherwise(1)).alias("at"), F.least(s["least"], s["at"] + F.when(x == "..", -1).otherwise(1)).alias("least")), lambda s: s["least"])
+    rules = ((F.trim(path) == "", "empty"), (path.rlike(r"[\x00-\x1f\x7f]"), "control character"), (path.startswith("/"), "absolute"), (low < 0, "escapes the project"), (~path.endswith(".dart"), "not a Dart file"), (generated_path(path), "generated"), (exclusion_reason(path).isNotNull(), "excluded"))
+    out = F.lit(None).cast("string")
+    for bad, text in reversed(rules):
+        out = F.when(bad, F.lit(text)).otherwise(out)
+    return out
+
+
+def read_yaml(text: str):
+    """Block mappings, lists and plain or quoted scalars, by indentation: all that a configuration file needs. Anything else is an error."""
+    lines = []
+    for raw in text.splitlines():
+        line = re.sub(r"(^|\s)#.*$", "", raw).rstrip()
+        if line.strip() and line.strip() != "---":
+            lines.append((len(line) - len(line.lstrip()), line.strip()))
+
+    def scalar(x):
+        if x[:1] in "\"'" and x[-1:] == x[:1] and len(x) > 1:
+            return x[1:-1]
+        if x.startswith("[") and x.endswith("]"):
+            return [scalar(y.strip()) for y in x[1:-1].split(",") if y.strip()]
+        if x == "{}":
+            return {}
+        if re.fullmatch(r"-?\d+", x):
+            return int(x)
+        return {"true": True, "false": False, "null": None, "~": None, "": None}.get(x, x)
+
+    def block(at, indent):
+        out = None
+        while at < len(lines) and lines[at][0] == indent:
+            item = lines[at][1]
+            if item.startswith("- ") or item == "-":
+                out = [] if out is None else out
+                rest = item[1:].strip()
+                if not isinstance(out, list):
+                    raise ValueError(f"a list item among keys: {item!r}")
+                if re.match(r"[^\s\"'\[]+:(\s|$)", rest):
+                    inner = indent + len(item) - len(rest)
+                    lines[at] = (inner, rest)
+                    value, at = block(at, inner)
+                elif rest:
+                    value, at = scalar(rest), at + 1
+                else:
+                    value, at = deeper(at + 1, indent)
+                out.append(value)
+                continue
+            m = re.match(r"([^\s:][^:]*):(?:\s+(.*))?$", item)
+            out = {} if out is None else out
+            if not m or not isinstance(out, dict):
+                raise ValueError(f"neither a key nor a list item: {item!r}")
+            key = scalar(m[1].strip())
+            if key in out:
+                raise ValueError(f"repeated key {key!r}")
+            if m[2]:
+                out[key], at = scalar(m[2].strip()), at + 1
+            else:
+                out[key], at = deeper(at + 1, indent, lists=True)
+        if at < len(lines) and lines[at][0] > indent:
+            raise ValueError(f"unexpected indentation: {lines[at][1]!r}")
+        return out, at
+
+    def deeper(at, indent, lists=False):
+        if at < len(lines) and (lines[at][0] > indent or (lists and lines[at][0] == indent and lines[at][1].startswith("-"))):
+            return block(at, lines[at][0])
+        return None, at
+
+    out, at = block(0, lines[0][0]) if lines else (None, 0)
+    if at < len(lines):
+        raise ValueError(f"unexpected indentation: {lines[at][1]!r}")
+    return out
+
+
+#: Modes of an analysis.
+MODES = ("application", "package", "package-internal")
+
+
 def config(text: str) -> dict:
-    """A target matrix as JSON, checked: closed keys, known platforms, unique names and unique conditions."""
-    c = json.loads(text)
+    """A project configuration as YAML or JSON, checked: closed keys, modes and their entrypoints, known platforms, unique names and conditions, verification steps."""
+    c = json.loads(text) if text.lstrip().startswith("{") else read_yaml(text)
+    if not isinstance(c, dict):
+        raise ValueError("the configuration must be a mapping")
 
     def closed(d, allowed, where):
+        if not isinstance(d, dict):
+            raise ValueError(f"{where} must be a mapping")
         unknown = set(d) - set(allowed)
         if unknown:
             raise ValueError(f"unknown keys in {where}: {sorted(unknown)}")
@@ -101,21 +267,95 @@ def config(text: str) -> dict:
     closed(c, ("version", "analysis", "target_matrix", "verification"), "the configuration")
     if c.get("version") != 1:
         raise ValueError("version must be 1")
-    closed(c.get("analysis", {}), ("mode", "public_entrypoints"), "analysis")
-    matrix = c.get("target_matrix", {})
+    analysis = c.get("analysis") or {}
+    closed(analysis, ("mode", "public_entrypoints"), "analysis")
+    mode, public = analysis.get("mode", "application"), analysis.get("public_entrypoints") or []
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}")
+    if (mode == "application") == bool(public):
+        raise ValueError("public entrypoints are for package modes, which need some")
+    if len(set(public)) < len(public):
+        raise ValueError("public entrypoints must differ")
+    matrix = c.get("target_matrix") or {}
     closed(matrix, ("complete", "targets"), "target_matrix")
-    rows = matrix.get("targets", [])
+    if not isinstance(matrix.get("complete", False), bool):
+        raise ValueError("complete must be true or false")
+    rows = matrix.get("targets") or []
     for t in rows:
         closed(t, ("name", "platform", "entrypoint", "flavor", "dart_defines"), "a target")
         if t.get("platform") not in PLATFORMS:
             raise ValueError(f"unknown platform {t.get('platform')!r}")
+        if not all(isinstance(t.get(k), str) and t[k] for k in ("name", "entrypoint")):
+            raise ValueError("a target needs a name and an entrypoint")
     names = [t["name"] for t in rows]
     signatures = [json.dumps({k: v for k, v in t.items() if k != "name"}, sort_keys=True) for t in rows]
     if len(set(names)) < len(names) or len(set(signatures)) < len(signatures):
         raise ValueError("targets must differ in name and in condition")
+    steps = (c.get("verification") or {}).get("steps") or []
+    if len({s.get("id") for s in steps}) < len(steps):
+        raise ValueError("verification steps must differ in id")
     return c
 
 
+#: What a message configuration says where it is silent.
+MESSAGE_DEFAULTS = {"arb-dir": "lib/l10n", "template-arb-file": "app_en.arb", "output-localization-file": "app_localizations.dart", "output-class": "AppLocalizations", "nullable-getter": True}
+
+
+def message_config(text: str | None, generates: bool = False) -> dict | None:
+    """The configuration of message files with its defaults; None if there is none and nothing is generated. Paths must stay inside the project."""
+    if text is None and not generates:
+        return None
+    c = (read_yaml(text) if text and text.strip() else {}) or {}
+    if not isinstance(c, dict):
+        raise ValueError("the message configuration must be a mapping")
+    if c.get("synthetic-package") is True:
+        raise ValueError("synthetic-package is no longer supported")
+    out = MESSAGE_DEFAULTS | {k: v for k, v in c.items() if k in MESSAGE_DEFAULTS or k == "output-dir"}
+    out.setdefault("output-dir", out["arb-dir"])
+    for k, v in out.items():
+        if k == "nullable-getter":
+            if not isinstance(v, bool):
+                raise ValueError(f"{k} must be true or false")
+        elif not isinstance(v, str) or not v.strip():
+            raise ValueError(f"{k} must be a text")
+        elif k != "output-class" and (v.startswith("/") or posixpath.normpath(v).startswith("..")):
+            raise ValueError(f"{k} leaves the project")
+    return out
+
+
+def adapter_order(needs: dict[str, list[str]]) -> list[str]:
+    """Adapters with what they depend on first, in the order given otherwise. A cycle or a missing dependency is an error."""
+    out, state = [], {}
+
+    def visit(name, path):
+        if state.get(name) == "done":
+            return
+        if state.get(name) == "open":
+            raise ValueError(f"adapter dependency cycle: {' -> '.join([*path, name])}")
+        state[name] = "open"
+        for d in needs[name]:
+            if d not in needs:
+                raise ValueError(f"adapter {name!r} depends on {d!r}, which is not there")
+            visit(d, [*path, name])
+        state[name] = "done"
+        out.append(name)
+
+    for name in needs:
+        visit(name, [])
+    return out
+
+
+def with_dependencies(asked: list[str], needs: dict[str, list[str]]) -> set[str]:
+    """The adapters asked for and all that they depend on."""
+    out, todo = set(), list(asked)
+    while todo:
+        name = todo.pop()
+        if name not in out:
+            out.add(name)
+            todo += needs.get(name, [])
+    return out
+
+
 def targets(spark: SparkSession, c: dict) -> DataFrame:
     rows = [(t["name"], t["platform"], t["entrypoint"], t.get("flavor"), t.get("dart_defines") or {}) for t in c["target_matrix"]["targets"]]
     return spark.createDataFrame(rows, "name string, platform string, entrypoint string, flavor string, dart_defines map<string,string>")
