@@ -180,17 +180,6 @@ def route_composition(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", compose_path(F.lit("app/"), path).alias("path"))
 
 
-@query("""WITH asked AS (SELECT DISTINCT regexp_replace(split_part(split_part(regexp_replace(url, '^[a-z]+://[^/]*', ''), '?', 1), '#', 1), '^$', '/') AS location FROM pages),
-    p AS (SELECT location, CASE WHEN location = '/' THEN '/' ELSE rtrim(location, '/') END AS path FROM asked),
-    s AS (SELECT location, path, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM p),
-    m AS (SELECT location, CASE WHEN path IN ('/', '/en/1') THEN 1 ELSE CAST(len(parts) = 2 AND parts[1] = 'en' AS INT) + CAST(len(parts) = 2 AND parts[1] = 'de' AS INT) + CAST(len(parts) = 2 AS INT) END AS matches FROM s)
-    SELECT location, matches, CASE matches WHEN 0 THEN 'namespace_blocker' WHEN 1 THEN 'edge' ELSE 'id_blocker' END AS outcome FROM m""")
-def route_navigation(spark, sf_dir):
-    path = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]*", ""), "[?#].*$", ""), "^$", "/")
-    routes = spark.createDataFrame([("/",), ("/en/1",), ("/en/:page",), ("/de/:page",), ("/:lang/:page",)], "path string")
-    return resolve.navigations(_read(spark, sf_dir, "pages").select(path.alias("location")), routes)
-
-
 @query("""WITH held AS (SELECT p_brand, p_type, count(*) AS n, min(p_partkey) AS first_id FROM part WHERE p_size <= 10 GROUP BY ALL)
     SELECT p_partkey, p_brand, p_type, coalesce(n, 0) AS candidates, CASE coalesce(n, 0) WHEN 0 THEN 'namespace_blocker' WHEN 1 THEN 'edge' ELSE 'id_blocker' END AS outcome,
         CASE WHEN n = 1 THEN first_id END AS target FROM part LEFT JOIN held USING (p_brand, p_type)""")

@@ -63,6 +63,12 @@ def blocker_id(producer: Column, reason: Column, location: Column, source: Colum
     return F.concat(F.lit("blocker-"), F.substring(F.sha2(F.concat_ws("\0", *parts, F.array_join(F.array_sort(ids), ",")), 256), 1, 16))
 
 
+def bag_digest(line: str) -> Column:
+    """An aggregate: one digest of all lines of a group, whatever their order, repeats counted. Sums of hashes need no list of the lines in one task."""
+    part = lambda n: F.sum(F.conv(F.substring(F.sha2(line, 256), n, 15), 16, 10).cast("decimal(38,0)"))
+    return F.sha2(F.concat_ws(":", F.count("*").cast("string"), *[F.coalesce(part(n), F.lit(0)).cast("string") for n in (1, 16, 31, 46)]), 256)
+
+
 def sanitised_id(path: Column) -> Column:
     """A path id with other characters replaced, and a hash suffix if that changed it."""
     plain = F.regexp_replace(path, r"[^A-Za-z0-9._/-]", "_")
@@ -121,8 +127,3 @@ def compose_path(parent: Column, child: Column) -> Column:
 
 def segments(path: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda x: x != "")
-
-
-def matches_route(pattern: Column, path: Column) -> Column:
-    """Segment arrays of equal length; a pattern's segments that begin with a colon match any."""
-    return (F.size(pattern) == F.size(path)) & F.forall(F.arrays_zip(pattern.alias("a"), path.alias("b")), lambda x: x["a"].startswith(":") | (x["a"] == x["b"]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.conditions import context_domain, generated_path, sanitised_id
+from quern.functions.conditions import bag_digest, context_domain, generated_path, sanitised_id
 from quern.operators.closure import closure
 from quern.plans.materialise import cut
 
@@ -101,9 +101,7 @@ def library_reach(seeds: DataFrame, directives: DataFrame, units: DataFrame) ->
     doubt = directives.where("not exact").join(libraries.withColumnRenamed("id", "src"), ["context", "src"], "left_semi").select("context", F.concat("src", F.lit(" -> "), "dst").alias("subject"), F.lit("directive is not exact").alias("reason"))
     issues = lost.unionByName(doubt).distinct()
     lines = reached.select("context", F.concat(F.lit("unit "), "path").alias("line")).unionByName(issues.select("context", F.concat(F.lit("issue "), "subject", F.lit(": "), "reason").alias("line")))
-    # A sum of line hashes does not depend on order and needs no list of a context's lines in one task.
-    part = lambda n: F.sum(F.conv(F.substring(F.sha2("line", 256), n, 15), 16, 10).cast("decimal(38,0)"))
-    digest = lines.groupBy("context").agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), *[part(n).cast("string") for n in (1, 16, 31, 46)]), 256).alias("digest"))
+    digest = lines.groupBy("context").agg(bag_digest("line").alias("digest"))
     return reached, issues, digest
 
 

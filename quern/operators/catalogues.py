@@ -77,17 +77,6 @@ def route_conflicts(routes: DataFrame) -> DataFrame:
     return both.select("node_id", F.coalesce("path_usable", F.lit(False)).alias("path_usable"), F.coalesce("name_usable", F.lit(False)).alias("name_usable"))
 
 
-def prefix_navigations(asked: DataFrame, routes: DataFrame) -> DataFrame:
-    """prefix, matches, outcome: routes whose first segments are those of a known beginning."""
-    p = asked.select("prefix").distinct().withColumn("parts", segments(F.col("prefix"))).withColumn("size", F.size("parts"))
-    r = bounded(routes.select("path").distinct().withColumn("pattern", segments(F.col("path"))))
-    ways = r.select("path", "pattern", F.explode(F.sequence(F.lit(0), F.size("pattern"))).alias("size"))
-    head = F.slice("pattern", 1, F.col("size"))
-    fits = F.forall(F.arrays_zip(head.alias("a"), F.col("parts").alias("b")), lambda x: x["a"].startswith(":") | (x["a"] == x["b"]))
-    found = p.join(ways, "size", "left").groupBy("prefix").agg(F.count_if(F.coalesce(fits, F.lit(False))).alias("matches"))
-    return found.select("prefix", "matches", F.when(F.col("matches") == 0, "namespace_blocker").otherwise("id_blocker").alias("outcome"))
-
-
 def named_navigations(asked: DataFrame, routes: DataFrame) -> DataFrame:
     """nav_id, outcome, target: a unique name is an edge, an unknown one nothing, one that is not constant blocks the namespace."""
     held = routes.where("name is not null").groupBy("name").agg(F.count("*").alias("n"), F.min("node_id").alias("first_id"))

@@ -22,6 +22,11 @@ def tier_rank(level: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, TIERS)), level)
 
 
+def ordered(rows: DataFrame) -> DataFrame:
+    """Findings by tier, protected first, then by id; ``tier_rank`` says where a tier stands."""
+    return rows.withColumn("tier_rank", tier_rank(F.col("tier"))).orderBy("tier_rank", "id")
+
+
 def candidates(nodes: DataFrame, proven: DataFrame, retained: DataFrame, protected: DataFrame, blocked: DataFrame) -> DataFrame:
     """Unproven, reportable nodes with retained_in, is_protected and has_blockers."""
     open_ = nodes.where(~F.col("kind").isin(*NOT_REPORTED)).join(proven.select("id").distinct(), "id", "left_anti")

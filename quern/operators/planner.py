@@ -2,27 +2,39 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.conditions import bag_digest
 from quern.operators.closure import closure
 from quern.plans.materialise import cut
 
 #: Units that are put in order on the driver at most; the smallest-first order is sequential by its nature.
 ORDERED_UNITS = 1_000_000
+#: Nodes and edges up to which one task finds the components.
+LOCAL_EDGES = 1_000_000
+
+
+def neutralised(edges: DataFrame, empty: DataFrame) -> DataFrame:
+    """Adds ``neutral`` to edges(src, dst, kind, exact, unconditional, description): whether the edge is an import or export of an empty library (id) that goes with it."""
+    stale = (F.col("kind") == "imports") & F.col("exact") & F.col("unconditional") & F.col("description").isin("import directive", "export directive")
+    known = empty.select(F.col("id").alias("dst"), F.lit(True).alias("is_empty"))
+    return edges.join(known, "dst", "left").withColumn("neutral", F.coalesce(stale & F.col("is_empty"), F.lit(False))).drop("is_empty")
 
 
 def dependencies(selected: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """selected(id, path), edges(src, dst) -> edges between selected findings, and id with its smallest outside consumer.
+    """selected(id, path), edges(src, dst[, neutral]) -> edges between selected findings, and id with its smallest outside consumer.
 
-    Findings of one path depend on each other, through the smallest of them.
+    Findings of one path depend on each other, through the smallest of them. Neutral edges from outside hold nothing back.
     """
     ids = selected.select("id").distinct()
-    into = edges.select("src", "dst").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    neutral = F.col("neutral") if "neutral" in edges.columns else F.lit(False)
+    into = edges.select("src", "dst", neutral.alias("neutral")).join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     inner = into.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").where("src <> dst").select("src", "dst")
-    consumers = into.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("consumer"))
+    consumers = into.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").where("not neutral").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("consumer"))
     heads = selected.where("path is not null").groupBy("path").agg(F.min("id").alias("head"))
     star = selected.join(heads, "path").where("id <> head").select("id", "head")
     both = star.select(F.col("id").alias("src"), F.col("head").alias("dst")).unionByName(star.select(F.col("head").alias("src"), F.col("id").alias("dst")))
@@ -38,15 +50,69 @@ def blocked(inner: DataFrame, consumers: DataFrame) -> DataFrame:
     return direct.unionByName(later.join(needed, "id").select("id", F.lit("blockedByRetainedDependency").alias("reason"), "blocked_by"))
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _walked(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components by two depth-first walks: one along the edges for the order of leaving, one against them in the reverse of it."""
+    rows = ids.select("id", F.lit(None).cast("string").alias("dst")).unionByName(edges.where("src <> dst").select(F.col("src").alias("id"), "dst"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        src, dst = table["id"].to_pylist(), table["dst"].to_pylist()
+        names = sorted({a for a, b in zip(src, dst) if b is None})
+        code = {name: k for k, name in enumerate(names)}
+        out, back = [[] for _ in names], [[] for _ in names]
+        for a, b in zip(src, dst):
+            if b in code and a in code:
+                out[code[a]].append(code[b])
+                back[code[b]].append(code[a])
+        left, seen = [], bytearray(len(names))
+        for start in range(len(names)):
+            if seen[start]:
+                continue
+            seen[start], path = 1, [(start, iter(out[start]))]
+            while path:
+                node, more = path[-1]
+                step = next((k for k in more if not seen[k]), None)
+                if step is None:
+                    left.append(node)
+                    path.pop()
+                else:
+                    seen[step] = 1
+                    path.append((step, iter(out[step])))
+        of = [-1] * len(names)
+        for start in reversed(left):
+            if of[start] >= 0:
+                continue
+            of[start], todo, members = start, [start], [start]
+            while todo:
+                for k in back[todo.pop()]:
+                    if of[k] < 0:
+                        of[k] = start
+                        todo.append(k)
+                        members.append(k)
+            least = min(members)
+            for k in members:
+                of[k] = least
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([names[k] for k in of], pa.string())], names=["id", "component"])
+
+    return rows.repartition(1).mapInArrow(run, "id string, component string")
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """id, component: the smallest id that it reaches and is reached from, itself included.
 
-    Each round settles nodes without edges in or out, lets the smallest id that reaches
+    A graph of at most LOCAL_EDGES edges is walked in one task. In a larger one each round settles nodes without edges in or out, lets the smallest id that reaches
     a node run forward as its colour, and takes from every colour what reaches its origin
     backward inside the colour.
     """
     ids = cut(nodes.select("id").distinct())
     known = ids.withColumnRenamed
+    if ids.count() <= local_edges and edges.count() <= local_edges:
+        return _walked(ids, edges)
     left = cut(edges.select("src", "dst").where("src <> dst").distinct().join(known("id", "src"), "src", "left_semi").join(known("id", "dst"), "dst", "left_semi").select("src", "dst"))
     done = ids.limit(0).select("id", F.col("id").alias("component"))
     while not left.isEmpty():
@@ -122,7 +188,6 @@ def plan(selected: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def fingerprint(rows: DataFrame, stopped: DataFrame, ordered: list[str]) -> str:
-    """sha256 of the plan as JSON, by sorted rows; equal plans have equal fingerprints."""
-    digest = lambda df: df.select(F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256).alias("h")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("h")).first().h
-    spark = rows.sparkSession
-    return spark.range(1).select(F.sha2(F.lit("|".join([digest(rows), digest(stopped), ",".join(ordered)])), 256)).first()[0]
+    """sha256 of the plan: a digest of its units, one of what is blocked, and the order; equal plans have equal fingerprints."""
+    digest = lambda df: df.select(F.to_json(F.struct(*sorted(df.columns))).alias("line")).agg(bag_digest("line").alias("h")).first().h
+    return hashlib.sha256("|".join([digest(rows), digest(stopped), ",".join(ordered)]).encode()).hexdigest()

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.conditions import matches_route, segments
 from quern.plans.materialise import bounded
 
 
@@ -26,19 +25,6 @@ def lookups(requests: DataFrame, registrations: DataFrame, keys: list[str]) -> D
     return requests.join(held, keys, "left").select(*requests.columns, n.alias("candidates"), outcome.alias("outcome"), F.when(n == 1, F.col("first_id")).alias("target"))
 
 
-def navigations(asked: DataFrame, routes: DataFrame) -> DataFrame:
-    """location, matches, outcome: an exact path first, else patterns of as many segments."""
-    routes = routes.select("path").distinct()
-    paths = asked.select("location").distinct().withColumn("path", F.when(F.col("location") == "/", "/").otherwise(F.rtrim("location", F.lit("/"))))
-    exact = paths.join(routes, "path", "left_semi").select("location", F.lit(1).alias("matches"), F.lit("edge").alias("outcome"))
-    rest = paths.join(routes, "path", "left_anti").withColumn("parts", segments(F.col("path"))).withColumn("size", F.size("parts"))
-    patterns = routes.where(F.col("path").contains("/:")).withColumn("pattern", segments(F.col("path"))).select("pattern", F.size("pattern").alias("size"))
-    found = rest.join(patterns, "size", "left").withColumn("hit", F.coalesce(matches_route(F.col("pattern"), F.col("parts")), F.lit(False)))
-    found = found.groupBy("location").agg(F.count_if("hit").cast("int").alias("matches"))
-    outcome = F.when(F.col("matches") == 0, "namespace_blocker").when(F.col("matches") == 1, "edge").otherwise("id_blocker")
-    return exact.unionByName(found.select("location", "matches", outcome.alias("outcome")))
-
-
 def missing_locales(messages: DataFrame) -> DataFrame:
     """key and the locales (of all there are) that lack it."""
     pairs = messages.select("key", "locale").distinct()

@@ -56,6 +56,34 @@ def owners(paths: DataFrame, roots: DataFrame) -> DataFrame:
     return asked.join(best, "path", "left").select("path", F.coalesce("owner", F.lit("external")).alias("owner"))
 
 
+def package_owners(paths: DataFrame, listed: DataFrame, manifests: DataFrame, selected: str) -> DataFrame:
+    """path, ownership (selected, external or unknown), package: listed(name, root) by the longest root, unless a nearer manifest(root) or a root of two names contradicts it."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    asked = paths.select("path").distinct()
+    offered = asked.select("path", F.explode(above).alias("root"))
+    held = listed.groupBy(F.rtrim("root", F.lit("/")).alias("root")).agg(F.count_distinct("name").alias("names"), F.min("name").alias("package"))
+    best = offered.join(bounded(held), "root").groupBy("path").agg(F.max_by(F.struct("root", "names", "package"), F.length("root")).alias("c"))
+    near = offered.join(bounded(manifests.select(F.rtrim("root", F.lit("/")).alias("root")).distinct()), "root").groupBy("path").agg(F.max(F.length("root")).alias("near"))
+    met = asked.join(best, "path", "left").join(near, "path", "left")
+    clear = F.col("c").isNotNull() & (F.col("c.names") == 1) & (F.coalesce("near", F.lit(0)) <= F.length("c.root"))
+    ownership = F.when(F.coalesce(clear, F.lit(False)), F.when(F.col("c.package") == selected, "selected").otherwise("external")).otherwise("unknown")
+    return met.select("path", ownership.alias("ownership"), F.when(ownership != "unknown", F.col("c.package")).alias("package"))
+
+
+def repeated_names(own: DataFrame) -> DataFrame:
+    """library, name of what a library declares more than once: an issue of its surface."""
+    return own.groupBy("library", "name").agg(F.count("*").alias("n")).where("n > 1").select("library", "name")
+
+
+def directive_issues(alternatives: DataFrame, key: list[str]) -> DataFrame:
+    """The directives that leave their choice open: with an unknown alternative before the first true one, or with none that can hold."""
+    first = alternatives.groupBy(*key).agg(F.min(F.when(F.col("outcome") == "true", F.col("position"))).alias("yes"), F.min(F.when(F.col("outcome") == "unknown", F.col("position"))).alias("maybe"))
+    open_ = F.col("maybe").isNotNull() & (F.col("yes").isNull() | (F.col("maybe") < F.col("yes")))
+    reason = F.when(open_, "condition is not known").when(F.col("yes").isNull(), "no alternative holds")
+    return first.select(*key, reason.alias("reason")).where("reason is not null")
+
+
 def reference_candidates(refs: DataFrame, names: DataFrame) -> DataFrame:
     """refs(ref_id, name, can_dispatch), names(name, owner_id, kind) -> ref_id, candidates, outcome.
 

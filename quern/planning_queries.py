@@ -231,14 +231,6 @@ def named_navigations(spark, sf_dir):
     return catalogues.named_navigations(_routes(spark, sf_dir).select(F.col("node_id").alias("nav_id"), "name"), held)
 
 
-@query("""WITH q AS (SELECT DISTINCT '/' || split_part(regexp_replace(url, '^[a-z]+://[^/]*/', ''), '/', 1) AS prefix FROM pages)
-    SELECT prefix, CASE WHEN prefix = '/' THEN 4 WHEN prefix IN ('/en', '/de') THEN 2 + CAST(prefix = '/en' AS INT) ELSE 1 END AS matches, 'id_blocker' AS outcome FROM q""")
-def prefix_navigations(spark, sf_dir):
-    routes = spark.createDataFrame([("/en/1",), ("/en/:page",), ("/de/:page",), ("/:lang/:page",)], "path string")
-    first = F.concat(F.lit("/"), F.substring_index(F.regexp_replace("url", "^[a-z]+://[^/]*/", ""), "/", 1))
-    return catalogues.prefix_navigations(_read(spark, sf_dir, "pages").select(first.alias("prefix")), routes)
-
-
 @query("""WITH h AS (SELECT p_brand, count(*) AS candidates, bool_or(p_size = 10) AS doubt FROM part WHERE p_size <= 10 GROUP BY p_brand)
     SELECT p_partkey AS request_id, coalesce(candidates, 0) AS candidates, CASE WHEN candidates IS NULL THEN 'namespace_blocker' WHEN doubt THEN 'id_blocker' ELSE 'edges' END AS outcome FROM part LEFT JOIN h USING (p_brand)""")
 def registration_lookup_all(spark, sf_dir):
@@ -320,3 +312,67 @@ def context_integrity(spark, sf_dir):
     lost = g.table("orders").withColumn("far", F.col("o_orderkey") + F.when(F.col("o_orderstatus") == "P", 10**9).otherwise(0))
     roots = lost.select(g.ids("orders", "far"), F.lit(None).cast(CONDITION).alias("condition"), F.lit(None).cast("string").alias("aux_id"))
     return _model(spark, g.nodes(), edges, roots).integrity
+
+
+@query("""WITH RECURSIVE n AS (SELECT p_partkey AS id, (p_partkey * p_partkey + 7 * p_size) % (SELECT count(*) FROM part) AS next FROM part),
+    reach AS (SELECT id AS a, next AS b FROM n UNION SELECT r.a, n.next FROM reach r JOIN n ON n.id = r.b)
+    SELECT 'part:' || n.id AS id, coalesce((SELECT min('part:' || x.b) FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a WHERE x.a = n.id), 'part:' || n.id) AS component FROM n""")
+def unfolded_components(spark, sf_dir):
+    """Strong components of a graph with a node for each part, which grows with the table."""
+    part = _read(spark, sf_dir, "part")
+    n = part.count()
+    k = F.col("p_partkey")
+    name = lambda c: F.concat(F.lit("part:"), c.cast("string"))
+    return planner.strong_components(part.select(name(k).alias("id")), part.select(name(k).alias("src"), name((k * k + 7 * F.col("p_size")) % n).alias("dst")))
+
+
+@query("""WITH e AS (SELECT 'f' || l_partkey AS dst, 'u' || l_suppkey AS src, l_linenumber <= 3 AS import_, l_returnflag = 'N' AS exact, l_linestatus = 'F' AS unconditional, ['import directive', 'part directive', 'export directive'][l_partkey % 3 + 1] AS description FROM lineitem),
+    held AS (SELECT dst, src FROM e WHERE dst IN (SELECT 'f' || p_partkey FROM part WHERE p_size > 20) AND NOT (import_ AND exact AND unconditional AND description <> 'part directive' AND dst IN (SELECT 'f' || p_partkey FROM part WHERE p_size % 2 = 0)))
+    SELECT dst AS id, min(src) AS consumer FROM held GROUP BY dst""")
+def plan_consumers(spark, sf_dir):
+    part, line = _read(spark, sf_dir, "part"), _read(spark, sf_dir, "lineitem")
+    f = lambda c: F.concat(F.lit("f"), F.col(c).cast("string"))
+    words = F.element_at(F.array(*map(F.lit, ("import directive", "part directive", "export directive"))), (F.col("l_partkey") % 3 + 1).cast("int"))
+    edges = line.select(F.concat(F.lit("u"), F.col("l_suppkey").cast("string")).alias("src"), f("l_partkey").alias("dst"), F.when(F.col("l_linenumber") <= 3, "imports").otherwise("uses").alias("kind"), (F.col("l_returnflag") == "N").alias("exact"), (F.col("l_linestatus") == "F").alias("unconditional"), words.alias("description"))
+    marked = planner.neutralised(edges, part.where("p_size % 2 = 0").select(f("p_partkey").alias("id")))
+    return planner.dependencies(part.where("p_size > 20").select(f("p_partkey").alias("id"), F.lit(None).cast("string").alias("path")), marked)[1]
+
+
+@query("""WITH p AS (SELECT DISTINCT 'pk' || (p_partkey % 20) || '/' || p_brand || '/' || p_size AS path, 'pk' || (p_partkey % 20) AS root, p_brand, p_size, p_partkey % 20 AS k FROM part),
+    o AS (SELECT path, k, CASE WHEN k % 5 = 0 THEN 'unknown' WHEN k % 5 = 1 THEN 'unknown' WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 'unknown' WHEN k = 2 THEN 'selected' ELSE 'external' END AS ownership FROM p)
+    SELECT path, ownership, CASE WHEN ownership <> 'unknown' THEN 'n' || k END AS package FROM o""")
+def package_owners(spark, sf_dir):
+    part = _read(spark, sf_dir, "part")
+    k = F.col("p_partkey") % 20
+    root = F.concat(F.lit("pk"), k.cast("string"))
+    paths = part.select(F.concat_ws("/", root, "p_brand", F.col("p_size").cast("string")).alias("path"))
+    listed = part.where(k % 5 != 1).select(F.concat(F.lit("n"), k.cast("string"), F.when((k % 5 == 0) & (F.col("p_size") > 20), "b").otherwise("")).alias("name"), F.concat(root, F.lit("/")).alias("root")).distinct()
+    nested = part.where("p_brand IN ('Brand#1', 'Brand#2')").select(F.concat_ws("/", root, "p_brand").alias("root")).unionByName(part.select(root.alias("root"))).distinct()
+    return surface.package_owners(paths, listed, nested, "n2")
+
+
+@query(f"""WITH a AS (SELECT l_orderkey AS directive, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_extendedprice) AS n, {_OUTCOME} AS outcome FROM lineitem),
+    f AS (SELECT directive, min(n) FILTER (outcome = 'true') AS yes, min(n) FILTER (outcome = 'unknown') AS maybe FROM a GROUP BY directive)
+    SELECT directive, CASE WHEN maybe IS NOT NULL AND (yes IS NULL OR maybe < yes) THEN 'condition is not known' ELSE 'no alternative holds' END AS reason FROM f WHERE yes IS NULL OR maybe < yes""")
+def directive_issues(spark, sf_dir):
+    lines = _read(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS directive", "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_extendedprice) AS position", f"{_OUTCOME} AS outcome")
+    return surface.directive_issues(lines, ["directive"])
+
+
+@query("SELECT p_partkey % 25 AS library, p_brand AS name FROM part WHERE p_size <= 3 GROUP BY ALL HAVING count(*) > 1")
+def repeated_names(spark, sf_dir):
+    return surface.repeated_names(_read(spark, sf_dir, "part").where("p_size <= 3").select((F.col("p_partkey") % 25).alias("library"), F.col("p_brand").alias("name")))
+
+
+@query("""WITH s AS (SELECT p_brand, list_sort(list(DISTINCT p_name)) AS names, list_sort(list(DISTINCT p_type)) AS types FROM part WHERE p_size < 15 GROUP BY 1)
+    SELECT p_brand, CASE WHEN len(v) <= 64 THEN array_to_string(v, ',') END AS joined FROM (SELECT p_brand, list_sort(list_distinct(flatten(list_transform(names, lambda a: list_transform(types, lambda b: a || b))))) AS v FROM s)""")
+def string_values(spark, sf_dir):
+    s = _read(spark, sf_dir, "part").where("p_size < 15").groupBy("p_brand").agg(F.collect_set("p_name").alias("names"), F.collect_set("p_type").alias("types"))
+    return s.select("p_brand", F.array_join(catalogues.string_products(F.col("names"), F.col("types")), ",").alias("joined"))
+
+
+@query(f"{_FOUND} SELECT id, tier, CAST(list_position(['protected', 'review', 'high', 'safe'], tier) AS BIGINT) AS tier_rank FROM found")
+def ordered_findings(spark, sf_dir):
+    from quern.operators.findings import ordered
+
+    return ordered(_findings(spark, sf_dir)).select("id", "tier", "tier_rank")
