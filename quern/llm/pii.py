@@ -49,7 +49,7 @@ GENERALISE, REMOVE = 0.8, 0.95
 #: Rows of a side that is broadcast, at most; beyond it the join is dealt out by key.
 BROADCAST_ROWS = 50_000
 #: Terms that are looked up row by row, at most; more are joined.
-LISTED = 5_000
+LISTED = 500_000
 
 
 def _long(c: Column) -> Column:
@@ -155,9 +155,9 @@ def disclosing_terms(docs: DataFrame, generalise: float = GENERALISE, remove: fl
     pairs = far.unionByName(close).unionByName(worded).groupBy("entity", "term").agg(F.sum("one").alias("both"), (F.min("wording") < F.max("wording")).alias("worded"))
     pairs = cut(pairs.where("worded and both > 0").select("entity", "term", "both"))
     terms = cut(pairs.select("term").distinct())
-    words, all_terms = few(terms), _terms(F.coalesce(F.col("text"), F.lit("")))
-    # Terms are counted before they meet the wanted ones; a short list of these is looked up row by row.
-    counts = docs.select(F.explode(all_terms if words is None else F.filter(all_terms, lambda t: listed(t, words))).alias("term"), F.lit(1).alias("n"))
+    known, all_terms = lookup(terms), _terms(F.coalesce(F.col("text"), F.lit("")))
+    # Terms are counted before they meet the wanted ones; if these are few enough, each row looks its own up first.
+    counts = docs.select(F.explode(all_terms if known is None else F.filter(all_terms, known)).alias("term"), F.lit(1).alias("n"))
     counts = counts.unionByName(seen.select(F.explode("inside").alias("term"), F.lit(-1).alias("n"))).groupBy("term").agg(F.sum("n").alias("of_term"))
     with_term = counts.join(terms, "term")
     total = docs.agg(F.greatest(F.count("*"), F.lit(2)).alias("total"))
@@ -174,16 +174,22 @@ def bounded(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
 
 
-def few(terms: DataFrame) -> list[str] | None:
-    """The terms, if they are at most LISTED."""
-    if terms.count() > LISTED:
-        return None
-    return sorted(r.term for r in terms.select("term").collect())
-
+def lookup(terms: DataFrame):
+    """A test of a term column against the terms, if they are at most LISTED, else None.
 
-def listed(term: Column, words: list[str]) -> Column:
-    """Whether a term is one of the words: a look into one hash set, without a join."""
-    return term.isin(words) if words else F.lit(False)
+    The terms go along with the plan as one constant, dealt over slots by hash, so a row
+    finds its own in one slot: no join, and no text moves.
+    """
+    n = terms.count()
+    if n > LISTED:
+        return None
+    slots = 1 << n.bit_length()
+    slot = lambda t: F.pmod(F.xxhash64(t), F.lit(slots)).cast("int")
+    held = [""] * slots
+    for r in terms.select("term", slot(F.col("term")).alias("slot")).collect():
+        held[r.slot] += f" {r.term} "
+    table = F.split(F.lit("\n".join(held)), "\n", -1)
+    return lambda t: F.coalesce(F.contains(F.get(table, slot(t)), F.concat(F.lit(" "), t, F.lit(" "))), F.lit(False))
 
 
 def _term_spans(text: Column, flagged: Column) -> Column:
@@ -197,13 +203,11 @@ def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = RE
     rows = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *payload).alias("payload"))
     flagged = disclosing_terms(rows, generalise, remove)
     here = _terms(F.coalesce(F.col("text"), F.lit("")))
-    words = few(flagged)
-    if words is not None:
+    by_action = [lookup(flagged.where(F.col("action") == a)) for a in ("remove", "generalise")]
+    if None not in by_action:
         # No text moves: each row looks its own terms up.
-        of = {a: sorted(r.term for r in flagged.where(F.col("action") == a).collect()) for a in ("remove", "generalise")}
-        known = F.filter(here, lambda t: listed(t, words)) if words else F.array().cast("array<string>")
-        of_action = lambda a: F.filter("known", lambda t: listed(t, of[a]))
-        marked = once(rows.select("*", known.alias("known"))).select(*rows.columns, *[of_action(a).alias(f"t_{a}") for a in of])
+        held = once(rows.select("*", here.alias("terms")))
+        marked = held.select(*rows.columns, *[F.filter("terms", known).alias(f"t_{a}") for a, known in zip(("remove", "generalise"), by_action)])
     else:
         # Equal rows share a key, so the join back gives each row exactly one partner.
         key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("key_id"), F.xxhash64("text").alias("key_text")]
