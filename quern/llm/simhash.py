@@ -51,30 +51,36 @@ def shingle_hashes(text: bytes | None, width: int = SHINGLE) -> list[int]:
 
 def fingerprints(texts: list[bytes | None], width: int = SHINGLE) -> np.ndarray:
     """Unsigned fingerprints; a bit is 1 if it is set in over half the hashes."""
-    out, slab, n, first = np.zeros(len(texts), dtype=np.uint64), [], 0, 0
+    return majorities(shingle_hashes(t, width) for t in texts)
 
-    def flush(upto):
-        nonlocal slab, n, first
+
+def majorities(hashes) -> np.ndarray:
+    """The bits set in over half of each list of hashes, a bounded lot of lists at a time."""
+    out, slab, n = [], [], 0
+
+    def flush():
         counts = np.array([len(s) for s in slab])
         some = np.flatnonzero(counts)
+        major = np.zeros(len(slab), dtype=np.uint64)
         if len(some):
-            flat = np.fromiter((x for s in slab for x in s), dtype=np.uint64, count=n)
+            flat = np.concatenate([np.asarray(slab[k], dtype=np.uint64) for k in some])
             at = np.concatenate([[0], np.cumsum(counts[some])])
             ones = np.empty((len(some), 64), dtype=np.int64)
             bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             for k in range(len(some)):
                 ones[k] = bits[at[k] : at[k + 1]].sum(0, dtype=np.int32)
-            major = (2 * ones > counts[some][:, None]).astype(np.uint8)
-            out[first + some] = np.packbits(major, axis=1, bitorder="little").view(np.uint64)[:, 0]
-        slab, n, first = [], 0, upto
+            over = (2 * ones > counts[some][:, None]).astype(np.uint8)
+            major[some] = np.packbits(over, axis=1, bitorder="little").view(np.uint64)[:, 0]
+        out.append(major)
 
-    for i, t in enumerate(texts):
-        slab.append(shingle_hashes(t, width))
-        n += len(slab[-1])
+    for s in hashes:
+        slab.append(s)
+        n += len(s)
         if n >= SLAB:
-            flush(i + 1)
-    flush(len(texts))
-    return out
+            flush()
+            slab, n = [], 0
+    flush()
+    return np.concatenate(out)
 
 
 def fingerprinted(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -118,11 +124,13 @@ def _forests(batches):
         yield pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1])], names=["a", "b"])
 
 
-def _counted(rows: DataFrame, key: str) -> DataFrame:
-    from pyspark.sql import Window
+#: Rows of a side that is broadcast, at most.
+BROADCAST_ROWS = 20_000
+
 
-    w = Window.partitionBy(key)
-    return rows.withColumns({"n": F.count("*").over(w), "least": F.min("fp").over(w)})
+def bounded(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A join side, to be broadcast only if it has few rows."""
+    return F.broadcast(side) if side.count() <= rows else side
 
 
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -136,7 +144,10 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
         return F.transform(keys, lambda k: k.bitwiseOR(F.lit(tag << 32)))
 
     halves = F.concat(ball(F.shiftrightunsigned("fp", 32), 0), ball(F.col("fp").bitwiseAND(low), 1))
-    entries = cut(_counted(fps.select("fp", F.explode(halves).alias("key")), "key").where("n > 1").select("key", "fp", "n"))
+    balls = fps.select("fp", F.explode(halves).alias("key"))
+    # Keys are counted before they meet: what stands alone under a key is not moved with it.
+    shared = cut(balls.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    entries = cut(balls.join(bounded(shared), "key").select("key", "fp", "n"))
     small = entries.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps")
     out = small.mapInArrow(_forests, "a bigint, b bigint").distinct()
     large = entries.where(F.col("n") > bucket).select("fp").distinct()
@@ -153,12 +164,45 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return out.unionByName(stars)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and root (the least node of its component) of all nodes of links a, b."""
+#: Links up to which one task finds the components, in memory of its own.
+LOCAL_LINKS = 4_000_000
+
+
+def components(edges: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
+    """node and root (the least node of its component) of all nodes of links a, b; the result is a checkpoint."""
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    n = now.count()
+    if n <= local:
+        return cut(now.repartition(1).mapInArrow(_rooted, "node bigint, root bigint"))
+    return cut(_starred(now))
+
+
+def _rooted(batches):
+    """Components of all links by least labels and pointer jumping."""
+    import pyarrow as pa
+
+    held = list(batches)
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    a, b = (table.column(k).to_numpy() for k in (0, 1))
+    nodes, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, root = code[: len(a)], code[len(a) :], np.arange(len(nodes))
+    while True:
+        low, before = np.minimum(root[a], root[b]), root.copy()
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        root = root[root]
+        if (root == before).all():
+            break
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "root"])
+
+
+def _starred(now: DataFrame) -> DataFrame:
+    """Components by alternating large-star and small-star steps over distinct links a > b."""
     mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    before = mark(now)
-    while before[0]:
+    before = None
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Large star: neighbours above a node move to its least one.
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -179,8 +223,10 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, bucket: int = BUCKET)
     """doc_id, fp and component_id of every row."""
     rows = cut(fingerprinted(docs, width))
     reps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = components(links(reps.select("fp"), bucket))
-    named = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_fp = named.join(ids, "root").select("fp", "component_id")
-    return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    roots = components(links(reps.select("fp"), bucket)).withColumnRenamed("node", "fp")
+    # Only linked fingerprints have a component to be named; any other is its own.
+    linked = cut(reps.join(bounded(roots), "fp").select("fp", "root", "least_id"))
+    ids = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    of_fp = cut(linked.join(bounded(cut(ids)), "root").select("fp", F.col("component_id").alias("joined_id"), F.lit(True).alias("joined")))
+    alone = reps.join(bounded(of_fp), "fp", "left").select(F.col("fp").alias("of_fp"), F.when(F.col("joined"), F.col("joined_id")).otherwise(F.col("least_id")).alias("component_id"))
+    return rows.join(alone, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "component_id")
