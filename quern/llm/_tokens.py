@@ -24,7 +24,7 @@ import numpy as np
 MEMO_CHUNKS = 400_000
 MEMO_CHUNK_BYTES = 48
 #: Bytes of text encoded at a time, and new chunks joined into one encoder call.
-SLAB_BYTES = 10_000_000
+SLAB_BYTES = 5_000_000
 JOIN = 256
 
 _encoders: dict = {}
