@@ -67,8 +67,10 @@ _RETAINED = """,
 def unproven_parts(spark, sf_dir):
     g = Graph(spark, sf_dir)
     edges, parts = g.cached_edges(), g.nodes().where("kind = 'part'").select("id")
-    reached = C.closure(g.roots(), edges).groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("context")), ",").alias("retained_in"))
-    open_ = C.unreachable(parts, C.proven(g.roots(), edges))
+    roots = cut(g.roots())
+    found = C.closures({"proven": (roots, F.col("exact")), "reached": (roots, None)}, edges)
+    reached = found.where("run = 'reached'").groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("context")), ",").alias("retained_in"))
+    open_ = C.unreachable(parts, found.where("run = 'proven'"))
     return open_.join(reached, "id", "left").select("id", F.coalesce("retained_in", F.lit("")).alias("retained_in"))
 
 
@@ -97,12 +99,12 @@ def unreachable_across_all(spark, sf_dir):
 def _findings(spark, sf_dir):
     g = Graph(spark, sf_dir)
     edges = g.cached_edges()
-    kept = _retained(g, edges)
     blockers = cut(g.blockers())
+    proven, kept = C.proven_and_retained(cut(g.roots()), edges, g.protected(), blockers, g.nodes(), g.contexts())
     active = blockers.join(kept.select(F.col("id").alias("source_node_id")).distinct(), "source_node_id", "left_semi")
     free = C.sourceless(blockers, g.nodes())
     blocked = C.addressed(active.unionByName(free.select(*active.columns)), g.nodes()).select("id")
-    rows = findings.candidates(g.nodes(), C.proven(g.roots(), edges), kept, g.protected(), blocked)
+    rows = findings.candidates(g.nodes(), proven, kept, g.protected(), blocked)
     return findings.classified(rows, F.col("kind") != "region", F.col("kind") == "customer", F.lit(True), F.lit(True))
 
 

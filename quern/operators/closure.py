@@ -1,37 +1,101 @@
-"""Fixed points over (context, node): all contexts advance in one loop."""
+"""Fixed points over (context, node): all contexts advance in one loop.
+
+A node's contexts are the bits of a mask, so an edge is followed once for all of them. Edges and
+the bulk of what was reached are dealt out by node once and kept; a step shuffles what it
+reaches and nothing else. Where the loop does not end soon, chains (nodes with
+one way in and one way out) are contracted by pointer jumping, so that a chain costs the
+logarithm of its length.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.plans.materialise import bounded, cut
 
 #: Rows up to which the edges are broadcast in every step.
 BROADCAST_EDGES = 200_000
-#: Edges and seeds up to which one task walks the whole graph, in memory of its own.
-LOCAL_EDGES = 2_000_000
+#: Edges and seeds up to which one task walks the whole graph, in memory of its own: small projects, where a job costs more than the walk.
+LOCAL_EDGES = 25_000
+#: Contexts in a mask.
+WORD = 60
 #: Edges of one source beyond which they are met by broadcasting the source, not by its key.
 HUB = 100_000
 #: Rows of a frontier that is small, and steps that a small one takes in one job.
 SMALL_FRONT, HOPS = 100_000, 4
 #: Frontiers that are kept apart before they become one table.
-PIECES = 8
+PIECES = 6
+#: Jobs of the loop before chains are contracted.
+PATIENCE = 4
 
 
 def closure(seeds: DataFrame, edges: DataFrame, per_context: bool = False, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """context, id: the least set that holds the seeds (context, id) and follows the edges (src, dst[, context]).
 
-    Null ends are no nodes. A graph of at most ``local_edges`` edges is walked in one
-    task; a larger one in a loop of joins, whose steps write their frontier alone.
+    Null ends are no nodes; a null context is one like others. A graph of at most
+    ``local_edges`` edges is walked in one task; a larger one in a loop of joins.
     """
-    keys = ["src", "dst", "context"] if per_context else ["src", "dst"]
-    edges = cut(edges.select(*keys).where("src is not null and dst is not null"))
+    if not per_context:
+        return closures({"": (seeds, None)}, edges, local_edges).drop("run")
+    edges = cut(edges.select("src", "dst", "context").where("src is not null and dst is not null"))
     seeds = cut(seeds.select("context", "id").where("id is not null").distinct())
     if edges.count() <= local_edges and seeds.count() <= local_edges:
-        return cut(_walked(seeds, edges, per_context))
-    return _spread(seeds, cut(edges.distinct()), ["id", "context"] if per_context else ["id"])
+        return cut(_walked(seeds, edges, True))
+    names = seeds.select("context").distinct().limit(WORD + 1).collect()
+    if len(names) > WORD:
+        # Too many contexts for a mask: a node of a context is a node of its own.
+        key = lambda c: F.struct("context", F.col(c).alias("id"))
+        one = F.lit(1).cast("bigint").alias("mask")
+        found = _spread(seeds.select(key("id").alias("key"), one), edges.select(key("src").alias("key"), key("dst").alias("dst"), one).distinct())
+        return cut(found.select("key.context", "key.id"))
+    names = [r[0] for r in names]
+    of = F.coalesce(*[F.when(F.col("context").eqNullSafe(F.lit(c)), F.lit(1 << k)) for k, c in enumerate(names)]).cast("bigint") if names else F.lit(0).cast("bigint")
+    ways = edges.select(F.col("src").alias("key"), "dst", of.alias("mask")).where("mask is not null").groupBy("key", "dst").agg(F.bit_or("mask").alias("mask"))
+    found = _spread(seeds.select(F.col("id").alias("key"), of.alias("mask")).groupBy("key").agg(F.bit_or("mask").alias("mask")), ways)
+    return cut(_decoded(found, [("", c) for c in names]).drop("run"))
+
+
+def closures(runs: dict[str, tuple[DataFrame, Column | None]], edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """run, context, id of several closures over the same edges in one pass: each run has its seeds (context, id), and which edges it follows."""
+    flags = {f"_follows{k}": F.coalesce(follows, F.lit(False)) for k, (_, follows) in enumerate(runs.values()) if follows is not None}
+    edges = cut(edges.where("src is not null and dst is not null").select("src", "dst", *[c.alias(name) for name, c in flags.items()]))
+    held = None
+    for run, (seeds, _) in runs.items():
+        rows = seeds.where("id is not null").select(F.lit(run).alias("run"), "context", "id")
+        held = rows if held is None else held.unionByName(rows)
+    held = cut(held.distinct())
+    out = []
+    if edges.count() <= local_edges and held.count() <= local_edges:
+        for k, run in enumerate(runs):
+            own = edges.where(F.col(f"_follows{k}")) if f"_follows{k}" in flags else edges
+            out.append(_walked(held.where(F.col("run") == run).drop("run"), own.select("src", "dst"), False).select(F.lit(run).alias("run"), "context", "id"))
+    else:
+        names = [tuple(r) for r in held.select("run", "context").distinct().orderBy("run", "context").collect()]  # a row per context
+        for start in range(0, max(1, len(names)), WORD):
+            some = names[start : start + WORD]
+            of = F.coalesce(*[F.when((F.col("run") == r) & F.col("context").eqNullSafe(F.lit(c)), F.lit(1 << k)) for k, (r, c) in enumerate(some)]) if some else F.lit(None)
+            mask = F.lit(0).cast("bigint")
+            for k, run in enumerate(runs):
+                bits = F.lit(sum(1 << j for j, (r, _) in enumerate(some) if r == run)).cast("bigint")
+                mask = mask.bitwiseOR(F.when(F.col(f"_follows{k}"), bits).otherwise(F.lit(0).cast("bigint")) if f"_follows{k}" in flags else bits)
+            ways = edges.select(F.col("src").alias("key"), "dst", mask.alias("mask")).where("mask <> 0").groupBy("key", "dst").agg(F.bit_or("mask").alias("mask"))
+            first = held.select(F.col("id").alias("key"), of.cast("bigint").alias("mask")).where("mask is not null").groupBy("key").agg(F.bit_or("mask").alias("mask"))
+            out.append(_decoded(_spread(first, ways), some))
+    rows = out[0]
+    for more in out[1:]:
+        rows = rows.unionByName(more)
+    return cut(rows)
+
+
+def _decoded(found: DataFrame, names: list[tuple[str, str | None]]) -> DataFrame:
+    """run, context, id of keys and masks."""
+    if not names:
+        return found.select(F.lit("").alias("run"), F.lit(None).cast("string").alias("context"), F.col("key").alias("id")).limit(0)
+    each = F.array(*[F.when(F.col("mask").bitwiseAND(F.lit(1 << k)) != 0, F.struct(F.lit(r).alias("run"), F.lit(c).cast("string").alias("context"))) for k, (r, c) in enumerate(names)])
+    return found.select(F.col("key").alias("id"), F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select("x.run", "x.context", "id")
 
 
 def _walked(seeds: DataFrame, edges: DataFrame, per_context: bool) -> DataFrame:
@@ -88,45 +152,113 @@ def _reached(n: int, src, dst, seeds: np.ndarray, graph=None) -> np.ndarray:
     return np.flatnonzero(seen)
 
 
-def _spread(seeds: DataFrame, edges: DataFrame, on: list[str]) -> DataFrame:
-    """The closure by joins of the frontier with the edges; hubs are broadcast to their edges, not met by key."""
-    step = edges.withColumnRenamed("src", "id")
-    hubs = cut(step.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > HUB).select(*on))
-    many = bounded(hubs)
-    wide = None if hubs.isEmpty() else cut(step.join(many, on, "left_semi"))
-    narrow = step if wide is None else cut(step.join(many, on, "left_anti"))
-    narrow = F.broadcast(narrow) if narrow.count() <= BROADCAST_EDGES else narrow
+class _Kept:
+    """Tables that are dealt out by key once and kept while a loop runs; lost parts come again from their checkpoints."""
+
+    def __init__(self, parts: int):
+        self.parts, self.held = parts, []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        df = df.repartition(self.parts, "key").persist(StorageLevel.MEMORY_AND_DISK)
+        self.held.append(df)
+        return df
+
+    def free(self) -> None:
+        for df in self.held:
+            df.unpersist()
+        self.held = []
 
-    def after(front):
-        out = front.join(narrow, on).select("context", F.col("dst").alias("id"))
-        if wide is not None:
-            out = out.unionByName(wide.join(bounded(front.join(many, on, "left_semi")), on).select("context", F.col("dst").alias("id")))
-        return out.distinct()
 
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces, front, n = [seeds], seeds, seeds.count()
+def _spread(seeds: DataFrame, ways: DataFrame) -> DataFrame:
+    """key, mask reached from the seeds (key, mask) along distinct ways (key, dst, mask): a mask passes as far as its bits are in the way's."""
+    kept = _Kept(int(ways.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    base = cut(seeds)
+    after, n = _stepper(cut(ways), kept), base.count()
+    front, recent, jobs, inner = base, [], 0, None
+    near, near_n, recent_n = kept(base), n, 0
     while n:
+        if jobs == PATIENCE and inner is None:
+            inner, shorter = _contracted(ways, base, recent)
+            if shorter is not None:
+                after = _stepper(shorter, kept)
         reached = front = after(front)
-        if wide is None and n <= SMALL_FRONT:
+        if n <= SMALL_FRONT:
             for _ in range(HOPS - 1):
                 front = after(front)
                 reached = reached.unionByName(front)
-            reached = reached.distinct()
-        seen = pieces[0]
-        for p in pieces[1:]:
-            seen = seen.unionByName(p)
-        if len(pieces) > PIECES:
-            seen = cut(seen.repartition(parts, "context", "id"))
-            pieces = [seen]
-        front = cut(reached.join(seen, reached["context"].eqNullSafe(seen["context"]) & (reached["id"] == seen["id"]), "left_anti"))
-        n = front.count()
-        pieces.append(front)
-    out = pieces[0]
-    for p in pieces[1:-1]:
-        out = out.unionByName(p)
+            reached = reached.groupBy("key").agg(F.bit_or("mask").alias("mask"))
+        for seen in [near, *recent]:
+            old = seen.select("key", F.col("mask").alias("old"))
+            reached = reached.join(old, "key", "left").select("key", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("bigint")))).alias("mask")).where("mask <> 0")
+        front = cut(reached)
+        n, jobs = front.count(), jobs + 1
+        recent.append(front)
+        recent_n += n
+        # What was reached lately joins the rest when there are many pieces or it has grown as large: each row moves a few times in all.
+        if n and (len(recent) > PIECES or recent_n > near_n):
+            base, near_n, recent_n = cut(_joined(base, recent)), near_n + recent_n, 0
+            near, recent = kept(base), []
+    out = _joined(base, recent)
+    if inner is not None:
+        out = cut(out)
+        far = inner.join(out.select(F.col("key").alias("start"), F.col("mask").alias("come")), "start").select("key", F.col("mask").bitwiseAND(F.col("come")).alias("mask"))
+        out = out.unionByName(far.where("mask <> 0"))
+    out = cut(out)
+    kept.free()
     return out
 
 
+def _joined(base: DataFrame, recent: list[DataFrame]) -> DataFrame:
+    for piece in recent:
+        base = base.unionByName(piece)
+    return base.groupBy("key").agg(F.bit_or("mask").alias("mask"))
+
+
+def _stepper(ways: DataFrame, kept: _Kept):
+    """What a frontier reaches in a step; hubs are broadcast to their ways, not met by key."""
+    step = ways.withColumnRenamed("mask", "along")
+    hubs = cut(step.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HUB).select("key"))
+    many, wide = bounded(hubs), None
+    if not hubs.isEmpty():
+        wide, step = cut(step.join(many, "key", "left_semi")), cut(step.join(many, "key", "left_anti"))
+    narrow = F.broadcast(step) if step.count() <= BROADCAST_EDGES else kept(step)
+
+    def after(front):
+        go = lambda met: met.select(F.col("dst").alias("key"), F.col("mask").bitwiseAND(F.col("along")).alias("mask")).where("mask <> 0")
+        out = go(front.join(narrow, "key"))
+        if wide is not None:
+            out = out.unionByName(go(wide.join(bounded(front.join(many, "key", "left_semi")), "key")))
+        return out.groupBy("key").agg(F.bit_or("mask").alias("mask"))
+
+    return after
+
+
+def _contracted(ways: DataFrame, base: DataFrame, recent: list[DataFrame]) -> tuple[DataFrame | None, DataFrame | None]:
+    """Inner nodes of chains that nothing has reached, with the start of their chain and what passes from there (key, start, mask); and ways without them."""
+    into = ways.groupBy(F.col("dst").alias("key")).agg(F.count("*").alias("n"), F.first("key").alias("start"), F.first("mask").alias("mask")).where("n = 1").drop("n")
+    once = ways.groupBy("key").agg(F.count("*").alias("n")).where("n = 1").select("key")
+    inner = into.join(once, "key", "left_semi")
+    for seen in [base, *recent]:
+        inner = inner.join(seen.select("key"), "key", "left_anti")
+    inner = cut(inner)
+    n = inner.count()
+    if not n:
+        return None, None
+    back = inner
+    # A ring of inner nodes has no start, so its nodes would move for ever; nothing reaches it.
+    for _ in range(n.bit_length() + 1):
+        far = back.select(F.col("key").alias("start"), F.col("start").alias("further"), F.col("mask").alias("more"))
+        met = back.join(far, "start", "left")
+        now = cut(met.select("key", F.coalesce("further", "start").alias("start"), F.when(F.col("further").isNull(), F.col("mask")).otherwise(F.col("mask").bitwiseAND(F.col("more"))).alias("mask"), F.col("further").isNotNull().alias("moved")))
+        back = now.drop("moved")
+        if now.where("moved").isEmpty():
+            break
+    start = back.select("key", "start", F.col("mask").alias("so_far"))
+    out = ways.join(back.select(F.col("key").alias("dst")), "dst", "left_anti").join(start, "key", "left")
+    out = out.select(F.coalesce("start", "key").alias("key"), "dst", F.when(F.col("start").isNull(), F.col("mask")).otherwise(F.col("mask").bitwiseAND(F.col("so_far"))).alias("mask")).where("mask <> 0")
+    return back, cut(out.groupBy("key", "dst").agg(F.bit_or("mask").alias("mask")))
+
+
 def proven(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """What the roots reach over exact edges."""
     return closure(roots, edges.where("exact"))
@@ -189,23 +321,41 @@ def sourceless(blockers: DataFrame, nodes: DataFrame) -> DataFrame:
     return blockers.where(F.col("source_node_id").isNull()).unionByName(unknown)
 
 
-def retained(roots: DataFrame, edges: DataFrame, protected: DataFrame, blockers: DataFrame, nodes: DataFrame, contexts: DataFrame, per_context: bool = False) -> DataFrame:
-    """The fail-closed closure: every edge, protected nodes, and what active blockers address.
-
-    With ``per_context`` the edges carry the context in which they apply.
-    """
+def _retaining(roots: DataFrame, protected: DataFrame, blockers: DataFrame, nodes: DataFrame, contexts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Seeds of the fail-closed closure, the edges that blockers add, and all contexts."""
     blockers = cut(blockers)
     free = sourceless(blockers, nodes)
     listed = free.select(F.explode("affected_node_ids").alias("id")).join(nodes.select("id"), "id", "left_semi")
     everywhere = protected.select("id").unionByName(_scope(free).where("hub is not null").select(F.col("hub").alias("id"))).unionByName(listed).distinct()
     every = bounded(contexts.select("context").distinct())  # tens of contexts
     seeds = roots.select("context", "id").unionByName(everywhere.join(every).select("context", "id"))
-    pseudo = address_edges(blockers, nodes)
+    return seeds, address_edges(blockers, nodes), every
+
+
+def _real(rows: DataFrame) -> DataFrame:
+    return rows.where(~F.col("id").startswith("scope:") & (F.col("id") != EVERYTHING))
+
+
+def retained(roots: DataFrame, edges: DataFrame, protected: DataFrame, blockers: DataFrame, nodes: DataFrame, contexts: DataFrame, per_context: bool = False, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """The fail-closed closure: every edge, protected nodes, and what active blockers address.
+
+    With ``per_context`` the edges carry the context in which they apply.
+    """
+    seeds, pseudo, every = _retaining(roots, protected, blockers, nodes, contexts)
     if per_context:
         all_edges = edges.select("context", "src", "dst").unionByName(pseudo.join(every).select("context", "src", "dst"))
     else:
         all_edges = edges.select("src", "dst").unionByName(pseudo)
-    return closure(seeds, all_edges, per_context).where(~F.col("id").startswith("scope:") & (F.col("id") != EVERYTHING))
+    return _real(closure(seeds, all_edges, per_context, local_edges))
+
+
+def proven_and_retained(roots: DataFrame, edges: DataFrame, protected: DataFrame, blockers: DataFrame, nodes: DataFrame, contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both closures over edges(src, dst, exact) in one pass."""
+    seeds, pseudo, _ = _retaining(roots, protected, blockers, nodes, contexts)
+    all_edges = edges.select("src", "dst", "exact").unionByName(pseudo.withColumn("exact", F.lit(False)))
+    found = closures({"proven": (roots, F.col("exact")), "retained": (seeds, None)}, all_edges)
+    of = lambda run: found.where(F.col("run") == run).select("context", "id")
+    return of("proven"), _real(of("retained"))
 
 
 def unreachable(nodes: DataFrame, reached: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from quern.plans.materialise import cut
 #: Units that are put in order on the driver at most; the smallest-first order is sequential by its nature.
 ORDERED_UNITS = 1_000_000
 #: Nodes and edges up to which one task finds the components.
-LOCAL_EDGES = 1_000_000
+LOCAL_EDGES = 25_000
 
 
 def neutralised(edges: DataFrame, empty: DataFrame) -> DataFrame:
