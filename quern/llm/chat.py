@@ -10,12 +10,16 @@ encoded once with offsets, and the loss mask comes from a binary search of the
 sorted text spans of the assistant's turns in the sorted token spans. Inside texts
 and roles a backslash goes before each backslash, # and < (in roles also before
 colons, and line ends become \\n), so no text can hold a control string and reading
-back restores every character.
+back restores every character. Control strings are cut off before the text is split into
+words, so none of them shares a token with a text: what the mask covers is the texts of
+the assistant's turns and nothing else, and reading back takes just what is under
+it, without a look at roles.
 
 Defined results: null texts and roles are empty; turns come by turn, then role, then
 text, nulls first; a null conv_id is a conversation of its own; repeated rows are
-repeated turns; empty texts have empty spans; a token that reaches over a span's edge
-is in the mask, and the text under the mask ends at the span's edge; no rows: no rows.
+repeated turns; empty texts have empty spans; a character of several tokens is under the
+mask once; a conversation is rendered in one row, so it must fit one, whatever
+the length of its texts; other columns, whatever their names, stay unread; no rows: no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +35,8 @@ LEARN = "assistant"
 #: Conversations of an output batch.
 BATCH = 256
 _END = "\n</turn>\n"
-_TURN = re.compile(r"### ((?:[^\\:\n]|\\.)*):\n")
+_HEAD = r"### ((?:[^\\:\n]|\\.)*):\n"
+_TURN = re.compile(_HEAD)
 FORMATTED = "conv_id bigint, formatted string, ids array<int>, starts array<int>, ends array<int>, loss array<tinyint>"
 
 
@@ -86,23 +91,23 @@ def parse(formatted: str) -> list[tuple[str, int, int]]:
 
 
 def read_back(formatted: str, starts: np.ndarray, ends: np.ndarray, loss: np.ndarray) -> tuple[list[tuple[str, str]], str]:
-    """The turns, and the text under the loss mask."""
-    found = parse(formatted)
-    turns = [(role, unescape(formatted[a:b])) for role, a, b in found]
+    """The turns, and all text under the loss mask, whoever's it is."""
+    turns = [(role, unescape(formatted[a:b])) for role, a, b in parse(formatted)]
     under = np.zeros(len(formatted) + 1, dtype=np.int32)
     on = loss.astype(bool)
     np.add.at(under, starts[on], 1)
     np.add.at(under, ends[on], -1)
-    covered = np.cumsum(under)[:-1] > 0
-    kept = [unescape("".join(np.array(list(formatted[a:b]))[covered[a:b]].tolist()) if not covered[a:b].all() else formatted[a:b]) for role, a, b in found if covered[a:b].any() and role == LEARN]
-    return turns, "".join(kept)
+    edges = np.flatnonzero(np.diff(np.cumsum(under)[:-1] > 0, prepend=False, append=False)).tolist()
+    return turns, unescape("".join([formatted[a:b] for a, b in zip(edges[::2], edges[1::2])]))
 
 
 def tokenizer(path: str):
-    from tokenizers import Tokenizer, processors
+    """The vocabulary's tokenizer, which cuts control strings off from what stands beside them."""
+    from tokenizers import Regex, Tokenizer, pre_tokenizers, processors
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
+    t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(f"{_HEAD}|{_END}"), "isolated"), t.pre_tokenizer])
     t.post_processor = processors.ByteLevel(trim_offsets=False)
     return t
 
