@@ -16,10 +16,20 @@ Each of the 160 minima also leaves four bits in a signature. Texts of similarity
 agree in 130 of 160 places on average; a pair that agrees in fewer than LEAST is none
 (an error of 3e-6), so unlike texts that share a key by chance cost no sets.
 
-Keys are not multiplied out: every text that shares a key with a text of another
-group is compared with one of those first, the one it shares most keys with, and groups
-grow. What is open then is compared across groups, by signature inside the join, where
-a key has at most GROUP texts; larger keys are split by a second band before.
+Keys are not multiplied out. Every text that shares a key with a text of another
+group is first compared with one of those, the one it shares most keys with, and groups
+grow. Of what is open then,
+
+- keys of at most GROUP texts meet by signature inside the join;
+- texts of larger keys meet by rare shingles. Two sets of that similarity share one of
+  their n / 5 + 1 rarest shingles, whatever the order, so those that at most GROUP of
+  these texts have name every pair exactly: a template that thousands share costs
+  nothing. Only texts of which frequent shingles are four fifths or more may meet in
+  frequent ones alone. Those go on as in the beginning, ROUNDS times, and
+  what is left of their keys is compared across groups by signature.
+
+So a text meets at most GROUP others under a key, but for the last kind, of which texts
+that share their frequent shingles are near copies of each other, and one group soon.
 
 Defined results: texts are known by their hash, so copies are never paired; null
 counts as empty; texts without words are copies of each other; a text of fewer than
@@ -38,8 +48,10 @@ from quern.llm.simhash import SLICE, bounded, components, links, majorities, shi
 WIDTH = 5
 #: Bands, and minima of a band.
 BANDS, ROWS = 32, 5
-#: Rounds of one comparison a text, and texts of an open key that meet without a second band.
-ROUNDS, GROUP = 1, 1_000
+#: Rounds of one comparison a text for texts of frequent shingles, and texts of a key or shingle that meet each other at most.
+ROUNDS, GROUP = 6, 64
+#: Fewer shingles than this hold more than 1/MANY of all; they are broadcast.
+MANY = 20_000
 #: Places of two signatures that agree at least, and words of a signature.
 LEAST, WORDS = 108, BANDS * ROWS // 16
 #: Shingles whose minima are taken at a time.
@@ -196,15 +208,50 @@ def _fringe(named: DataFrame) -> DataFrame:
 
 
 def _crossing(fringe: DataFrame, named: DataFrame) -> DataFrame:
-    """Pairs h, y of members of one key that are of different groups and alike by signature."""
-    other = named.select("key", *_other(), *[F.col(f"s{k}").alias(f"t{k}") for k in range(WORDS)])
-    return fringe.join(other, "key").where(_near() & _alike()).select(F.greatest("h", "y").alias("h"), F.least("h", "y").alias("y")).distinct()
-
-
-def _split(named: DataFrame, members: DataFrame) -> DataFrame:
-    """The rows under keys of two bands: texts that reach the similarity share two with all but 5e-5 probability."""
-    two = named.join(members.select("h", F.col("key").alias("second")), "h").where("key <> second")
-    return two.withColumn("key", F.xxhash64(F.least("key", "second"), F.greatest("key", "second"))).drop("second").distinct()
+    """Pairs h, y of members of one key that are of different groups, not both hot, and alike by signature."""
+    other = named.select("key", *_other(), F.col("hot").alias("other_hot"), *[F.col(f"s{k}").alias(f"t{k}") for k in range(WORDS)])
+    met = fringe.join(other, "key").where(_near() & ~(F.col("hot") & F.col("other_hot")) & _alike())
+    return met.select(F.greatest("h", "y").alias("h"), F.least("h", "y").alias("y")).distinct()
+
+
+def _star(named: DataFrame, tried: DataFrame | None, keyed: DataFrame, k: int) -> DataFrame:
+    """Pairs h, y: of each key one text, another one in each round; of those a text meets, the one it shares most keys with."""
+    centres = named.groupBy("key").agg(F.min_by(F.struct(*_other()), F.xxhash64("h", F.lit(k))).alias("centre"))
+    met = named.join(centres, "key").select("h", "n", "root", "centre.*").where(_near())
+    met = met.groupBy("h", "y").agg(F.count("*").alias("s"))
+    met = met if tried is None else met.join(tried, ["h", "y"], "left_anti")
+    return cut(_signed(met.groupBy("h").agg(F.max_by("y", F.struct("s", "y")).alias("y")), keyed))
+
+
+def _by_rare(hot: DataFrame, texts: DataFrame, group: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs h, y of hot texts that share one of their rarest shingles, and those texts (h) that may be alike through frequent ones only."""
+    sets = cut(_sets(texts.join(bounded(hot, BROADCAST_IDS), "h", "left_semi")))
+    entries = sets.select("h", F.size("set").alias("n"), F.explode("set").alias("s"))
+    total = sets.agg(F.sum(F.size("set"))).first()[0] or 0
+    many = cut(entries.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"))
+    # What so many hold is told row by row, the rest by key.
+    bar = max(group, total // MANY)
+    top = F.broadcast(many.where(F.col("df") > bar).select("s"))
+    met = entries.join(top, "s", "left_anti").join(many.where(F.col("df") <= bar), "s")
+    rare = F.collect_list(F.when(F.col("df") <= group, F.struct("df", "s")))
+    of = met.groupBy("h").agg(F.first("n").alias("n"), F.array_sort(rare).alias("rare"), F.sum((F.col("df") > group).cast("int")).alias("f"))
+    of = cut(of.select("h", "n", F.slice("rare", F.lit(1), F.floor(F.col("n") / 5).cast("int") + 1).alias("rare"), "f"))
+    tops = entries.join(top, "s").groupBy("h").agg(F.first("n").alias("n"), F.count("*").alias("f"))
+    held = of.select("h", "n", "f").unionByName(tops).groupBy("h").agg(F.max("n").alias("n"), F.sum("f").alias("f"))
+    full = held.where("5 * (n - f) <= n + 5").select("h")
+    keys = cut(of.select("h", "n", F.posexplode("rare").alias("at", "x")).select("h", "n", "at", F.col("x.s").alias("s")))
+    # The smaller one of a pair has a shared shingle among its n / 9 + 1 rarest ones.
+    less = keys.where("9 * at <= n").select(F.col("h").alias("y"), F.col("n").alias("yn"), "s")
+    pairs = keys.join(less, "s").where("h <> y AND yn <= n AND 5 * yn >= 4 * n").select(F.greatest("h", "y").alias("h"), F.least("h", "y").alias("y")).distinct()
+    return pairs, cut(full)
+
+
+def _parted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of the pairs h, y that are of different groups."""
+    side = bounded(roots)
+    of = lambda end: side.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    met = pairs.join(of("h"), "h", "left").join(of("y"), "y", "left")
+    return met.where(F.coalesce("h_root", "h") != F.coalesce("y_root", "y")).select("h", "y")
 
 
 def near_copies(docs: DataFrame, rounds: int = ROUNDS, group: int = GROUP) -> DataFrame:
@@ -216,32 +263,42 @@ def near_copies(docs: DataFrame, rounds: int = ROUNDS, group: int = GROUP) -> Da
     shared = cut(entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"))
     members = cut(entries.join(bounded(shared), "key").select("key", "h", "n"))
     roots, tried = components(found), None
-    for k in range(rounds):
-        named = _open(members, roots)
-        if named is None:
-            return roots.withColumnRenamed("node", "h")
-        # Of each key one text, another one in each round; of those a text meets, the one it shares most keys with.
-        centres = named.groupBy("key").agg(F.min_by(F.struct(*_other()), F.xxhash64("h", F.lit(k))).alias("centre"))
-        met = named.join(centres, "key").select("h", "n", "root", "centre.*").where(_near())
-        met = met.groupBy("h", "y").agg(F.count("*").alias("s"))
-        met = met if tried is None else met.join(tried, ["h", "y"], "left_anti")
-        best = cut(_signed(met.groupBy("h").agg(F.max_by("y", F.struct("s", "y")).alias("y")), keyed))
-        more = _verified(best, texts)
-        tried = best if tried is None else tried.unionByName(best)
+
+    def linked(pairs, signed=False):
+        nonlocal found, roots
+        more = _verified(pairs if signed else _signed(pairs, keyed), texts)
         if not more.isEmpty():
             found = found.unionByName(more)
             roots = components(found)
-    named = _open(members, roots)
-    if named is None:
+
+    if (named := _open(members, roots)) is not None:
+        tried = _star(named, None, keyed, 0)
+        linked(tried, signed=True)
+    if tried is None or (named := _open(members, roots)) is None:
         return roots.withColumnRenamed("node", "h")
-    named = named.join(keyed.select("h", *[f"s{k}" for k in range(WORDS)]), "h")
-    small, large = named.where(F.col("m") <= group).drop("m"), named.where(F.col("m") > group).drop("m")
-    rest = _crossing(_fringe(small), small)
-    if not large.isEmpty():
-        few = cut(_split(_fringe(large), members))
-        rest = rest.unionByName(_crossing(few, _split(large, members).join(few.select("key"), "key", "left_semi")))
+    words = [f"s{k}" for k in range(WORDS)]
+    hot = cut(named.where(F.col("m") > group).select(F.col("h").alias("of")).distinct())
+    few = named.where(F.col("m") <= group).join(bounded(hot, BROADCAST_IDS), F.col("h") == F.col("of"), "left").withColumn("hot", F.col("of").isNotNull()).drop("m", "of")
+    few = few.join(keyed.select("h", *words), "h")
+    rest = _crossing(_fringe(few), few)
+    full = None
+    if not hot.isEmpty():
+        pairs, full = _by_rare(hot.withColumnRenamed("of", "h"), texts, group)
+        rest = rest.unionByName(_signed(_parted(pairs, roots), keyed))
     tested = tried.select(F.greatest("h", "y").alias("h"), F.least("h", "y").alias("y"))
-    more = _verified(rest.join(tested, ["h", "y"], "left_anti"), texts)
-    if not more.isEmpty():
-        roots = components(found.unionByName(more))
+    linked(rest.join(tested, ["h", "y"], "left_anti"), signed=True)
+    if full is None or full.isEmpty():
+        return roots.withColumnRenamed("node", "h")
+    members = cut(members.join(bounded(full, BROADCAST_IDS), "h", "left_semi"))
+    for k in range(1, rounds + 1):
+        if (named := _open(members, roots)) is None:
+            break
+        best = _star(named, tried, keyed, k)
+        if best.isEmpty():
+            break
+        linked(best, signed=True)
+        tried = tried.unionByName(best)
+    if (named := _open(members, roots)) is not None:
+        named = named.drop("m").withColumn("hot", F.lit(False)).join(keyed.select("h", *words), "h")
+        linked(_crossing(_fringe(named), named), signed=True)
     return roots.withColumnRenamed("node", "h")
