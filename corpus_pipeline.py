@@ -75,9 +75,11 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Rows that are equal in all columns share what they take together; null sources are
     one source; texts without words are taken once or twice, as their source is, at random.
     """
-    # Maps have no hash of their own.
-    hashable = [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in docs.dtypes]
-    keyed = docs.select("doc_id", "text", "source", F.xxhash64(*hashable).alias("row_key"), _whole(docs))
+    # Nested values have nulls of their own, and maps no hash: both go as JSON. Each column says whether it is null, as hashes skip nulls.
+    plain = [F.to_json(F.struct(c), {"ignoreNullFields": "false"}) if "<" in kind else F.col(c) for c, kind in docs.dtypes]
+    told = [x for c, p in zip(docs.columns, plain) for x in (F.col(c).isNull(), p)]
+    row_key = F.concat_ws("-", *[F.xxhash64(*told, F.lit(seed)).cast("string") for seed in (1, 2)])
+    keyed = docs.select("doc_id", "text", "source", row_key.alias("row_key"), _whole(docs))
     taken = mixing.mix(keyed, payload=["row_key"]).groupBy("doc_id", "row_key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
     taken = cut(taken.select(F.col("doc_id").alias("of_id"), F.col("row_key").alias("of_key"), "copies", "rows"))
     keyed = keyed.select("doc_id", "row_key", "row")
