@@ -76,11 +76,16 @@ def sanitised_id(path: Column) -> Column:
 
 
 def encode_component(text: Column) -> Column:
-    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    """A text as one component of an address: letters, digits and -_.!~*'() stay as they are."""
+    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    for mark in "!~'()":
+        out = F.replace(out, F.lit(f"%{ord(mark):02X}"), F.lit(mark))
+    return out
 
 
 def url_safe_base64(text: Column) -> Column:
-    return F.translate(F.base64(text.cast("binary")), "+/", "-_")
+    """Base64 of a text's bytes with - and _, in one line."""
+    return F.translate(F.base64(text.cast("binary")), "+/\r\n", "-_")
 
 
 #: What a generated source path ends with, and the folders it lies in.
