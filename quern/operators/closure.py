@@ -358,6 +358,25 @@ def proven_and_retained(roots: DataFrame, edges: DataFrame, protected: DataFrame
     return of("proven"), _real(of("retained"))
 
 
+def without(kept: DataFrame, seeds: DataFrame, edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """context, id of the closure after the nodes ``gone`` (id) and their edges went, from the closure before.
+
+    What they led to is taken out, and what a seed or a node that stays still leads to is put back: the work goes by what
+    was lost, not by the graph.
+    """
+    gone = cut(gone.select("id").distinct())
+    ends = [bounded(gone).withColumnRenamed("id", c) for c in ("src", "dst")]
+    lost = closure(kept.join(bounded(gone), "id", "left_semi").select("context", "id"), edges)
+    open_ = cut(lost.join(ends[0].withColumnRenamed("src", "id"), "id", "left_anti"))
+    sure = cut(kept.join(lost, ["context", "id"], "left_anti").select("context", "id"))
+    live = edges.join(open_.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").join(ends[0], "src", "left_anti").select("src", "dst")
+    live = cut(live)
+    into = sure.withColumnRenamed("id", "src").join(live, "src").select("context", F.col("dst").alias("id"))
+    back = seeds.select("context", "id").unionByName(into).join(open_, ["context", "id"], "left_semi")
+    again = closure(back, live).join(open_, ["context", "id"], "left_semi").select("context", "id")
+    return cut(sure.unionByName(again))
+
+
 def unreachable(nodes: DataFrame, reached: DataFrame) -> DataFrame:
     return nodes.join(reached.select("id").distinct(), "id", "left_anti")
 

@@ -12,8 +12,6 @@ from quern.functions.conditions import bag_digest
 from quern.operators.closure import closure
 from quern.plans.materialise import cut
 
-#: Units that are put in order on the driver at most; the smallest-first order is sequential by its nature.
-ORDERED_UNITS = 1_000_000
 #: Nodes and edges up to which one task finds the components.
 LOCAL_EDGES = 25_000
 
@@ -153,28 +151,78 @@ def units(components: DataFrame, inner: DataFrame) -> DataFrame:
     return named.join(needs, "component", "left").select("component", "unit_id", "members", F.coalesce("needs", F.array().cast("array<string>")).alias("needs"))
 
 
+def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, component: the smallest id that is joined to it by edges, whatever their direction."""
+    pairs = edges.select("src", "dst").where("src <> dst")
+    now = cut(pairs.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    before = None
+    while (after := mark(now)) != before:
+        before = after
+        # Larger neighbours move to the smallest one, then every node and the smaller ones do.
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        now = cut(large.join(down, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+    return nodes.select("id").distinct().join(now.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("component"))
+
+
+def ordered(rows: DataFrame) -> DataFrame:
+    """unit_id, component, lead, step of units(component, unit_id, needs): by lead and step, dependants come before what they need, always the one with the smallest member next.
+
+    Units that no need joins don't wait for each other. So each group of joined units is put in
+    order by itself, in a task that holds that group alone; of all groups the one
+    whose next unit is smallest goes on, which is the order of the largest member so far.
+    """
+    near = rows.select("component", "unit_id", "needs")
+    known = near.select(F.col("unit_id").alias("dst"))
+    ways = near.select(F.col("unit_id").alias("src"), F.explode("needs").alias("dst")).join(known, "dst", "left_semi").select("src", "dst")
+    groups = weak_components(near.select(F.col("unit_id").alias("id")), cut(ways)).select(F.col("id").alias("unit_id"), F.col("component").alias("grp"))
+    dealt = near.join(groups, "unit_id").select("grp", "component", "unit_id", "needs")
+
+    def run(batches):
+        import pyarrow as pa
+
+        def put(group):
+            key, needs = {u: c for c, u, _ in group}, {u: [x for x in n if x] for _, u, n in group}
+            waiting = dict.fromkeys(key, 0)
+            for some in needs.values():
+                for u in some:
+                    if u in waiting:
+                        waiting[u] += 1
+            ready = [(key[u], u) for u, n in waiting.items() if not n]
+            heapq.heapify(ready)
+            lead, out = "", []
+            while ready:
+                c, unit = heapq.heappop(ready)
+                lead = max(lead, c, key=lambda x: x.encode())
+                out.append((unit, c, lead, len(out)))
+                for u in needs[unit]:
+                    if u in waiting:
+                        waiting[u] -= 1
+                        if not waiting[u]:
+                            heapq.heappush(ready, (key[u], u))
+            return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out), (pa.string(), pa.string(), pa.string(), pa.int64()))], names=["unit_id", "component", "lead", "step"])
+
+        now, held = None, []
+        for b in batches:
+            for grp, *row in zip(*(b.column(k).to_pylist() for k in range(4))):
+                if grp != now and held:
+                    yield put(held)
+                    held = []
+                now = grp
+                held.append(row)
+        if held:
+            yield put(held)
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(run, "unit_id string, component string, lead string, step bigint")
+
+
 def order(rows: DataFrame) -> list[str]:
-    """Unit ids, dependants before what they need, always the one with the smallest member next."""
-    n = rows.count()
-    if n > ORDERED_UNITS:
-        raise ValueError(f"{n} units are more than {ORDERED_UNITS} to put in order")
-    needs, key, waiting = {}, {}, {}
-    for r in rows.select("component", "unit_id", "needs").toLocalIterator():
-        needs[r.unit_id], key[r.unit_id] = r.needs, r.component
-    for some in needs.values():
-        for u in some:
-            waiting[u] = waiting.get(u, 0) + 1
-    ready = [(key[u], u) for u in needs if not waiting.get(u)]
-    heapq.heapify(ready)
-    out = []
-    while ready:
-        unit = heapq.heappop(ready)[1]
-        out.append(unit)
-        for u in needs[unit]:
-            waiting[u] -= 1
-            if not waiting[u]:
-                heapq.heappush(ready, (key[u], u))
-    return out
+    """Unit ids in the order of a plan, one after another."""
+    return [r.unit_id for r in ordered(rows).orderBy("lead", "step").select("unit_id").toLocalIterator()]
 
 
 def plan(selected: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.catalogue import _FOUND, _GRAPH, _RETAINED, QUERIES, _findings, _read, _retained, query
 from quern.functions.conditions import CONDITION
-from quern.operators import catalogues, facts, ledger, planner, surface
+from quern.operators import catalogues, facts, ledger, planner, rounds, surface
 from quern.operators.closure import sourceless
 from quern.plans.model import Model
 from quern.plans.projection import NAMESPACES, Graph
@@ -376,3 +376,58 @@ def ordered_findings(spark, sf_dir):
     from quern.operators.findings import ordered
 
     return ordered(_findings(spark, sf_dir)).select("id", "tier", "tier_rank")
+
+
+@query("""WITH RECURSIVE u AS (SELECT 's:' || s_suppkey AS id FROM supplier),
+    e AS (SELECT DISTINCT CASE WHEN s_suppkey % 2 = 0 THEN 's:' || s_suppkey ELSE 's:' || (s_suppkey + 3) END AS src, CASE WHEN s_suppkey % 2 = 0 THEN 's:' || (s_suppkey + 3) ELSE 's:' || s_suppkey END AS dst FROM supplier
+        WHERE s_suppkey % 11 <> 0 AND s_suppkey + 3 IN (SELECT s_suppkey FROM supplier)),
+    steps AS (SELECT 0 AS n, CAST([] AS VARCHAR[]) AS done UNION ALL
+        SELECT n + 1, list_append(done, (SELECT min(id) FROM u WHERE NOT list_contains(done, id) AND id NOT IN (SELECT dst FROM e WHERE NOT list_contains(done, src)))) FROM steps WHERE n < (SELECT count(*) FROM u)),
+    last AS (SELECT unnest(done) AS id, generate_subscripts(done, 1) - 1 AS place FROM steps WHERE n = (SELECT count(*) FROM u)),
+    named AS (SELECT id, 'unit:' || substr(sha256(id), 1, 16) AS unit_id FROM u)
+    SELECT unit_id, place, coalesce((SELECT string_agg(x.unit_id, ',' ORDER BY x.unit_id) FROM e JOIN named x ON x.id = e.dst WHERE e.src = named.id), '') AS needs FROM last JOIN named USING (id)""")
+def plan_order(spark, sf_dir):
+    """Suppliers as units that need the third next one or are needed by it, in the order in which they would go."""
+    from quern.operators.numbered import numbered
+
+    key, name = F.col("s_suppkey"), lambda c: F.concat(F.lit("s:"), c.cast("string"))
+    s = _read(spark, sf_dir, "supplier").select("s_suppkey")
+    far = s.select((key - 3).alias("s_suppkey"))
+    pairs = s.where(key % 11 != 0).join(far, "s_suppkey").select(name(key).alias("a"), name(key + 3).alias("b"), (key % 2 == 0).alias("down"))
+    edges = pairs.select(F.when(F.col("down"), F.col("a")).otherwise(F.col("b")).alias("src"), F.when(F.col("down"), F.col("b")).otherwise(F.col("a")).alias("dst")).distinct()
+    nodes = s.select(name(key).alias("id"))
+    units = planner.units(planner.strong_components(nodes, edges), edges).cache()
+    places = numbered(planner.ordered(units).select("unit_id", "lead", "step"), ["lead", "step"], "place")
+    return units.join(places, "unit_id").select("unit_id", "place", F.array_join("needs", ",").alias("needs"))
+
+
+#: Rounds that the oracle of apply_loop unrolls: more than it takes.
+_ROUNDS = 6
+
+
+def _loop() -> str:
+    out, gone = [], "(SELECT CAST(NULL AS VARCHAR) AS id WHERE false)"
+    for r in range(1, _ROUNDS + 1):
+        out.append(f"""
+    kept{r} AS (SELECT id FROM seeds WHERE id NOT IN (SELECT id FROM {gone} g) UNION SELECT e.dst FROM kept{r} k JOIN all_edges e ON e.src = k.id WHERE e.dst NOT IN (SELECT id FROM {gone} g)),
+    chosen{r} AS (SELECT id FROM nodes WHERE id NOT IN (SELECT id FROM proven) AND id NOT IN (SELECT id FROM protected) AND id NOT IN (SELECT id FROM {gone} g) AND kind NOT IN ('region', 'nation') AND (kind = 'orders' OR id NOT IN (SELECT id FROM kept{r}))),
+    outside{r} AS (SELECT DISTINCT dst AS id FROM edges WHERE dst IN (SELECT id FROM chosen{r}) AND src NOT IN (SELECT id FROM chosen{r}) AND src NOT IN (SELECT id FROM {gone} g)),
+    held{r} AS (SELECT id FROM outside{r} UNION SELECT e.dst FROM held{r} h JOIN edges e ON e.src = h.id WHERE e.dst IN (SELECT id FROM chosen{r})),
+    done{r} AS (SELECT id FROM chosen{r} WHERE id NOT IN (SELECT id FROM held{r})),
+    gone{r} AS (SELECT id FROM {gone} g UNION ALL SELECT id FROM done{r})""")
+        gone = f"gone{r}"
+    rows = " UNION ALL ".join([f"SELECT id, {r} AS round, 'committed' AS outcome FROM done{r}" for r in range(1, _ROUNDS + 1)])
+    ends = " UNION ALL ".join([f"SELECT id, {r} AS round, 'blocked' AS outcome FROM held{r}" for r in range(1, _ROUNDS + 1)])
+    counts = " UNION ALL ".join([f"SELECT {r} AS r, count(*) AS n FROM done{r}" for r in range(1, _ROUNDS + 1)])
+    return f"WITH RECURSIVE {_GRAPH}{_RETAINED},{','.join(out)} SELECT * FROM ({rows}) UNION ALL SELECT * FROM ({ends}) WHERE round = (SELECT min(r) FROM ({counts}) WHERE n = 0)"
+
+
+@query(_loop())
+def apply_loop(spark, sf_dir):
+    """Unproven nodes go round by round: orders even if they are retained, which frees what only they retain."""
+    g = Graph(spark, sf_dir)
+
+    def select(rows):
+        return rows.where("kind NOT IN ('region', 'nation') AND (kind = 'orders' OR NOT retained)").withColumn("path", F.lit(None).cast("string"))
+
+    return rounds.apply((g.nodes(), g.edges(), g.roots(), g.protected(), g.blockers()), g.contexts(), select)
