@@ -138,6 +138,14 @@ def _registry(spark, sf_dir):
     return part, adapters.registration_inventory(rows, part.where("p_size < 0"))
 
 
+@query("SELECT 'd' || p_partkey AS id, p_brand AS type, true AS uncertain FROM part WHERE p_size <= 6")
+def registration_mutations(spark, sf_dir):
+    """The inventory where parts of one size change the container while the program runs: nothing in it is certain."""
+    part = _read(spark, sf_dir, "part")
+    rows = part.where("p_size <= 6").select(F.concat(F.lit("d"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_brand").alias("type"), F.lit(None).cast("string").alias("name"), F.lit(False).alias("dynamic_name"), F.lit("base").alias("scope"))
+    return adapters.registration_inventory(rows, part.where("p_size = 7")).select("id", "type", "uncertain")
+
+
 @query(f"WITH {_REGISTRY} SELECT id, type, name, uncertain FROM reg")
 def registration_inventory(spark, sf_dir):
     return _registry(spark, sf_dir)[1]

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.numbered import numbered
+
 
 def fingerprint(*parts: Column) -> Column:
     """Length-prefixed parts as one string; a null part is written like an empty one."""
@@ -51,11 +53,19 @@ def with_metadata_form(rows: DataFrame, column: str, name: str = "form") -> Data
     return rows.withColumn(name, form(F.col(column)))
 
 
-def nodes(rows: DataFrame, payload: list[str]) -> tuple[DataFrame, DataFrame]:
+def nodes(rows: DataFrame, payload: list[str], metadata: str | None = None) -> tuple[DataFrame, DataFrame]:
     """One row per id (the smallest fingerprint, the first producer as owner, all contributors), and a blocker per conflict.
 
-    Definitions that differ only in a null against an empty text have one fingerprint, but conflict.
+    Definitions that differ only in a null against an empty text have one fingerprint, but conflict. ``metadata`` is a column of JSON
+    objects, which are equal whatever the order of their keys; what is no object is compared as it is.
     """
+    if metadata is not None:
+        rows = with_metadata_form(rows, metadata, "_form").withColumn("_form", F.coalesce("_form", metadata))
+        kept, blockers = nodes(rows, [*payload, "_form"])
+        # Of equal definitions the smallest text stands for all.
+        text = rows.groupBy("id", F.col("_form").alias("_of")).agg(F.min(metadata).alias(metadata))
+        kept = kept.join(text.withColumnRenamed("id", "_id"), (F.col("id") == F.col("_id")) & F.col("_form").eqNullSafe(F.col("_of")))
+        return kept.select("id", *payload, metadata, "owner", "contributors"), blockers
     order = F.struct(fingerprint(*[F.col(c) for c in payload]).alias("fp"), *[F.col(c).isNull().alias(f"no_{c}") for c in payload])
     whole = F.struct(*payload)
     kept = rows.groupBy("id").agg(
@@ -127,6 +137,5 @@ class FactBuilder:
         return self
 
     def stamped(self, table: str, order: list[str]) -> DataFrame:
-        """The table's rows with producer and seq; seq is a hash-free rank that only has to be the same in every run."""
-        key = F.struct(*order)
-        return self.tables[table].withColumns({"producer": F.lit(self.producer), "seq": F.to_json(key)})
+        """The table's rows with producer and seq: 0, 1, ... in the order of columns, so that the first definition has the smallest."""
+        return numbered(self.tables[table], order, "seq").withColumn("producer", F.lit(self.producer))

@@ -92,3 +92,30 @@ def run_clocks(spark, sf_dir):
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     g = _read(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
     return g.select("user_id", iso(F.col("a")).alias("started_at"), iso(F.col("b")).alias("finished_at"), (F.unix_micros(F.col("b").cast("timestamp")) - F.unix_micros(F.col("a").cast("timestamp"))).alias("elapsed_micros"))
+
+
+#: Languages of the message files below; the last is none.
+_CODES = ("en", "de", "fr", "es", "it", "pt", "nl", "sv", "da", "zz")
+
+
+@query(f"""WITH m AS (SELECT p_partkey, p_partkey % 25 AS k, p_size % 6 AS s, 'm' || p_partkey AS key, {list(_CODES)}[p_partkey % 25 % 10 + 1] AS code FROM part),
+    f AS (SELECT *, 'l/' || k || '/app_' || code || '.arb' AS path, CASE WHEN code = 'zz' THEN 'ARB filename locale could not be determined safely' WHEN k = 3 THEN 'ARB filename locale es differs from @@locale it' WHEN k = 4 THEN 'malformed JSON' END AS reason FROM m)
+    SELECT 'issue' AS what, path, NULL AS key, reason AS said FROM f WHERE reason IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT 'issue', path, key, CASE s WHEN 1 THEN 'message must have a string value' WHEN 3 THEN 'metadata description must be a string' WHEN 4 THEN 'metadata has no matching message' ELSE 'an attribute of a placeholder is not valid' END FROM f WHERE reason IS NULL AND s IN (1, 3, 4, 5)
+    UNION ALL SELECT 'message', code, key, 'Hi {{name}} of ' || p_partkey FROM f WHERE reason IS NULL AND s NOT IN (1, 4)""")
+def message_documents(spark, sf_dir):
+    """Parts as messages of 25 files: some are no texts, some have descriptions that break a rule, some files can't be read as a whole."""
+    part = _read(spark, sf_dir, "part")
+    k, code = F.col("p_partkey") % 25, F.element_at(F.array(*map(F.lit, _CODES)), (F.col("p_partkey") % 25 % 10 + 1).cast("int"))
+    name = F.concat(F.lit('"m'), F.col("p_partkey").cast("string"), F.lit('":'))
+    about = F.concat(F.lit(',"@'), F.substring(name, 2, 100))
+    text = F.concat(F.lit('"Hi {name} of '), F.col("p_partkey").cast("string"), F.lit('"'))
+    plain, after = F.concat(name, text), lambda x: F.concat(name, text, about, F.lit(x))
+    forms = [plain, F.concat(name, F.lit("12.5")), after('{"description":"d","placeholders":{"name":{"type":"String","optionalParameters":{"k":"null"}}}}'), after('{"description":4}'),
+        F.concat(F.lit('"@'), F.substring(name, 2, 100), F.lit("{}")), after('{"placeholders":{"name":{"example":" "}}}')]
+    entry = F.element_at(F.array(*forms), (F.col("p_size") % 6 + 1).cast("int"))
+    path = F.concat(F.lit("l/"), k.cast("string"), F.lit("/app_"), code, F.lit(".arb"))
+    files = part.select(path.alias("path"), k.alias("k"), entry.alias("entry")).groupBy("path", "k").agg(F.array_join(F.array_sort(F.collect_list("entry")), ",").alias("body"))
+    documents = files.select("path", F.concat(F.lit("{"), F.when(F.col("k") == 3, '"@@locale":"it",').otherwise(""), "body", F.when(F.col("k") == 4, ",").otherwise("}")).alias("text"))
+    said, issues = project.messages(documents, "l/0/app_en.arb")
+    return issues.select(F.lit("issue").alias("what"), "path", "key", F.col("reason").alias("said")).unionByName(said.select(F.lit("message").alias("what"), F.col("locale").alias("path"), "key", F.col("message").alias("said")))

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.conditions import generated_path
-from quern.operators.catalogues import exclusion_reason, normal_locale, repeated_json_keys
+from quern.operators.adapters import document_locale, locale_syntax
+from quern.operators.catalogues import exclusion_reason, repeated_json_keys
 from quern.operators.closure import closure
 from quern.plans.materialise import cut
 
@@ -62,20 +63,64 @@ def diagnostics(log: DataFrame, sources: DataFrame, codes: list[str]) -> DataFra
 
 
 def messages(documents: DataFrame, template: str) -> tuple[DataFrame, DataFrame]:
-    """path, text of JSON message files -> messages(key, locale, is_template, message), and issues(path, reason).
+    """path, text of JSON message files -> messages(key, locale, is_template, message), and issues(path, key, reason).
 
-    The locale is the file's own, else the longest valid end of its name. Keys that begin with @ describe others.
+    The locale is the file's own, else the longest end of its name that a known language begins. A file that can't be read as a whole
+    gives one issue and no messages; a message or its description that breaks a rule gives one, and the file's other messages stay.
     """
     stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
-    parts = F.split(stem, "_")
-    ends = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda n: normal_locale(F.array_join(F.slice(parts, n, F.size(parts)), "_")))
-    named = F.get(F.filter(ends, lambda x: x.isNotNull()), F.lit(0))
-    own = normal_locale(F.get_json_object("text", "$['@@locale']"))
-    read = documents.select("path", "text", repeated_json_keys(F.col("text")).alias("again"), own.alias("own"), named.alias("named"), F.from_json("text", "map<string,string>").alias("m"))
-    bad = F.when(F.col("again").isNull(), "not an object").when(F.size("again") > 0, "repeated keys").when(F.col("own") != F.col("named"), "locale differs from the name").when(F.coalesce("own", "named").isNull(), "no locale")
-    judged = read.withColumn("reason", bad)
-    good = judged.where("reason is null").select(F.coalesce("own", "named").alias("locale"), (F.col("path") == template).alias("is_template"), F.explode("m").alias("key", "message"))
-    return good.where(~F.col("key").startswith("@")).select("key", "locale", "is_template", "message"), judged.where("reason is not null").select("path", "reason")
+    rows = documents.select("path", "text", repeated_json_keys(F.col("text")).alias("again"), F.expr("try_parse_json(text)").alias("whole"), stem.alias("stem"))
+    kind = _kind(F.col("whole"))
+    rows = rows.withColumn("declared_text", F.when(kind == "OBJECT", F.expr("try_variant_get(whole, '$.@@locale', 'string')")))
+    fine, reason = document_locale(F.col("stem"), locale_syntax(F.trim("declared_text")))
+    bad = F.when(F.size("again") > 0, "repeated keys").when(F.col("whole").isNull(), "malformed JSON").when(kind != "OBJECT", "not an object").otherwise(reason)
+    judged = cut(rows.withColumns({"locale": fine, "reason": bad}))
+    good = judged.where("reason is null").select("path", "locale", (F.col("path") == template).alias("is_template"), F.explode(F.from_json("text", "map<string,variant>")).alias("key", "value"))
+    good = good.withColumn("kind", _kind(F.col("value")))
+    told = good.where(~F.col("key").startswith("@"))
+    said = told.where("kind = 'STRING'").select("path", "key", "locale", "is_template", F.expr("variant_get(value, '$', 'string')").alias("message"))
+    wrong = told.where("kind <> 'STRING'").select("path", "key", F.lit("message must have a string value").alias("reason"))
+    about = good.where(F.col("key").startswith("@") & ~F.col("key").startswith("@@")).withColumn("key", F.substring("key", 2, 1 << 30))
+    known = said.select("path", F.col("key").alias("of"), F.lit(True).alias("has"))
+    about = about.join(known, (about["path"] == known["path"]) & (F.col("key") == F.col("of")), "left").select(about["path"], "key", _metadata_problem().alias("reason")).where("reason is not null")
+    whole = judged.where("reason is not null").select("path", F.lit(None).cast("string").alias("key"), "reason")
+    return said.select("key", "locale", "is_template", "message"), whole.unionByName(wrong).unionByName(about)
+
+
+def _kind(value: Column) -> Column:
+    """The kind of a JSON value: OBJECT, ARRAY, STRING, BOOLEAN, VOID or a number's."""
+    return F.regexp_extract(F.call_function("schema_of_variant", value), "^[A-Z]+", 0)
+
+
+def _metadata_problem() -> Column:
+    """What is wrong with the description ``value`` of the message ``key``, or null."""
+    at = lambda c, k: F.expr(f"try_variant_get({c}, '$.{k}', 'variant')")
+    description, names = at("value", "description"), at("value", "placeholders")
+    held = F.map_values(F.coalesce(F.expr("try_cast(try_variant_get(value, '$.placeholders', 'map<string,variant>') AS map<string,variant>)"), F.create_map().cast("map<string,variant>")))
+
+    def text(v):
+        return F.when(_kind(v) == "STRING", F.trim(F.call_function("try_variant_get", v, F.lit("$"), F.lit("string"))))
+
+    def has(v, k):
+        return F.call_function("try_variant_get", v, F.lit(f"$.{k}"), F.lit("variant"))
+
+    def broken(v):
+        out = F.lit(False)
+        for k in ("example", "type", "format"):
+            out = out | has(v, k).isNotNull() & (F.coalesce(text(has(v, k)), F.lit("")) == "")
+        custom, more = has(v, "isCustomDateFormat"), has(v, "optionalParameters")
+        out = out | custom.isNotNull() & (_kind(custom) != "BOOLEAN") & ~F.coalesce(text(custom).isin("true", "false"), F.lit(False))
+        nulls = F.regexp_replace(F.to_json(more), r'"(?:[^"\\]|\\.)*"', '""').rlike(r"[:\[,]null\b")
+        return out | more.isNotNull() & ((_kind(more) != "OBJECT") | nulls)
+
+    shaped = names.isNull() | (_kind(names) == "OBJECT") & ~F.exists(held, lambda v: _kind(v) != "OBJECT")
+    return (
+        F.when((F.col("key") == "") | (F.col("kind") != "OBJECT"), "metadata must be a JSON object")
+        .when(description.isNotNull() & ~_kind(description).isin("STRING", "VOID"), "metadata description must be a string")
+        .when(~shaped, "metadata placeholders must map names to objects")
+        .when(F.exists(held, broken), "an attribute of a placeholder is not valid")
+        .when(F.col("has").isNull(), "metadata has no matching message")
+    )
 
 
 def packages(documents: DataFrame) -> DataFrame:
@@ -183,25 +228,73 @@ def source_path_problem(path: Column) -> Column:
     return out
 
 
+#: A scalar in quotes, whole; in double quotes a backslash keeps the next character.
+_QUOTED = r"\"(?:[^\"\\]|\\.)*\"|'(?:[^']|'')*'"
+
+
+def _uncommented(line: str) -> str:
+    """A line without its comment: a # at its start or after white space, outside quotes."""
+    at = 0
+    while at < len(line):
+        opens = line[at] in "\"'" and (at == 0 or line[at - 1] in " \t[,:")
+        m = re.compile(_QUOTED).match(line, at) if opens else None
+        if opens and not m:
+            raise ValueError(f"a quote that does not end: {line!r}")
+        if line[at] == "#" and (at == 0 or line[at - 1] in " \t"):
+            return line[:at].rstrip()
+        at = m.end() if m else at + 1
+    return line.rstrip()
+
+
+def _flow_items(text: str) -> list[str]:
+    """The items between the brackets of a list in one line."""
+    items, at = [], 0
+    while at < len(text):
+        m = re.compile(rf"\s*((?:{_QUOTED})|[^,\[\]{{}}\"']*)\s*(,|$)").match(text, at)
+        if not m or m.end() == at and at < len(text):
+            raise ValueError(f"not a flat list: {text!r}")
+        if m[1].strip() or m[2]:
+            items.append(m[1].strip())
+        at = m.end()
+        if not m[2]:
+            break
+    return items
+
+
+def _scalar(x: str):
+    if x[:1] in "\"'":
+        if not re.fullmatch(_QUOTED, x):
+            raise ValueError(f"text beside a quoted scalar: {x!r}")
+        return x[1:-1].replace("''", "'") if x[0] == "'" else json.loads(x)
+    if x.startswith("["):
+        if not x.endswith("]"):
+            raise ValueError(f"a list that does not end in its line: {x!r}")
+        return [_scalar(y) for y in _flow_items(x[1:-1])]
+    if x == "{}":
+        return {}
+    if x[:1] in "&*!|>{}]%@`":
+        raise ValueError(f"anchors, tags, block scalars and mappings in one line are not read: {x!r}")
+    if re.search(r":(\s|$)", x):
+        raise ValueError(f"a mapping inside a scalar: {x!r}")
+    if re.fullmatch(r"[-+]?\d+", x):
+        return int(x)
+    if re.fullmatch(r"[-+]?(\d+\.\d*|\.\d+)([eE][-+]?\d+)?", x):
+        return float(x)
+    # Words of the core schema.
+    words = {"true": True, "false": False, "null": None, "~": None, "": None}
+    return words.get(x.lower() if x.lower() in words and x in (x.lower(), x.upper(), x.capitalize()) else x, x)
+
+
 def read_yaml(text: str):
-    """Block mappings, lists and plain or quoted scalars, by indentation: all that a configuration file needs. Anything else is an error."""
-    lines = []
+    """Block mappings, lists, flat lists in one line and plain or quoted scalars, by indentation: all that a configuration file needs. Anything else is an error, never another value."""
+    lines, scalar = [], _scalar
     for raw in text.splitlines():
-        line = re.sub(r"(^|\s)#.*$", "", raw).rstrip()
+        line = _uncommented(raw)
+        if "\t" in line[: len(line) - len(line.lstrip())]:
+            raise ValueError(f"a tab as indentation: {raw!r}")
         if line.strip() and line.strip() != "---":
             lines.append((len(line) - len(line.lstrip()), line.strip()))
 
-    def scalar(x):
-        if x[:1] in "\"'" and x[-1:] == x[:1] and len(x) > 1:
-            return x[1:-1]
-        if x.startswith("[") and x.endswith("]"):
-            return [scalar(y.strip()) for y in x[1:-1].split(",") if y.strip()]
-        if x == "{}":
-            return {}
-        if re.fullmatch(r"-?\d+", x):
-            return int(x)
-        return {"true": True, "false": False, "null": None, "~": None, "": None}.get(x, x)
-
     def block(at, indent):
         out = None
         while at < len(lines) and lines[at][0] == indent:
@@ -211,7 +304,7 @@ def read_yaml(text: str):
                 rest = item[1:].strip()
                 if not isinstance(out, list):
                     raise ValueError(f"a list item among keys: {item!r}")
-                if re.match(r"[^\s\"'\[]+:(\s|$)", rest):
+                if re.match(rf"(?:(?:{_QUOTED})|[^\s\"'\[]+):(\s|$)", rest):
                     inner = indent + len(item) - len(rest)
                     lines[at] = (inner, rest)
                     value, at = block(at, inner)
@@ -221,7 +314,7 @@ def read_yaml(text: str):
                     value, at = deeper(at + 1, indent)
                 out.append(value)
                 continue
-            m = re.match(r"([^\s:][^:]*):(?:\s+(.*))?$", item)
+            m = re.match(rf"((?:{_QUOTED})|[^\s:\"'&*!|>\[\]{{}}%@`#-][^:]*):(?:\s+(.*))?$", item)
             out = {} if out is None else out
             if not m or not isinstance(out, dict):
                 raise ValueError(f"neither a key nor a list item: {item!r}")
