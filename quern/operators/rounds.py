@@ -25,7 +25,7 @@ def attempts(units: DataFrame, places: DataFrame, rejected: DataFrame) -> DataFr
     ways = units.select(F.col("unit_id").alias("src"), F.explode("needs").alias("dst"))
     start = units.where(F.col("unit_id") == first.unit_id).select(F.lit("").alias("context"), F.col("unit_id").alias("id"))
     held = C.closure(start, ways).select(F.col("id").alias("unit_id"), F.lit(True).alias("held"))
-    earlier = at < F.struct(F.lit(first.at.lead), F.lit(first.at.step))
+    earlier = at < F.struct(F.lit(first.at.lead).alias("lead"), F.lit(first.at.step).cast("bigint").alias("step"))
     outcome = F.when(F.col("unit_id") == first.unit_id, "rejectedRecovered").when(F.col("held"), "skippedDependency").when(earlier, "committed").otherwise("notAttempted")
     return units.select("unit_id").join(places, "unit_id").join(held, "unit_id", "left").select("unit_id", outcome.alias("outcome"))
 

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quern import adapter_queries, catalogue, finding_queries, model_queries, planning_queries, source_queries  # noqa: F401
+from quern import adapter_queries, catalogue, expression_queries, finding_queries, model_queries, planning_queries, source_queries  # noqa: F401
 from quern.functions import conditions as cond
 from quern.operators import closure as C
 from quern.operators import facts, findings, resolve
