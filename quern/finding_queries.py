@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.catalogue import QUERIES, _read, query
+from quern.catalogue import _FOUND, QUERIES, _findings, _read, query
 from quern.operators import assessment, facts, runs
 from quern.operators.findings import allowed
 from quern.plans.materialise import cut
+from quern.plans.projection import Graph
 
 __all__ = ["QUERIES"]
 
@@ -214,3 +215,40 @@ def metadata_forms(spark, sf_dir):
     text = F.when(F.col("event_id") % 3 == 0, "{}").when(F.col("event_id") % 2 == 0, '{"a": ""}').otherwise('{"a": null}')
     rows = facts.with_metadata_form(_read(spark, sf_dir, "events").select("event_id", text.alias("text")), "text")
     return rows.select("event_id", F.when(F.col("form") != "", F.regexp_replace("form", r"^\d+:", "")).alias("part"), "form")
+
+
+_LINES = f"""{_FOUND}, b AS (SELECT DISTINCT 'blocker-' || substr(sha256(producer || chr(0) || 'unresolved' || chr(0) || chr(0) || source || chr(0) || space || chr(0)), 1, 16) AS blocker_id, producer, source, space FROM blockers),
+    br AS (SELECT blocker_id, row_number() OVER (ORDER BY blocker_id) AS n, '"' || blocker_id || '":{{"producer":"' || producer || '","sourceNodeId":"' || source || '","affectedNamespace":"' || space || '"}}' AS text FROM b),
+    fr AS (SELECT row_number() OVER (ORDER BY list_position(['protected', 'review', 'high', 'safe'], tier), id) AS n, '{{"id":"' || id || '","kind":"' || kind || '","confidence":"' || upper(tier) || '","classificationReasons":[' || array_to_string(list_transform(reasons, lambda x: '"' || x || '"'), ',') || ']}}' AS text FROM found),
+    nb AS (SELECT count(*) AS b FROM br), nf AS (SELECT count(*) AS f FROM fr),
+    document AS (SELECT 0 AS place, '{{' AS line UNION ALL SELECT 1, '"version":3,' UNION ALL SELECT 2, '"statistics":{{"total":' || f || '}},' FROM nf
+        UNION ALL SELECT 3, '"blockers":{{' UNION ALL SELECT 3 + n, text || CASE WHEN n < b THEN ',' ELSE '' END FROM br, nb UNION ALL SELECT 4 + b, '}},' FROM nb
+        UNION ALL SELECT 5 + b, '"findings":[' FROM nb UNION ALL SELECT 5 + b + n, text || CASE WHEN n < f THEN ',' ELSE '' END FROM fr, nb, nf UNION ALL SELECT 6 + b + f, ']' FROM nb, nf UNION ALL SELECT 7 + b + f, '}}' FROM nb, nf)"""
+
+
+def _document(spark, sf_dir):
+    from quern import documents
+
+    found = cut(_findings(spark, sf_dir).select("id", "kind", "tier", "reasons"))
+    rank = F.array_position(F.array(*map(F.lit, ("protected", "review", "high", "safe"))), F.col("tier"))
+    rows = found.select(rank.alias("rank"), "id", F.to_json(F.struct("id", "kind", F.upper("tier").alias("confidence"), F.col("reasons").alias("classificationReasons"))).alias("text"))
+    blockers = Graph(spark, sf_dir).blockers().select("producer", "reason", "location", F.col("source_node_id"), "affected_namespace", "affected_node_ids")
+    value = F.to_json(F.struct("producer", F.col("source_node_id").alias("sourceNodeId"), F.col("affected_namespace").alias("affectedNamespace")))
+    held = runs.blocker_registry(blockers).withColumn("value", value).select("blocker_id", documents.map_entry("blocker_id").alias("text"))
+    entries = [("version", "3"), ("statistics", f'{{"total":{found.count()}}}'), ("blockers", documents.Section(held, ["blocker_id"], "{}")), ("findings", documents.Section(rows, ["rank", "id"]))]
+    return documents.document(spark, entries)
+
+
+@query(f"{_LINES} SELECT * FROM document")
+def report_document(spark, sf_dir):
+    """The report as one document, line by line: head, registry of blockers, findings in order."""
+    return _document(spark, sf_dir)
+
+
+@query(f"""{_LINES} SELECT place + 3 AS place, replace(line, '<', chr(92) || 'u003c') AS line FROM document UNION ALL SELECT 0, '<!doctype html>' UNION ALL SELECT 1, '<title>Findings</title>'
+    UNION ALL SELECT 2, '<script type="application/json" id="report">' UNION ALL SELECT max(place) + 4, '</script>' FROM document""")
+def report_page(spark, sf_dir):
+    """The report as a page that holds the document."""
+    from quern import documents
+
+    return documents.page(cut(_document(spark, sf_dir)), "Findings")
