@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.catalogue import QUERIES, _read, query
-from quern.sources import project
+from quern.sources import links, project
 
 __all__ = ["QUERIES"]
 
@@ -119,3 +119,41 @@ def message_documents(spark, sf_dir):
     documents = files.select("path", F.concat(F.lit("{"), F.when(F.col("k") == 3, '"@@locale":"it",').otherwise(""), "body", F.when(F.col("k") == 4, ",").otherwise("}")).alias("text"))
     said, issues = project.messages(documents, "l/0/app_en.arb")
     return issues.select(F.lit("issue").alias("what"), "path", "key", F.col("reason").alias("said")).unionByName(said.select(F.lit("message").alias("what"), F.col("locale").alias("path"), "key", F.col("message").alias("said")))
+
+
+#: Links of the tree below: into the selected package p2 and out of it, through other links, in rings, over the top.
+_LINKS = [("/w/p3/Brand#1", "../p2/Brand#1"), ("/w/p2/Brand#2", "/w/p4/Brand#2"), ("/w/p5/Brand#3", "Brand#4"), ("/w/p5/Brand#4", "./Brand#5/"), ("/w/p6/Brand#1", "Brand#2"), ("/w/p6/Brand#2", "Brand#1"),
+    ("/w/p7/Brand#3", "/w/p3/Brand#1"), ("/w/p8/Brand#4", "/out/../../w/p9/Brand#4"), ("/w/p10", "p11"), ("/w/p2/Brand#5", "Brand#4"), ("/w/p12/Brand#2", "/elsewhere")]
+_TREE = f"""RECURSIVE l(link, target) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in (("/w/p3/Brand#1", "/w/p2/Brand#1"), ("/w/p2/Brand#2", "/w/p4/Brand#2"), ("/w/p5/Brand#3", "/w/p5/Brand#4"), ("/w/p5/Brand#4", "/w/p5/Brand#5"), ("/w/p6/Brand#1", "/w/p6/Brand#2"), ("/w/p6/Brand#2", "/w/p6/Brand#1"), ("/w/p7/Brand#3", "/w/p3/Brand#1"), ("/w/p8/Brand#4", "/w/p9/Brand#4"), ("/w/p10", "/w/p11"), ("/w/p2/Brand#5", "/w/p2/Brand#4"), ("/w/p12/Brand#2", "/elsewhere")))}),
+    f AS (SELECT DISTINCT '/w/p' || (p_partkey % 20) || '/' || p_brand || '/' || p_size || '.dart' AS path FROM part),
+    walk AS (SELECT path, path AS spot, 0 AS n FROM f UNION ALL
+        SELECT path, arg_min(target || substr(spot, length(link) + 1), length(link)), n + 1 FROM walk JOIN l ON spot = link OR starts_with(spot, link || '/') WHERE n < 40 GROUP BY path, spot, n),
+    c AS (SELECT path, CASE WHEN max(n) < 40 THEN arg_max(spot, n) END AS spot FROM walk GROUP BY path)"""
+
+
+def _tree(spark, sf_dir):
+    part = _read(spark, sf_dir, "part")
+    k = (F.col("p_partkey") % 20).cast("string")
+    paths = part.select(F.concat(F.lit("/w/p"), k, F.lit("/"), "p_brand", F.lit("/"), F.col("p_size").cast("string"), F.lit(".dart")).alias("path")).distinct()
+    return part, paths, spark.createDataFrame(_LINKS, "path string, target string")
+
+
+@query(f"WITH {_TREE} SELECT path, CASE WHEN NOT starts_with(path, '/w/p2/') THEN 'outside-project' WHEN spot IS NULL THEN 'unreadable-path' WHEN NOT starts_with(spot, '/w/p2/') THEN 'symlink-escape' END AS reason FROM c")
+def path_boundary(spark, sf_dir):
+    """Which paths a scan of one package would not read."""
+    _, paths, held = _tree(spark, sf_dir)
+    return links.boundary(paths, held, "/w/p2")
+
+
+@query(f"""WITH {_TREE}, x AS (SELECT path, spot, split_part(path, '/', 3) AS own, split_part(spot, '/', 3) AS real, split_part(spot, '/', 4) AS brand FROM c),
+    j AS (SELECT *, CAST(substr(real, 2) AS INT) AS r FROM x WHERE spot LIKE '/w/%'),
+    y AS (SELECT x.path, CASE WHEN x.spot IS NULL THEN 'source could not be resolved' WHEN x.own = 'p2' AND x.real <> 'p2' THEN 'source leaves the selected package through a link' WHEN x.own <> 'p2' AND x.real = 'p2' THEN 'source enters the selected package through a link'
+        WHEN x.spot NOT LIKE '/w/%' OR (r >= 16 AND r <> 17) THEN 'source is outside every package' WHEN r IN (11, 13) THEN 'several packages claim one root' WHEN r = 14 THEN 'no package description was found'
+        WHEN r = 15 THEN 'the configuration differs from the nearest description' WHEN r = 17 THEN 'the selected name stands for another root' WHEN j.brand = 'Brand#3' AND r IN (2, 4) THEN CASE WHEN r = 4 THEN 'the configuration does not claim the owner' END END AS reason, r, j.brand FROM x LEFT JOIN j ON j.path = x.path)
+    SELECT path, CASE WHEN reason IS NOT NULL THEN 'unknown' WHEN r = 2 AND brand <> 'Brand#3' THEN 'selected' ELSE 'external' END AS ownership, CASE WHEN reason IS NULL THEN CASE WHEN r = 2 AND brand = 'Brand#3' THEN 'inner' ELSE 'n' || r END END AS package, reason FROM y""")
+def source_owners(spark, sf_dir):
+    """Whose each source of the tree is: packages are listed up to p15 and p17, p13 twice and p11 also through a link, p14 has no description, p15 and p17 other names, p2 and p4 a package inside."""
+    _, paths, held = _tree(spark, sf_dir)
+    listed = [(f"n{k}", f"/w/p{k}") for k in range(16)] + [("again", "/w/p13"), ("n2", "/w/p17")]
+    described = [(f"/w/p{k}", {15: "other", 17: "n2"}.get(k, f"n{k}")) for k in range(18) if k != 14] + [("/w/p2/Brand#3", "inner"), ("/w/p4/Brand#3", "inner")]
+    return links.owners(paths, held, spark.createDataFrame(listed, "name string, root string"), spark.createDataFrame(described, "root string, name string"), "n2", "/w/p2")
