@@ -57,6 +57,28 @@ def allowed(mode: str) -> Column:
     return gates & level
 
 
+def selection(rows: DataFrame, requested: DataFrame, mode: str) -> DataFrame:
+    """id, state of requested(id): selected, not_actionable in the mode, or unknown. Ids are exact and case-sensitive.
+
+    Null, empty and repeated ids are errors. A run goes on only if all of them are selected.
+    """
+    bad = requested.groupBy("id").agg(F.count("*").alias("n")).where("id is null OR id = '' OR n > 1")
+    if not bad.isEmpty():
+        raise ValueError("requested ids must be different and not empty")
+    known = rows.groupBy("id").agg(F.bool_or(allowed(mode)).alias("may"))
+    state = F.when(F.col("may").isNull(), "unknown").when(F.col("may"), "selected").otherwise("not_actionable")
+    return requested.join(known, "id", "left").select("id", state.alias("state"))
+
+
+def exactly(rows: DataFrame, requested: DataFrame, mode: str) -> DataFrame:
+    """The requested findings, all of which must be known and actionable in the mode; nothing else is taken."""
+    judged = selection(rows, requested, mode)
+    counts = {r.state: r.n for r in judged.groupBy("state").agg(F.count("*").alias("n")).collect()}
+    if set(counts) - {"selected"}:
+        raise ValueError(f"not all requested findings can be taken: {counts}")
+    return rows.join(requested.select("id"), "id", "left_semi")
+
+
 def statistics(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """dimension, value, n: by tier (zero-filled), kind, reason and the columns of ``extra``, in one pass over the findings."""
     pairs = [F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in ("tier", "kind", *extra)]

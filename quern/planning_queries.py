@@ -378,6 +378,17 @@ def ordered_findings(spark, sf_dir):
     return ordered(_findings(spark, sf_dir)).select("id", "tier", "tier_rank")
 
 
+@query(f"""{_FOUND}, asked AS (SELECT 'part:' || p_partkey AS id FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 'orders:' || o_orderkey FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT 'Region:' || r_regionkey FROM region)
+    SELECT asked.id, CASE WHEN tier IS NULL THEN 'unknown' WHEN tier IN ('safe', 'high') THEN 'selected' ELSE 'not_actionable' END AS state FROM asked LEFT JOIN found USING (id)""")
+def exact_selection(spark, sf_dir):
+    """Parts, orders and ids in another case are asked for: some are reachable, so no findings, some are not to be touched."""
+    from quern.operators.findings import selection
+
+    g = Graph(spark, sf_dir)
+    asked = g.table("part").where("p_partkey % 3 = 0").select(g.ids("part", "p_partkey")).unionByName(g.table("orders").where("o_orderkey % 5 = 0").select(g.ids("orders", "o_orderkey"))).unionByName(g.table("region").select(g.ids("Region", "r_regionkey")))
+    return selection(_findings(spark, sf_dir), asked, "packageInternal")
+
+
 @query("""WITH RECURSIVE u AS (SELECT 's:' || s_suppkey AS id FROM supplier),
     e AS (SELECT DISTINCT CASE WHEN s_suppkey % 2 = 0 THEN 's:' || s_suppkey ELSE 's:' || (s_suppkey + 3) END AS src, CASE WHEN s_suppkey % 2 = 0 THEN 's:' || (s_suppkey + 3) ELSE 's:' || s_suppkey END AS dst FROM supplier
         WHERE s_suppkey % 11 <> 0 AND s_suppkey + 3 IN (SELECT s_suppkey FROM supplier)),
