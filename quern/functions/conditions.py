@@ -46,13 +46,6 @@ def applies_to_auxiliary(c: Column, aux_id: Column) -> Column:
     return F.when(unconditional(c), "applies").when(listed, "applies").when(some, "does_not_apply").otherwise("unknown")
 
 
-def could_address(id_: Column, namespace: Column, ids: Column) -> Column:
-    """Whether a blocker's scope covers a node id."""
-    listed = F.coalesce(F.array_contains(ids, id_), F.lit(False))
-    inside = id_.startswith(namespace) | (~namespace.contains(":") & id_.contains(F.concat(F.lit("/"), namespace)))
-    return listed | F.when(namespace.isNull(), _empty(ids)).otherwise(F.coalesce(inside, F.lit(False)))
-
-
 def scheme(id_: Column) -> Column:
     return F.substring_index(id_, ":", 1)
 

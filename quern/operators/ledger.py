@@ -35,10 +35,6 @@ def shared_members(rows: DataFrame, key: str, member: str) -> DataFrame:
     return rows.groupBy(member).agg(F.count_distinct(key).alias("claims")).where("claims > 1")
 
 
-def outside_selection(rows: DataFrame, selection: DataFrame, member: str) -> DataFrame:
-    return rows.select(member).distinct().join(selection.select(member), member, "left_anti")
-
-
 def blocking_runs(events: DataFrame, key: str, order: list[str], state: str = "state") -> DataFrame:
     """Runs whose last state is neither completed nor rolled back."""
     return events.groupBy(key).agg(F.max_by(state, F.struct(*order)).alias("state")).where(~F.col("state").isin("completed", "committed", "rolledBackVerified"))
@@ -57,9 +53,3 @@ def count_mismatches(findings: DataFrame, reported: DataFrame, dimensions: list[
     both = reported.withColumnRenamed("n", "reported").join(counted, ["dimension", "value"], "full_outer")
     filled = both.select("dimension", "value", F.coalesce("reported", F.lit(0)).alias("reported"), F.coalesce("counted", F.lit(0)).alias("counted"))
     return filled.where("reported <> counted")
-
-
-def oracle_violations(cases: DataFrame) -> DataFrame:
-    """Cases(id, contexts, reachable, retained) that break reachable within retained within contexts."""
-    inside = (F.size(F.array_except("reachable", "retained")) == 0) & (F.size(F.array_except("retained", "contexts")) == 0)
-    return cases.where(~inside)

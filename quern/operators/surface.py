@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.closure import closure
 from quern.plans.materialise import bounded, cut
 
 
@@ -27,12 +26,6 @@ def exported_names(own: DataFrame, exports: DataFrame) -> DataFrame:
     return seen
 
 
-def reached_units(seeds: DataFrame, directives: DataFrame, units: DataFrame) -> DataFrame:
-    """context, path of all units of the libraries that seeds(context, id) reach over directives(context, src, dst)."""
-    libraries = closure(seeds, directives, per_context=True)
-    return libraries.join(units.select(F.col("library").alias("id"), "path"), "id").select("context", "path").distinct()
-
-
 def selected_alternatives(alternatives: DataFrame, key: list[str]) -> DataFrame:
     """The alternatives(key, position, outcome true/false/unknown, ...) that a directive may take, and whether that is exact.
 
