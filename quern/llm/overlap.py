@@ -25,8 +25,8 @@ grow. Of what is open then,
   their n / 5 + 1 rarest shingles, whatever the order, so those that at most GROUP of
   these texts have name every pair exactly: a template that thousands share costs
   nothing. Only texts of which frequent shingles are four fifths or more may meet in
-  frequent ones alone. Those go on as in the beginning, ROUNDS times, and
-  what is left of their keys is compared across groups by signature.
+  frequent ones alone. Those go on as in the beginning, at most ROUNDS times, until
+  comparing what is left of their keys across groups, by signature, costs few pairs a text.
 
 So a text meets at most GROUP others under a key, but for the last kind, of which texts
 that share their frequent shingles are near copies of each other, and one group soon.
@@ -50,6 +50,8 @@ WIDTH = 5
 BANDS, ROWS = 32, 5
 #: Rounds of one comparison a text for texts of frequent shingles, and texts of a key or shingle that meet each other at most.
 ROUNDS, GROUP = 6, 64
+#: Signatures that a member of a key is compared with at most, on average, before another round.
+PAIRS = 1_000
 #: Fewer shingles than this hold more than 1/MANY of all; they are broadcast.
 MANY = 20_000
 #: Places of two signatures that agree at least, and words of a signature.
@@ -224,34 +226,37 @@ def _star(named: DataFrame, tried: DataFrame | None, keyed: DataFrame, k: int) -
 
 
 def _by_rare(hot: DataFrame, texts: DataFrame, group: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs h, y of hot texts that share one of their rarest shingles, and those texts (h) that may be alike through frequent ones only."""
-    sets = cut(_sets(texts.join(bounded(hot, BROADCAST_IDS), "h", "left_semi")))
-    entries = sets.select("h", F.size("set").alias("n"), F.explode("set").alias("s"))
+    """Pairs h, y of hot texts (h, root) of different groups that share one of their rarest shingles, and those texts (h) that may be alike through frequent ones only."""
+    sets = cut(_sets(texts.join(bounded(hot.select("h"), BROADCAST_IDS), "h", "left_semi")))
     total = sets.agg(F.sum(F.size("set"))).first()[0] or 0
-    many = cut(entries.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"))
-    # What so many hold is told row by row, the rest by key.
+    many = cut(sets.select(F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("df")).where("df > 1"))
+    # What so many hold goes along as one row of fewer than MANY shingles and leaves the sets before they are dealt out.
     bar = max(group, total // MANY)
-    top = F.broadcast(many.where(F.col("df") > bar).select("s"))
-    met = entries.join(top, "s", "left_anti").join(many.where(F.col("df") <= bar), "s")
+    top = many.where(F.col("df") > bar).agg(F.collect_list("s").alias("top"))
+    rest = sets.crossJoin(F.broadcast(top)).select("h", F.size("set").alias("n"), F.size(F.array_intersect("set", "top")).alias("tops"), F.array_except("set", "top").alias("rest"))
+    rest = cut(rest)
+    met = rest.select("h", "n", F.explode("rest").alias("s")).join(many.where(F.col("df") <= bar), "s")
     rare = F.collect_list(F.when(F.col("df") <= group, F.struct("df", "s")))
     of = met.groupBy("h").agg(F.first("n").alias("n"), F.array_sort(rare).alias("rare"), F.sum((F.col("df") > group).cast("int")).alias("f"))
-    of = cut(of.select("h", "n", F.slice("rare", F.lit(1), F.floor(F.col("n") / 5).cast("int") + 1).alias("rare"), "f"))
-    tops = entries.join(top, "s").groupBy("h").agg(F.first("n").alias("n"), F.count("*").alias("f"))
-    held = of.select("h", "n", "f").unionByName(tops).groupBy("h").agg(F.max("n").alias("n"), F.sum("f").alias("f"))
+    of = cut(of.select("h", "n", F.slice("rare", F.lit(1), F.floor(F.col("n") / 5).cast("int") + 1).alias("rare"), "f").join(bounded(hot, BROADCAST_IDS), "h"))
+    held = rest.select("h", "n", F.col("tops").alias("f")).unionByName(of.select("h", "n", "f")).groupBy("h").agg(F.max("n").alias("n"), F.sum("f").alias("f"))
     full = held.where("5 * (n - f) <= n + 5").select("h")
-    keys = cut(of.select("h", "n", F.posexplode("rare").alias("at", "x")).select("h", "n", "at", F.col("x.s").alias("s")))
+    keys = cut(of.select("h", "n", "root", F.posexplode("rare").alias("at", "x")).select("h", "n", "root", "at", F.col("x.s").alias("s")))
+    # Texts of one group meet no more: most shingles are shared inside a group only.
+    parted = keys.groupBy("s").agg((F.min("root") < F.max("root")).alias("open")).where("open").select("s")
+    keys = cut(keys.join(parted, "s"))
     # The smaller one of a pair has a shared shingle among its n / 9 + 1 rarest ones.
-    less = keys.where("9 * at <= n").select(F.col("h").alias("y"), F.col("n").alias("yn"), "s")
-    pairs = keys.join(less, "s").where("h <> y AND yn <= n AND 5 * yn >= 4 * n").select(F.greatest("h", "y").alias("h"), F.least("h", "y").alias("y")).distinct()
-    return pairs, cut(full)
+    less = keys.where("9 * at <= n").select(F.col("h").alias("y"), F.col("n").alias("yn"), F.col("root").alias("other"), "s")
+    pairs = keys.join(less, (keys["s"] == less["s"]) & (F.col("root") != F.col("other")) & (F.col("yn") <= F.col("n")) & (5 * F.col("yn") >= 4 * F.col("n")))
+    return pairs.select(F.greatest("h", "y").alias("h"), F.least("h", "y").alias("y")).distinct(), cut(full)
 
 
-def _parted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Those of the pairs h, y that are of different groups."""
-    side = bounded(roots)
-    of = lambda end: side.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
-    met = pairs.join(of("h"), "h", "left").join(of("y"), "y", "left")
-    return met.where(F.coalesce("h_root", "h") != F.coalesce("y_root", "y")).select("h", "y")
+def _affordable(named: DataFrame) -> bool:
+    """Whether comparing all members of open keys across groups, by signature inside the join, costs at most PAIRS pairs a member."""
+    sizes = named.groupBy("key", "root").agg(F.count("*").alias("c"))
+    keys = sizes.groupBy("key").agg(F.sum("c").alias("m"), F.max("c").alias("most"))
+    r = keys.agg(F.sum("m").alias("rows"), F.sum((F.col("m") - F.col("most")) * F.col("m")).alias("pairs")).first()
+    return r.pairs <= PAIRS * r.rows
 
 
 def near_copies(docs: DataFrame, rounds: int = ROUNDS, group: int = GROUP) -> DataFrame:
@@ -277,21 +282,21 @@ def near_copies(docs: DataFrame, rounds: int = ROUNDS, group: int = GROUP) -> Da
     if tried is None or (named := _open(members, roots)) is None:
         return roots.withColumnRenamed("node", "h")
     words = [f"s{k}" for k in range(WORDS)]
-    hot = cut(named.where(F.col("m") > group).select(F.col("h").alias("of")).distinct())
-    few = named.where(F.col("m") <= group).join(bounded(hot, BROADCAST_IDS), F.col("h") == F.col("of"), "left").withColumn("hot", F.col("of").isNotNull()).drop("m", "of")
+    hot = cut(named.where(F.col("m") > group).select(F.col("h").alias("of"), F.col("root").alias("of_root")).distinct())
+    few = named.where(F.col("m") <= group).join(bounded(hot.select("of"), BROADCAST_IDS), F.col("h") == F.col("of"), "left").withColumn("hot", F.col("of").isNotNull()).drop("m", "of")
     few = few.join(keyed.select("h", *words), "h")
     rest = _crossing(_fringe(few), few)
     full = None
     if not hot.isEmpty():
-        pairs, full = _by_rare(hot.withColumnRenamed("of", "h"), texts, group)
-        rest = rest.unionByName(_signed(_parted(pairs, roots), keyed))
+        pairs, full = _by_rare(hot.select(F.col("of").alias("h"), F.col("of_root").alias("root")), texts, group)
+        rest = rest.unionByName(_signed(pairs, keyed))
     tested = tried.select(F.greatest("h", "y").alias("h"), F.least("h", "y").alias("y"))
     linked(rest.join(tested, ["h", "y"], "left_anti"), signed=True)
     if full is None or full.isEmpty():
         return roots.withColumnRenamed("node", "h")
     members = cut(members.join(bounded(full, BROADCAST_IDS), "h", "left_semi"))
     for k in range(1, rounds + 1):
-        if (named := _open(members, roots)) is None:
+        if (named := _open(members, roots)) is None or _affordable(named):
             break
         best = _star(named, tried, keyed, k)
         if best.isEmpty():
