@@ -318,7 +318,7 @@ def _assets(spark, sf_dir):
     v = line.where("l_linenumber IN (2, 3) AND l_quantity > 40").select(key("l_partkey"), F.col("l_linenumber").alias("ratio"), (F.col("l_linenumber") * 10).alias("size_bytes")).distinct()
     v = v.unionByName(spark.createDataFrame([("img/none.png", 2, 1)], "key string, ratio int, size_bytes int"))
     owned = _read(spark, sf_dir, "supplier").select(F.col("s_name").alias("key"), F.concat(F.lit("p"), (F.col("s_suppkey") % 3).cast("string")).alias("package"))
-    uses = line.where("l_linenumber = 1").select(F.concat(F.lit("dart:"), F.col("l_suppkey").cast("string")).alias("caller"), F.concat(F.lit("img/"), (F.col("l_partkey") + F.when(F.col("l_tax") > 0.05, 10**6).otherwise(0)).cast("string"), F.lit(".png")).alias("key"), F.lit(True).alias("exact"))
+    uses = line.where("l_linenumber = 1").select(F.concat(F.lit("dart:"), F.col("l_suppkey").cast("string")).alias("caller"), F.concat(F.when(F.col("l_tax") > 0.05, "none/").otherwise("img/"), F.col("l_partkey").cast("string"), F.lit(".png")).alias("key"), F.lit(True).alias("exact"))
     return assembly.asset_graph(a, v, owned, uses, "quern")
 
 
