@@ -118,8 +118,11 @@ def normal_locale(text: Column) -> Column:
 
 def repeated_json_keys(text: Column) -> Column:
     """Keys that the outer object of a JSON text holds more than once."""
-    keys = F.json_object_keys(text)
-    return F.array_sort(F.array_distinct(F.filter(keys, lambda k: F.size(F.filter(keys, lambda x: x == k)) > 1)))
+    keys = F.array_sort(F.json_object_keys(text))
+    # Equal keys are neighbours once sorted, so no key is looked for among all others.
+    rest = F.greatest(F.size(keys) - 1, F.lit(0))
+    pairs = F.arrays_zip(F.slice(keys, 1, rest).alias("a"), F.slice(keys, 2, rest).alias("b"))
+    return F.array_distinct(F.transform(F.filter(pairs, lambda x: x["a"] == x["b"]), lambda x: x["a"]))
 
 
 def blocker_counts(blockers: DataFrame, active: DataFrame, nodes: DataFrame) -> DataFrame:

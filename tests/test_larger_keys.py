@@ -1,6 +1,11 @@
 """Queries over keys and groups that small tables don't have."""
 
+import time
+
+from pyspark.sql import functions as F
+
 from quern import adapter_queries
+from quern.operators.catalogues import repeated_json_keys
 
 
 def test_assets_of_large_keys(spark, tmp_path):
@@ -11,3 +16,12 @@ def test_assets_of_large_keys(spark, tmp_path):
         rows.write.parquet(str(tmp_path / f"{name}.parquet"))
     got = {tuple(r) for r in adapter_queries.asset_edges(spark, str(tmp_path)).collect()}
     assert got == {("dart:2", "asset:quern/img/5.png", "loadsAsset"), ("asset:quern/img/1000005.png", "asset:quern/img/2.0x/1000005.png", "bundlesVariant")}
+
+
+def test_keys_of_a_large_message_file(spark):
+    body = ",".join(f'"m{k}":"x"' for k in range(60_000))
+    rows = spark.createDataFrame([("{" + body + "}",), ("{" + body + ',"m7":1,"m9":2,"m7":3}',), ("[1]",), (None,)], "text string")
+    start = time.monotonic()
+    assert [r[0] or [] for r in rows.select(repeated_json_keys(F.col("text"))).collect()] == [[], ["m7", "m9"], [], []]
+    # Each key beside each other one took minutes.
+    assert time.monotonic() - start < 30
