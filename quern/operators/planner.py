@@ -14,6 +14,8 @@ from quern.plans.materialise import cut
 
 #: Nodes and edges up to which one task finds the components.
 LOCAL_EDGES = 25_000
+#: Rounds that settle nodes without edges in or out before whole ways are looked along.
+PATIENCE = 3
 
 
 def neutralised(edges: DataFrame, empty: DataFrame) -> DataFrame:
@@ -100,12 +102,38 @@ def _walked(ids: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.repartition(1).mapInArrow(run, "id string, component string")
 
 
+def _forced(edges: DataFrame) -> DataFrame:
+    """id, component of the nodes whose only way on ends in a ring of such nodes or where no way goes on, from distinct edges without loops.
+
+    Each node looks twice as far in every round, so a way of any length costs its logarithm. Once no fewer nodes are
+    looked at than in the round before, they are the rings and the ends.
+    """
+    ways = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.min("dst").alias("next"))
+    ids = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    one = F.col("n") == 1
+    step = ids.join(ways, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"), F.when(one, F.col("next")).otherwise(F.col("id")).alias("far"), F.col("id").alias("least"))
+    step, before = cut(step), None
+    while True:
+        again = step.select(F.col("id").alias("far"), F.col("far").alias("further"), F.col("least").alias("less"))
+        now = cut(step.join(again, "far").select("id", "n", F.col("further").alias("far"), F.least("least", "less").alias("least"), (one & (F.col("less") < F.col("least"))).alias("fell")))
+        held = now.join(now.select(F.col("far").alias("id")).distinct(), "id", "left_semi").agg(F.count("*").alias("size"), F.count_if("fell").alias("fell")).first()
+        step = now.drop("fell")
+        # On a ring the least seen is the smallest of all once it falls nowhere.
+        if held.size == before and not held.fell:
+            break
+        before = held.size
+    open_ = step.where("n > 1").select(F.col("id").alias("far"))
+    ring = step.where(one).join(step.select(F.col("far").alias("id")).distinct(), "id", "left_semi").select("id", F.col("least").alias("component"))
+    return cut(step.join(open_, "far", "left_anti").select("id").join(ring, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+
+
 def strong_components(nodes: DataFrame, edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """id, component: the smallest id that it reaches and is reached from, itself included.
 
     A graph of at most LOCAL_EDGES edges is walked in one task. In a larger one each round settles nodes without edges in or out, lets the smallest id that reaches
     a node run forward as its colour, and takes from every colour what reaches its origin
-    backward inside the colour.
+    backward inside the colour. Where the first does not end soon, nodes with one way on, or one way in,
+    are settled along the whole of it at once.
     """
     ids = cut(nodes.select("id").distinct())
     known = ids.withColumnRenamed
@@ -113,11 +141,16 @@ def strong_components(nodes: DataFrame, edges: DataFrame, local_edges: int = LOC
         return _walked(ids, edges)
     left = cut(edges.select("src", "dst").where("src <> dst").distinct().join(known("id", "src"), "src", "left_semi").join(known("id", "dst"), "dst", "left_semi").select("src", "dst"))
     done = ids.limit(0).select("id", F.col("id").alias("component"))
+    trims, without = 0, lambda rows, gone: cut(rows.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
     while not left.isEmpty():
         both = cut(left.select(F.col("src").alias("id")).intersect(left.select(F.col("dst").alias("id"))))
         trimmed = cut(left.join(both.withColumnRenamed("id", "src"), "src", "left_semi").join(both.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"))
         if trimmed.count() < left.count():
-            left = trimmed
+            left, trims = trimmed, trims + 1
+            if trims == PATIENCE:
+                for a, b in (("src", "dst"), ("dst", "src")):
+                    found = _forced(left.select(F.col(a).alias("src"), F.col(b).alias("dst")))
+                    done, left = cut(done.unionByName(found)), without(left, found.select("id"))
             continue
         colour = cut(both.select("id", F.col("id").alias("colour")))
         while True:
@@ -135,8 +168,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame, local_edges: int = LOC
         origins = colour.where("id = colour").select(F.col("colour").alias("context"), "id")
         found = closure(origins, back, per_context=True).select("id", F.col("context").alias("component"))
         done = cut(done.unionByName(found))
-        gone = found.select("id")
-        left = cut(left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
+        left = without(left, found.select("id"))
     single = ids.join(done, "id", "left_anti").select("id", F.col("id").alias("component"))
     return done.unionByName(single)
 

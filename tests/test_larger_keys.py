@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from quern import adapter_queries
+from quern.operators import planner
 from quern.operators.catalogues import repeated_json_keys
 
 
@@ -25,3 +26,28 @@ def test_keys_of_a_large_message_file(spark):
     assert [r[0] or [] for r in rows.select(repeated_json_keys(F.col("text"))).collect()] == [[], ["m7", "m9"], [], []]
     # Each key beside each other one took minutes.
     assert time.monotonic() - start < 30
+
+
+def test_components_behind_long_ways(spark):
+    """Ways of 300 nodes into a ring, into an end and into nodes with several ways, against two walks in one task."""
+    nodes, edges = [], []
+
+    def way(name, end):
+        names = [f"{name}{k}" for k in range(300)]
+        nodes.extend(names)
+        edges.extend(zip(names, [*names[1:], end]))
+
+    way("a", "r0"), way("b", "r70"), way("c", "end"), way("d", "x"), way("e", "e150")
+    ring = [f"r{k}" for k in range(100)]
+    nodes.extend([*ring, "end", "x", "y", "z", "s"])
+    edges.extend([*zip(ring, [*ring[1:], ring[0]]), ("x", "y"), ("x", "z"), ("y", "x"), ("z", "d290"), ("s", "s"), ("s", "d0"), ("x", "end")])
+    one, two = spark.createDataFrame([(n,) for n in nodes], "id string"), spark.createDataFrame(edges, "src string, dst string")
+    calls, old = [], planner.cut
+    planner.cut = lambda df: calls.append(1) or old(df)
+    try:
+        got = {tuple(r) for r in planner.strong_components(one, two, local_edges=0).collect()}
+    finally:
+        planner.cut = old
+    assert got == {tuple(r) for r in planner.strong_components(one, two).collect()}
+    # A round for each node of the way took some 600.
+    assert len(calls) < 100
