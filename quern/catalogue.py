@@ -66,7 +66,7 @@ _RETAINED = """,
     FROM nodes LEFT JOIN reached USING (id) WHERE kind = 'part' AND id NOT IN (SELECT id FROM proven) GROUP BY id""")
 def unproven_parts(spark, sf_dir):
     g = Graph(spark, sf_dir)
-    edges, parts = g.cached_edges(), g.nodes().where("kind = 'part'").select("id")
+    edges, parts = g.edges(repeats=True), g.nodes().where("kind = 'part'").select("id")
     roots = cut(g.roots())
     found = C.closures({"proven": (roots, F.col("exact")), "reached": (roots, None)}, edges)
     reached = found.where("run = 'reached'").groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("context")), ",").alias("retained_in"))
@@ -77,7 +77,7 @@ def unproven_parts(spark, sf_dir):
 @query(f"WITH RECURSIVE {_GRAPH} SELECT context, id FROM proven")
 def proven_closure(spark, sf_dir):
     g = Graph(spark, sf_dir)
-    return C.proven(g.roots(), g.edges())
+    return C.proven(g.roots(), g.edges(repeats=True))
 
 
 def _retained(g: Graph, edges: DataFrame) -> DataFrame:
@@ -87,18 +87,18 @@ def _retained(g: Graph, edges: DataFrame) -> DataFrame:
 @query(f"WITH RECURSIVE {_GRAPH}{_RETAINED} SELECT context, id FROM retained")
 def retained_closure(spark, sf_dir):
     g = Graph(spark, sf_dir)
-    return _retained(g, g.cached_edges())
+    return _retained(g, g.edges(repeats=True))
 
 
 @query(f"WITH RECURSIVE {_GRAPH} SELECT id, kind FROM nodes WHERE id NOT IN (SELECT id FROM proven)")
 def unreachable_across_all(spark, sf_dir):
     g = Graph(spark, sf_dir)
-    return C.unreachable(g.nodes(), C.proven(g.roots(), g.edges()))
+    return C.unreachable(g.nodes(), C.proven(g.roots(), g.edges(repeats=True)))
 
 
 def _findings(spark, sf_dir):
     g = Graph(spark, sf_dir)
-    edges = g.cached_edges()
+    edges = g.edges(repeats=True)
     blockers = cut(g.blockers())
     proven, kept = C.proven_and_retained(cut(g.roots()), edges, g.protected(), blockers, g.nodes(), g.contexts())
     active = blockers.join(kept.select(F.col("id").alias("source_node_id")).distinct(), "source_node_id", "left_semi")

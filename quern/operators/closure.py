@@ -28,8 +28,10 @@ HUB = 100_000
 SMALL_FRONT, HOPS = 100_000, 4
 #: Frontiers that are kept apart before they become one table.
 PIECES = 6
-#: Jobs of the loop before chains are contracted.
-PATIENCE = 4
+#: Edges beyond which a small frontier goes one step a job, broadcast to them: reading them costs more than a job.
+LONG_READ = 4_000_000
+#: Steps of the loop before chains are contracted.
+PATIENCE = 16
 
 
 def closure(seeds: DataFrame, edges: DataFrame, per_context: bool = False, local_edges: int = LOCAL_EDGES) -> DataFrame:
@@ -49,41 +51,46 @@ def closure(seeds: DataFrame, edges: DataFrame, per_context: bool = False, local
         # Too many contexts for a mask: a node of a context is a node of its own.
         key = lambda c: F.struct("context", F.col(c).alias("id"))
         one = F.lit(1).cast("bigint").alias("mask")
-        found = _spread(seeds.select(key("id").alias("key"), one), edges.select(key("src").alias("key"), key("dst").alias("dst"), one).distinct())
+        found = _spread(seeds.select(key("id").alias("key"), one), cut(edges.select(key("src").alias("key"), key("dst").alias("dst"), one).distinct()))
         return cut(found.select("key.context", "key.id"))
     names = [r[0] for r in names]
     of = F.coalesce(*[F.when(F.col("context").eqNullSafe(F.lit(c)), F.lit(1 << k)) for k, c in enumerate(names)]).cast("bigint") if names else F.lit(0).cast("bigint")
     ways = edges.select(F.col("src").alias("key"), "dst", of.alias("mask")).where("mask is not null").groupBy("key", "dst").agg(F.bit_or("mask").alias("mask"))
-    found = _spread(seeds.select(F.col("id").alias("key"), of.alias("mask")).groupBy("key").agg(F.bit_or("mask").alias("mask")), ways)
+    found = _spread(seeds.select(F.col("id").alias("key"), of.alias("mask")).groupBy("key").agg(F.bit_or("mask").alias("mask")), cut(ways))
     return cut(_decoded(found, [("", c) for c in names]).drop("run"))
 
 
 def closures(runs: dict[str, tuple[DataFrame, Column | None]], edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """run, context, id of several closures over the same edges in one pass: each run has its seeds (context, id), and which edges it follows."""
     flags = {f"_follows{k}": F.coalesce(follows, F.lit(False)) for k, (_, follows) in enumerate(runs.values()) if follows is not None}
-    edges = cut(edges.where("src is not null and dst is not null").select("src", "dst", *[c.alias(name) for name, c in flags.items()]))
+    edges = edges.where("src is not null and dst is not null").select("src", "dst", *[c.alias(name) for name, c in flags.items()])
     held = None
     for run, (seeds, _) in runs.items():
         rows = seeds.where("id is not null").select(F.lit(run).alias("run"), "context", "id")
         held = rows if held is None else held.unionByName(rows)
     held = cut(held.distinct())
-    out = []
-    if edges.count() <= local_edges and held.count() <= local_edges:
+    names = [tuple(r) for r in held.select("run", "context").distinct().orderBy("run", "context").collect()]  # a row per context
+    if len(names) > WORD:
+        edges = cut(edges)
+    out, few = [], held.count() <= local_edges
+    for start in range(0, max(1, len(names)), WORD):
+        some = names[start : start + WORD]
+        of = F.coalesce(*[F.when((F.col("run") == r) & F.col("context").eqNullSafe(F.lit(c)), F.lit(1 << k)) for k, (r, c) in enumerate(some)]) if some else F.lit(None)
+        mask, along = F.lit(0).cast("bigint"), {}
         for k, run in enumerate(runs):
-            own = edges.where(F.col(f"_follows{k}")) if f"_follows{k}" in flags else edges
-            out.append(_walked(held.where(F.col("run") == run).drop("run"), own.select("src", "dst"), False).select(F.lit(run).alias("run"), "context", "id"))
-    else:
-        names = [tuple(r) for r in held.select("run", "context").distinct().orderBy("run", "context").collect()]  # a row per context
-        for start in range(0, max(1, len(names)), WORD):
-            some = names[start : start + WORD]
-            of = F.coalesce(*[F.when((F.col("run") == r) & F.col("context").eqNullSafe(F.lit(c)), F.lit(1 << k)) for k, (r, c) in enumerate(some)]) if some else F.lit(None)
-            mask = F.lit(0).cast("bigint")
-            for k, run in enumerate(runs):
-                bits = F.lit(sum(1 << j for j, (r, _) in enumerate(some) if r == run)).cast("bigint")
-                mask = mask.bitwiseOR(F.when(F.col(f"_follows{k}"), bits).otherwise(F.lit(0).cast("bigint")) if f"_follows{k}" in flags else bits)
-            ways = edges.select(F.col("src").alias("key"), "dst", mask.alias("mask")).where("mask <> 0").groupBy("key", "dst").agg(F.bit_or("mask").alias("mask"))
-            first = held.select(F.col("id").alias("key"), of.cast("bigint").alias("mask")).where("mask is not null").groupBy("key").agg(F.bit_or("mask").alias("mask"))
-            out.append(_decoded(_spread(first, ways), some))
+            along[run] = sum(1 << j for j, (r, _) in enumerate(some) if r == run)
+            bits = F.lit(along[run]).cast("bigint")
+            mask = mask.bitwiseOR(F.when(F.col(f"_follows{k}"), bits).otherwise(F.lit(0).cast("bigint")) if f"_follows{k}" in flags else bits)
+        ways = cut(edges.select(F.col("src").alias("key"), "dst", mask.alias("mask")).where("mask <> 0").groupBy("key", "dst").agg(F.bit_or("mask").alias("mask")))
+        first = held.select("run", "context", "id", of.cast("bigint").alias("mask")).where("mask is not null")
+        if few and ways.count() <= local_edges:
+            for run in {r: None for r, _ in some}:
+                own = ways.where(F.col("mask").bitwiseAND(F.lit(along[run]).cast("bigint")) != 0).select(F.col("key").alias("src"), "dst")
+                out.append(_walked(first.where(F.col("run") == run).select("context", "id"), own, False).select(F.lit(run).alias("run"), "context", "id"))
+        else:
+            out.append(_decoded(_spread(first.select(F.col("id").alias("key"), "mask").groupBy("key").agg(F.bit_or("mask").alias("mask")), ways), some))
+    if not out:
+        return held
     rows = out[0]
     for more in out[1:]:
         rows = rows.unionByName(more)
@@ -153,13 +160,13 @@ def _reached(n: int, src, dst, seeds: np.ndarray, graph=None) -> np.ndarray:
 
 
 class _Kept:
-    """Tables that are dealt out by key once and kept while a loop runs; lost parts come again from their checkpoints."""
+    """Tables that are dealt out and sorted by key once and kept while a loop runs, so that a step's join only reads them; lost parts come again from their checkpoints."""
 
     def __init__(self, parts: int):
         self.parts, self.held = parts, []
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        df = df.repartition(self.parts, "key").persist(StorageLevel.MEMORY_AND_DISK)
+        df = df.repartition(self.parts, "key").sortWithinPartitions("key").persist(StorageLevel.MEMORY_AND_DISK)
         self.held.append(df)
         return df
 
@@ -170,20 +177,21 @@ class _Kept:
 
 
 def _spread(seeds: DataFrame, ways: DataFrame) -> DataFrame:
-    """key, mask reached from the seeds (key, mask) along distinct ways (key, dst, mask): a mask passes as far as its bits are in the way's."""
+    """key, mask reached from the seeds (key, mask) along distinct ways (key, dst, mask), which were cut: a mask passes as far as its bits are in the way's."""
     kept = _Kept(int(ways.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     base = cut(seeds)
-    after, n = _stepper(cut(ways), kept), base.count()
-    front, recent, jobs, inner = base, [], 0, None
+    after, n = _stepper(ways, kept), base.count()
+    front, recent, steps, inner, hops = base, [], 0, None, HOPS if ways.count() <= LONG_READ else 1
     near, near_n, recent_n = kept(base), n, 0
     while n:
-        if jobs == PATIENCE and inner is None:
+        if steps >= PATIENCE and inner is None:
             inner, shorter = _contracted(ways, base, recent)
             if shorter is not None:
                 after = _stepper(shorter, kept)
-        reached = front = after(front)
-        if n <= SMALL_FRONT:
-            for _ in range(HOPS - 1):
+        small = n <= SMALL_FRONT
+        reached = front = after(F.broadcast(front) if small and hops == 1 else front)
+        if small and hops > 1:
+            for _ in range(hops - 1):
                 front = after(front)
                 reached = reached.unionByName(front)
             reached = reached.groupBy("key").agg(F.bit_or("mask").alias("mask"))
@@ -191,7 +199,7 @@ def _spread(seeds: DataFrame, ways: DataFrame) -> DataFrame:
             old = seen.select("key", F.col("mask").alias("old"))
             reached = reached.join(old, "key", "left").select("key", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("bigint")))).alias("mask")).where("mask <> 0")
         front = cut(reached)
-        n, jobs = front.count(), jobs + 1
+        n, steps = front.count(), steps + (hops if small else 1)
         recent.append(front)
         recent_n += n
         # What was reached lately joins the rest when there are many pieces or it has grown as large: each row moves a few times in all.

@@ -293,7 +293,7 @@ def blocker_statistics(spark, sf_dir):
     space = F.create_map(*[F.lit(x) for pair in NAMESPACES.items() for x in pair])
     rows = g.table("events").select(F.col("event_type").alias("producer"), F.lit("unresolved").alias("reason"), F.lit(None).cast("string").alias("location"), g.ids("customer", "user_id", "source_node_id"), F.element_at(space, F.col("event_type")).alias("affected_namespace"), F.array().cast("array<string>").alias("affected_node_ids"))
     recorded = facts.blockers(rows)
-    kept = _retained(g, g.cached_edges()).select(F.col("id").alias("source_node_id")).distinct()
+    kept = _retained(g, g.edges(repeats=True)).select(F.col("id").alias("source_node_id")).distinct()
     active = recorded.join(kept, "source_node_id", "left_semi").select(*recorded.columns).unionByName(sourceless(recorded, g.nodes()))
     return catalogues.blocker_counts(recorded, active, g.nodes())
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.plans.materialise import cut
-
 #: What an event's kind of blocker addresses.
 NAMESPACES = {"click": "supplier:1", "error": "part:19", "purchase": "part:7", "signup": "nation:2", "view": "orders:33"}
 
@@ -29,7 +27,8 @@ class Graph:
             out = rows if out is None else out.unionByName(rows)
         return out
 
-    def edges(self) -> DataFrame:
+    def edges(self, repeats: bool = False) -> DataFrame:
+        """src, dst, exact; with ``repeats`` an edge as often as line items hold it, for closures, which fold equal edges themselves."""
         line = self.table("lineitem")
         yes = F.lit(True).alias("exact")
 
@@ -40,6 +39,9 @@ class Graph:
         ring = nation.withColumn("next", (F.col("n_nationkey") + 1) % 25)
         to_part = line.groupBy("l_orderkey", "l_partkey").agg(F.bool_or(F.col("l_returnflag") == "N").alias("exact"))
         to_supplier = line.groupBy("l_partkey", "l_suppkey").agg(F.bool_or(F.col("l_linestatus") == "F").alias("exact"))
+        if repeats:
+            to_part = line.select("l_orderkey", "l_partkey", (F.col("l_returnflag") == "N").alias("exact"))
+            to_supplier = line.select("l_partkey", "l_suppkey", (F.col("l_linestatus") == "F").alias("exact"))
         parts = [
             of(self.table("customer"), ("customer", "c_custkey"), ("nation", "c_nationkey"), yes),
             of(self.table("orders"), ("orders", "o_orderkey"), ("customer", "o_custkey"), yes),
@@ -68,6 +70,3 @@ class Graph:
         space = F.create_map(*[F.lit(x) for pair in NAMESPACES.items() for x in pair])
         rows = self.table("events").select(F.col("event_type").alias("producer"), F.lit("unresolved").alias("reason"), F.lit(None).cast("string").alias("location"), self.ids("customer", "user_id", "source_node_id"), F.element_at(space, F.col("event_type")).alias("affected_namespace"))
         return rows.distinct().withColumn("affected_node_ids", F.array().cast("array<string>"))
-
-    def cached_edges(self) -> DataFrame:
-        return cut(self.edges())

@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from quern import adapter_queries
-from quern.operators import planner
+from quern.operators import closure, planner
 from quern.operators.catalogues import repeated_json_keys
 
 
@@ -51,3 +51,19 @@ def test_components_behind_long_ways(spark):
     assert got == {tuple(r) for r in planner.strong_components(one, two).collect()}
     # A round for each node of the way took some 600.
     assert len(calls) < 100
+
+
+def test_closures_of_many_edges(spark, monkeypatch):
+    """Steps one by one, with small frontiers broadcast, over repeated edges of which some are exact; edges are cut once."""
+    edges = [(f"n{k}", f"n{(k * 7 + j) % 41}", k % 3 > 0) for k in range(41) for j in (1, 2)] + [(f"w{k}", f"w{k + 1}", True) for k in range(3)] + [("n5", "w0", False), ("n5", "w0", True)]
+    e = spark.createDataFrame(edges + edges[::2], "src string, dst string, exact boolean")
+    roots, more = spark.createDataFrame([("a", "n1"), (None, "w3")], "context string, id string"), spark.createDataFrame([("a", "n4"), ("b", "w2")], "context string, id string")
+    runs = {"x": (roots, F.col("exact")), "y": (more, None)}
+    expected = {tuple(r) for r in closure.closures(runs, e).collect()}
+    monkeypatch.setattr(closure, "LONG_READ", 0)
+    monkeypatch.setattr(closure, "BROADCAST_EDGES", 0)
+    read, old = [], closure.cut
+    monkeypatch.setattr(closure, "cut", lambda df: read.append(df.columns) or old(df))
+    assert {tuple(r) for r in closure.closures(runs, e, local_edges=0).collect()} == expected
+    # The edges were written twice before, as they are and folded.
+    assert sum("dst" in c for c in read[:4]) == 1
