@@ -116,14 +116,18 @@ def prefix_candidates(asked: DataFrame, routes: DataFrame) -> DataFrame:
     same = p.where(F.col("known").startswith("/")).join(declared.select(F.col("full_path").alias("known"), "node_id"), "known").groupBy("prefix").agg(_ids("node_id").alias("same"))
     parts = F.split("prefix", "/")
     open_ = p.where("prefix <> ''").join(same.select("prefix"), "prefix", "left_anti").select("prefix", F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts).alias("parts"))
-    # A route offers each of its beginnings under its length and first segment.
+    # A route offers each of its beginnings: those without a colon as they are, the others, each shape once, under their length and first segment.
     ways = declared.withColumn("pattern", F.split("full_path", "/")).select("node_id", "pattern", F.explode(F.sequence(F.lit(1), F.size("pattern"))).alias("size"))
+    ways = ways.select("node_id", F.slice("pattern", 1, F.col("size")).alias("pattern"), "size")
+    loose = F.exists("pattern", lambda x: x.startswith(":"))
+    plain = open_.join(ways.where(~loose).select(F.col("pattern").alias("parts"), "node_id"), "parts").select("prefix", "node_id")
     heads = F.coalesce(F.get("pattern", F.lit(1)), F.lit(""))
-    ways = ways.select("node_id", F.slice("pattern", 1, F.col("size")).alias("pattern"), "size", F.when(F.col("size") == 1, F.lit("")).when(heads.startswith(":"), F.lit(":")).otherwise(heads).alias("head"))
+    shapes = ways.where(loose).select("pattern", "size").distinct().withColumn("head", F.when(F.col("size") == 1, F.lit("")).when(heads.startswith(":"), F.lit(":")).otherwise(heads))
     own = F.coalesce(F.get("parts", F.lit(1)), F.lit(""))
-    open_ = open_.select("prefix", "parts", F.size("parts").alias("size"), F.explode(F.when(F.size("parts") == 1, F.array(F.lit(""))).otherwise(F.array_distinct(F.array(own, F.lit(":"))))).alias("head"))
+    offered = open_.select("prefix", "parts", F.size("parts").alias("size"), F.explode(F.when(F.size("parts") == 1, F.array(F.lit(""))).otherwise(F.array_distinct(F.array(own, F.lit(":"))))).alias("head"))
     fits = F.forall(F.arrays_zip(F.col("pattern").alias("a"), F.col("parts").alias("b")), lambda x: x["a"].startswith(":") | (x["a"] == x["b"]))
-    met = open_.join(ways, ["size", "head"]).where(fits).groupBy("prefix").agg(_ids("node_id").alias("fitting"))
+    shaped = offered.join(shapes, ["size", "head"]).where(fits).select("prefix", "pattern").join(ways.where(loose).select("pattern", "node_id"), "pattern").select("prefix", "node_id")
+    met = plain.unionByName(shaped).groupBy("prefix").agg(_ids("node_id").alias("fitting"))
     both = p.join(same, "prefix", "left").join(met, "prefix", "left")
     return both.select("prefix", F.col("same").isNotNull().alias("exact"), F.coalesce("same", "fitting", _empty()).alias("candidates"))
 
