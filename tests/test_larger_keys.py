@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from quern import adapter_queries
-from quern.operators import closure, planner
+from quern.operators import adapters, closure, planner
 from quern.operators.catalogues import repeated_json_keys
 
 
@@ -67,3 +67,18 @@ def test_closures_of_many_edges(spark, monkeypatch):
     assert {tuple(r) for r in closure.closures(runs, e, local_edges=0).collect()} == expected
     # The edges were written twice before, as they are and folded.
     assert sum("dst" in c for c in read[:4]) == 1
+
+
+def test_beginnings_of_routes(spark):
+    """Prefixes with and without patterns, against every pair."""
+    routes = [(f"r{k}", f"/en/{k % 7}/{k}") for k in range(40)] + [("p", "/en/:page"), ("q", "/en/:page"), ("any", "/:lang/:page/more"), ("s", "/:lang/3/:x"), ("bare", "en/4")]
+    asked = ["/en/", "/en/3", "/en/3/", "/en/3/10", "/de/3/", "/de/9/more", "/", "", "en", "en/", "/en//", "/en/:page", "/en/3/10?tab=", "/fr?x"]
+    expected = {}
+    for prefix in asked:
+        parts = prefix.split("/")
+        parts = parts[:-1] if parts[-1] == "" else parts
+        same = sorted(n for n, p in routes if "?" in prefix and prefix.startswith("/") and p == prefix.split("?")[0])
+        fits = sorted(n for n, p in routes if prefix and 0 < len(parts) <= len(p.split("/")) and all(a.startswith(":") or a == b for a, b in zip(p.split("/"), parts)))
+        expected[prefix] = (bool(same), same or fits)
+    got = adapters.prefix_candidates(spark.createDataFrame([(a,) for a in asked], "prefix string"), spark.createDataFrame(routes, "node_id string, full_path string"))
+    assert {r.prefix: (r.exact, r.candidates) for r in got.collect()} == expected
