@@ -29,7 +29,7 @@ SMALL_FRONT, HOPS = 100_000, 4
 #: Frontiers that are kept apart before they become one table.
 PIECES = 6
 #: Edges beyond which a small frontier goes one step a job, broadcast to them: reading them costs more than a job.
-LONG_READ = 4_000_000
+LONG_READ = BROADCAST_EDGES
 #: Steps of the loop before chains are contracted.
 PATIENCE = 16
 

@@ -32,7 +32,7 @@ def dependencies(selected: DataFrame, edges: DataFrame) -> tuple[DataFrame, Data
     """
     ids = selected.select("id").distinct()
     neutral = F.col("neutral") if "neutral" in edges.columns else F.lit(False)
-    into = edges.select("src", "dst", neutral.alias("neutral")).join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    into = cut(edges.select("src", "dst", neutral.alias("neutral")).join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"))
     inner = into.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").where("src <> dst").select("src", "dst")
     consumers = into.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").where("not neutral").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("consumer"))
     heads = selected.where("path is not null").groupBy("path").agg(F.min("id").alias("head"))

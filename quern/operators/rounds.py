@@ -36,16 +36,18 @@ def apply(graph: tuple[DataFrame, ...], contexts: DataFrame, select: Callable[[D
     graph: nodes(id, ...), edges(src, dst, exact), roots(context, id), protected(id), blockers. ``select`` takes unproven,
     unprotected nodes with ``retained`` and returns those that may go (id, path). A unit with a member in ``failing`` (id) is rejected.
 
-    Unproven nodes lead to nothing that is proven, so the proven closure stays as it is; the retained one is kept up to date
-    by what each round takes away, and equals a closure of the rest. Blockers of removed nodes go with them.
+    Unproven nodes lead to nothing that is proven, so the proven closure stays as it is; the retained one is that of the
+    rest after each round. Blockers of removed nodes go with them.
     """
     nodes, edges, roots, protected, blockers = graph
     nodes, edges = cut(nodes), cut(edges.select("src", "dst", "exact"))
     seeds, pseudo, _ = C._retaining(roots, protected, blockers, nodes, contexts)
-    seeds, every = cut(seeds.distinct()), cut(edges.unionByName(pseudo.select("src", "dst", F.lit(False).alias("exact"))))
-    found = C.closures({"proven": (roots, F.col("exact")), "retained": (seeds, None)}, every)
-    open_ = cut(nodes.join(found.where("run = 'proven'").select("id").distinct(), "id", "left_anti").join(protected.select("id").distinct(), "id", "left_anti"))
-    kept, every = found.where("run = 'retained'").select("context", "id"), every.select("src", "dst")
+    # Edges hold in every context and no round asks where a node is reached: one context stands for all.
+    one = lambda rows: rows.select(F.lit("").alias("context"), "id").distinct()
+    seeds, pseudo = cut(one(seeds)), cut(pseudo.select("src", "dst"))
+    found = C.closures({"proven": (one(roots), F.col("exact")), "retained": (seeds, None)}, edges.unionByName(pseudo.withColumn("exact", F.lit(False))))
+    open_ = cut(nodes.join(found.where("run = 'proven'").select("id"), "id", "left_anti").join(protected.select("id").distinct(), "id", "left_anti"))
+    kept = found.where("run = 'retained'").select("context", "id")
     links, out, round_ = edges.select("src", "dst"), [], 0
     while True:
         round_ += 1
@@ -66,11 +68,12 @@ def apply(graph: tuple[DataFrame, ...], contexts: DataFrame, select: Callable[[D
         if not bad.isEmpty():
             break
         gone = done.select("id")
-        kept = C.without(kept, seeds, every, gone)
         side = bounded(gone)
+        links, pseudo = (cut(e.join(side.withColumnRenamed("id", "src"), "src", "left_anti").join(side.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst")) for e in (links, pseudo))
         open_ = cut(open_.join(side, "id", "left_anti"))
         seeds = cut(seeds.join(side, "id", "left_anti"))
-        links, every = (cut(e.join(side.withColumnRenamed("id", "src"), "src", "left_anti").join(side.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst")) for e in (links, every))
+        # Upkeep deals out all edges for what was lost and again for what is put back; what stays is followed once.
+        kept = C.closure(seeds, links.unionByName(pseudo))
     rows = out[0]
     for more in out[1:]:
         rows = rows.unionByName(more)

@@ -441,4 +441,4 @@ def apply_loop(spark, sf_dir):
     def select(rows):
         return rows.where("kind NOT IN ('region', 'nation') AND (kind = 'orders' OR NOT retained)").withColumn("path", F.lit(None).cast("string"))
 
-    return rounds.apply((g.nodes(), g.edges(), g.roots(), g.protected(), g.blockers()), g.contexts(), select)
+    return rounds.apply((g.nodes(), g.edges(repeats=True), g.roots(), g.protected(), g.blockers()), g.contexts(), select)

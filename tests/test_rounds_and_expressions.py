@@ -81,6 +81,21 @@ def test_rounds_free_what_only_they_retain(spark):
     assert got == {("a", 1, "committed"), ("e", 1, "rejectedRecovered"), ("lonely", 1, "notAttempted")}
 
 
+def test_rounds_take_no_pass_for_a_context(spark, monkeypatch):
+    nodes = spark.createDataFrame([("root", "r", None), ("a", "soft", None), ("b", "hard", None), ("c", "hard", None)], "id string, kind string, path string")
+    edges = spark.createDataFrame([("a", "b", True), ("b", "c", True), ("root", "a", False)], "src string, dst string, exact boolean")
+    none, blockers = spark.createDataFrame([], "id string"), spark.createDataFrame([], "producer string, reason string, location string, source_node_id string, affected_namespace string, affected_node_ids array<string>")
+    select = lambda rows: rows.where("kind = 'soft' OR NOT retained")
+    calls, old = [], closure.cut
+    monkeypatch.setattr(closure, "cut", lambda df: calls.append(df.columns) or old(df))
+    names = [(f"c{k}",) for k in range(70)]
+    roots = spark.createDataFrame([(c, "root") for c, in names], "context string, id string")
+    got = rounds.apply((nodes, edges, roots, none, blockers), spark.createDataFrame(names, "context string"), select).collect()
+    assert {(r.id, r.round, r.outcome) for r in got} == {("a", 1, "blocked")}
+    # Seventy contexts and two closures are more than a mask holds: the edges were folded three times, once for each pass.
+    assert calls.count(["key", "dst", "mask"]) == 2
+
+
 def test_orders_of_groups_merge(spark):
     r = random.Random(4)
     names = [f"u{k:02}" for k in range(40)]
