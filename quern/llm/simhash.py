@@ -18,7 +18,7 @@ no rows; only doc_id and text are read.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm._common import cut, texts_of
@@ -145,9 +145,8 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
     halves = F.concat(ball(F.shiftrightunsigned("fp", 32), 0), ball(F.col("fp").bitwiseAND(low), 1))
     balls = fps.select("fp", F.explode(halves).alias("key"))
-    # Keys are counted before they meet: what stands alone under a key is not moved with it.
-    shared = cut(balls.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    entries = cut(balls.join(bounded(shared), "key").select("key", "fp", "n"))
+    # Keys are dealt out once and counted where they meet; what stands alone under a key goes no further.
+    entries = cut(balls.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"))
     small = entries.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps")
     out = small.mapInArrow(_forests, "a bigint, b bigint").distinct()
     large = entries.where(F.col("n") > bucket).select("fp").distinct()

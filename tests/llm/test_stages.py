@@ -153,3 +153,26 @@ def test_signatures_and_bands_agree_with_jaccard():
             else:
                 far, dropped = far + bool((keys[0] == keys[1]).any()), dropped + (same < overlap.LEAST)
     assert near == kept == dropped == 60 and far < 30
+
+
+def test_links_deal_out_keys_once(spark, monkeypatch):
+    """The links of fingerprints keep the components of all pairs within the distance; keys are written once, with their counts."""
+    fps = [0, 1, 3, 7 << 40, (7 << 40) | 5, 1 << 62, (1 << 62) | 0xFF00, -1, -1 ^ (15 << 30)]
+    calls, old = [], simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df: calls.append(df.columns) or old(df))
+    got = {frozenset(r) for r in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp bigint")).collect()}
+    near = {frozenset((a, b)) for a in fps for b in fps if a < b and ((a ^ b) % 2**64).bit_count() <= 4}
+    assert got <= near
+
+    def parts(pairs):
+        of = {f: {f} for f in fps}
+        for a, b in map(tuple, pairs):
+            if of[a] is not of[b]:
+                of[a] |= of[b]
+                for f in of[b]:
+                    of[f] = of[a]
+        return {frozenset(x) for x in of.values()}
+
+    assert parts(got) == parts(near)
+    # Keys were counted in a pass of their own, which dealt them out twice on larger tables.
+    assert len(calls) == 1
