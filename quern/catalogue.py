@@ -139,7 +139,7 @@ def finding_statistics(spark, sf_dir):
 def dangling_edges(spark, sf_dir):
     g = Graph(spark, sf_dir)
     far = F.col("l_partkey") + F.when(F.col("l_linenumber") == 7, F.lit(10**9)).otherwise(F.lit(0))
-    edges = g.table("lineitem").withColumn("far", far).select(g.ids("orders", "l_orderkey", "src"), g.ids("part", "far", "dst")).distinct()
+    edges = g.table("lineitem").withColumn("far", far).select(g.ids("orders", "l_orderkey", "src"), g.ids("part", "far", "dst"))
     return C.dangling(edges, g.nodes())
 
 

@@ -82,3 +82,14 @@ def test_beginnings_of_routes(spark):
         expected[prefix] = (bool(same), same or fits)
     got = adapters.prefix_candidates(spark.createDataFrame([(a,) for a in asked], "prefix string"), spark.createDataFrame(routes, "node_id string, full_path string"))
     assert {r.prefix: (r.exact, r.candidates) for r in got.collect()} == expected
+
+
+def test_dangling_edges_are_made_distinct_at_the_end(spark):
+    """Edges are not dealt out to be distinct before their ends are looked up: only dangling ones are, once."""
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["dangling_edges"](spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1
+    got = [tuple(r) for r in rows.collect()]
+    assert len(got) == len(set(got)) > 0
