@@ -100,11 +100,11 @@ def _findings(spark, sf_dir):
     g = Graph(spark, sf_dir)
     edges = g.edges(repeats=True)
     blockers = cut(g.blockers())
-    proven, kept = C.proven_and_retained(cut(g.roots()), edges, g.protected(), blockers, g.nodes(), g.contexts())
-    active = blockers.join(kept.select(F.col("id").alias("source_node_id")).distinct(), "source_node_id", "left_semi")
+    found = C.proven_and_retained(cut(g.roots()), edges, g.protected(), blockers, g.nodes(), g.contexts())
+    active = blockers.join(found.where("retained").select(F.col("id").alias("source_node_id")), "source_node_id", "left_semi")
     free = C.sourceless(blockers, g.nodes())
     blocked = C.addressed(active.unionByName(free.select(*active.columns)), g.nodes()).select("id")
-    rows = findings.candidates(g.nodes(), proven, kept, g.protected(), blocked)
+    rows = findings.marked(g.nodes(), found, g.protected(), blocked)
     return findings.classified(rows, F.col("kind") != "region", F.col("kind") == "customer", F.lit(True), F.lit(True))
 
 

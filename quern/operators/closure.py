@@ -30,6 +30,8 @@ SMALL_FRONT, HOPS = 100_000, 4
 PIECES = 6
 #: Edges beyond which a small frontier goes one step a job, broadcast to them: reading them costs more than a job.
 LONG_READ = BROADCAST_EDGES
+#: Namespaces that each id is held against; the beginnings of ids are met with more of them.
+FEW_SPACES = 32
 #: Steps of the loop before chains are contracted.
 PATIENCE = 16
 
@@ -62,6 +64,35 @@ def closure(seeds: DataFrame, edges: DataFrame, per_context: bool = False, local
 
 def closures(runs: dict[str, tuple[DataFrame, Column | None]], edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """run, context, id of several closures over the same edges in one pass: each run has its seeds (context, id), and which edges it follows."""
+    out = [_decoded(found, some) if some else found for found, some in _closed(runs, edges, local_edges)]
+    rows = out[0]
+    for more in out[1:]:
+        rows = rows.unionByName(more)
+    return cut(rows)
+
+
+def memberships(runs: dict[str, tuple[DataFrame, Column | None]], edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """The same closures as one row a node: id, for each run whether the node is in it, and ``<run>_in``, the contexts that are not null, in order."""
+    out = []
+    for found, some in _closed(runs, edges, local_edges):
+        if some:
+            of = lambda run: [(F.col("mask").bitwiseAND(F.lit(1 << k)) != 0, c) for k, (r, c) in enumerate(some) if r == run]  # noqa: B023, E731
+            any_ = lambda run: F.col("mask").bitwiseAND(F.lit(sum(1 << k for k, (r, _) in enumerate(some) if r == run)).cast("bigint")) != 0  # noqa: B023, E731
+            sets = [F.array_compact(F.array(*[F.when(bit, F.lit(c)) for bit, c in of(run)])).cast("array<string>").alias(f"{run}_in") for run in runs]
+            out.append(found.select(F.col("key").alias("id"), *[any_(run).alias(run) for run in runs], *sets))
+        else:
+            held = [F.bool_or(F.col("run") == run).alias(run) for run in runs] + [F.collect_set(F.when(F.col("run") == run, F.col("context"))).alias(f"{run}_in") for run in runs]
+            out.append(found.groupBy("id").agg(*held))
+    rows = out[0]
+    for more in out[1:]:
+        rows = rows.unionByName(more)
+    if len(out) > 1:
+        rows = rows.groupBy("id").agg(*[F.bool_or(run).alias(run) for run in runs], *[F.array_distinct(F.flatten(F.collect_list(f"{run}_in"))).alias(f"{run}_in") for run in runs])
+    return cut(rows.select("id", *runs, *[F.sort_array(f"{run}_in").alias(f"{run}_in") for run in runs]))
+
+
+def _closed(runs: dict[str, tuple[DataFrame, Column | None]], edges: DataFrame, local_edges: int) -> list[tuple[DataFrame, list]]:
+    """The closures in parts: key and mask with the (run, context) of each bit, or run, context, id as they are."""
     flags = {f"_follows{k}": F.coalesce(follows, F.lit(False)) for k, (_, follows) in enumerate(runs.values()) if follows is not None}
     edges = edges.where("src is not null and dst is not null").select("src", "dst", *[c.alias(name) for name, c in flags.items()])
     held = None
@@ -81,20 +112,22 @@ def closures(runs: dict[str, tuple[DataFrame, Column | None]], edges: DataFrame,
             along[run] = sum(1 << j for j, (r, _) in enumerate(some) if r == run)
             bits = F.lit(along[run]).cast("bigint")
             mask = mask.bitwiseOR(F.when(F.col(f"_follows{k}"), bits).otherwise(F.lit(0).cast("bigint")) if f"_follows{k}" in flags else bits)
-        ways = cut(edges.select(F.col("src").alias("key"), "dst", mask.alias("mask")).where("mask <> 0").groupBy("key", "dst").agg(F.bit_or("mask").alias("mask")))
+        ways = cut(_live(edges.select(F.col("src").alias("key"), "dst", mask.alias("mask")).where("mask <> 0"), held.select(F.col("id").alias("key"))))
         first = held.select("run", "context", "id", of.cast("bigint").alias("mask")).where("mask is not null")
         if few and ways.count() <= local_edges:
             for run in {r: None for r, _ in some}:
                 own = ways.where(F.col("mask").bitwiseAND(F.lit(along[run]).cast("bigint")) != 0).select(F.col("key").alias("src"), "dst")
-                out.append(_walked(first.where(F.col("run") == run).select("context", "id"), own, False).select(F.lit(run).alias("run"), "context", "id"))
+                out.append((_walked(first.where(F.col("run") == run).select("context", "id"), own, False).select(F.lit(run).alias("run"), "context", "id"), []))
         else:
-            out.append(_decoded(_spread(first.select(F.col("id").alias("key"), "mask").groupBy("key").agg(F.bit_or("mask").alias("mask")), ways), some))
-    if not out:
-        return held
-    rows = out[0]
-    for more in out[1:]:
-        rows = rows.unionByName(more)
-    return cut(rows)
+            out.append((_spread(first.select(F.col("id").alias("key"), "mask").groupBy("key").agg(F.bit_or("mask").alias("mask")), ways), some))
+    return out or [(held, [])]
+
+
+def _live(ways: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The ways whose beginning is a seed or the end of a way: nothing reaches the others, so they are neither kept nor read again."""
+    ends = ways.select(F.col("dst").alias("key")).unionByName(seeds.select("key")).distinct()
+    # The ends of a partition are held, its ways pass by: they need not be sorted.
+    return ways.join(ends.hint("shuffle_hash"), "key", "left_semi")
 
 
 def _decoded(found: DataFrame, names: list[tuple[str, str | None]]) -> DataFrame:
@@ -177,29 +210,36 @@ class _Kept:
 
 
 def _spread(seeds: DataFrame, ways: DataFrame) -> DataFrame:
-    """key, mask reached from the seeds (key, mask) along distinct ways (key, dst, mask), which were cut: a mask passes as far as its bits are in the way's."""
+    """key, mask reached from the seeds (key, mask) along ways (key, dst, mask), which were cut: a mask passes as far as its bits are in the way's."""
     kept = _Kept(int(ways.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     base = cut(seeds)
     after, n = _stepper(ways, kept), base.count()
     front, recent, steps, inner, hops = base, [], 0, None, HOPS if ways.count() <= LONG_READ else 1
     near, near_n, recent_n = kept(base), n, 0
+    # A small frontier meets only what lies between its least and its largest key: the kept tables are sorted, so the rest is not read.
+    between = lambda df, ends: df if ends is None else df.where(F.col("key").between(*map(F.lit, ends)))
+    ranged, ends = dict(ways.dtypes)["key"] == "string", None
     while n:
         if steps >= PATIENCE and inner is None:
             inner, shorter = _contracted(ways, base, recent)
             if shorter is not None:
                 after = _stepper(shorter, kept)
         small = n <= SMALL_FRONT
-        reached = front = after(F.broadcast(front) if small and hops == 1 else front)
+        single, span = small and hops == 1 and ranged, None
+        reached = front = after(F.broadcast(front) if small and hops == 1 else front, ends if single else None)
+        if single:
+            reached = cut(reached)
+            span = _ends(reached)[1]
         if small and hops > 1:
             for _ in range(hops - 1):
-                front = after(front)
+                front = after(front, None)
                 reached = reached.unionByName(front)
             reached = reached.groupBy("key").agg(F.bit_or("mask").alias("mask"))
         for seen in [near, *recent]:
-            old = seen.select("key", F.col("mask").alias("old"))
+            old = between(seen, span).select("key", F.col("mask").alias("old"))
             reached = reached.join(old, "key", "left").select("key", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("bigint")))).alias("mask")).where("mask <> 0")
         front = cut(reached)
-        n, steps = front.count(), steps + (hops if small else 1)
+        (n, ends), steps = _ends(front), steps + (hops if small else 1)
         recent.append(front)
         recent_n += n
         # What was reached lately joins the rest when there are many pieces or it has grown as large: each row moves a few times in all.
@@ -216,6 +256,12 @@ def _spread(seeds: DataFrame, ways: DataFrame) -> DataFrame:
     return out
 
 
+def _ends(rows: DataFrame) -> tuple[int, tuple | None]:
+    """How many rows there are, and their least and largest key."""
+    n, least, most = rows.agg(F.count("*"), F.min("key"), F.max("key")).first()
+    return n, (least, most) if n else None
+
+
 def _joined(base: DataFrame, recent: list[DataFrame]) -> DataFrame:
     for piece in recent:
         base = base.unionByName(piece)
@@ -231,9 +277,10 @@ def _stepper(ways: DataFrame, kept: _Kept):
         wide, step = cut(step.join(many, "key", "left_semi")), cut(step.join(many, "key", "left_anti"))
     narrow = F.broadcast(step) if step.count() <= BROADCAST_EDGES else kept(step)
 
-    def after(front):
+    def after(front, ends):
+        mine = narrow if ends is None else narrow.where(F.col("key").between(*map(F.lit, ends)))
         go = lambda met: met.select(F.col("dst").alias("key"), F.col("mask").bitwiseAND(F.col("along")).alias("mask")).where("mask <> 0")
-        out = go(front.join(narrow, "key"))
+        out = go(front.join(mine, "key"))
         if wide is not None:
             out = out.unionByName(go(wide.join(bounded(front.join(many, "key", "left_semi")), "key")))
         return out.groupBy("key").agg(F.bit_or("mask").alias("mask"))
@@ -243,6 +290,7 @@ def _stepper(ways: DataFrame, kept: _Kept):
 
 def _contracted(ways: DataFrame, base: DataFrame, recent: list[DataFrame]) -> tuple[DataFrame | None, DataFrame | None]:
     """Inner nodes of chains that nothing has reached, with the start of their chain and what passes from there (key, start, mask); and ways without them."""
+    ways = cut(ways.groupBy("key", "dst").agg(F.bit_or("mask").alias("mask")))
     into = ways.groupBy(F.col("dst").alias("key")).agg(F.count("*").alias("n"), F.first("key").alias("start"), F.first("mask").alias("mask")).where("n = 1").drop("n")
     once = ways.groupBy("key").agg(F.count("*").alias("n")).where("n = 1").select("key")
     inner = into.join(once, "key", "left_semi")
@@ -279,6 +327,12 @@ def addressed(namespaces: DataFrame, nodes: DataFrame) -> DataFrame:
     namespaces without a colon, the stretches of those lengths after each slash.
     """
     spaces = bounded(namespaces.where(F.col("affected_namespace").isNotNull()).select("affected_namespace").distinct())
+    few = [r[0] for r in spaces.limit(FEW_SPACES + 1).collect()]
+    if 0 < len(few) <= FEW_SPACES:
+        id_ = F.col("id")
+        covers = [id_.startswith(s) if ":" in s else id_.startswith(s) | id_.contains("/" + s) for s in few]
+        held = F.array_compact(F.array(*[F.when(c, F.lit(s)) for c, s in zip(covers, few)]))
+        return nodes.select("id").where(id_ != "").select(F.explode(held).alias("affected_namespace"), "id")
     # As many lengths as the longest namespace has characters, at most.
     seen = spaces.groupBy(F.length("affected_namespace").alias("n")).agg(F.bool_or(~F.contains("affected_namespace", F.lit(":"))).alias("inner")).collect()
     if not seen:
@@ -357,13 +411,11 @@ def retained(roots: DataFrame, edges: DataFrame, protected: DataFrame, blockers:
     return _real(closure(seeds, all_edges, per_context, local_edges))
 
 
-def proven_and_retained(roots: DataFrame, edges: DataFrame, protected: DataFrame, blockers: DataFrame, nodes: DataFrame, contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both closures over edges(src, dst, exact) in one pass."""
+def proven_and_retained(roots: DataFrame, edges: DataFrame, protected: DataFrame, blockers: DataFrame, nodes: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Both closures over edges(src, dst, exact) in one pass: a row a node with proven, retained, proven_in and retained_in."""
     seeds, pseudo, _ = _retaining(roots, protected, blockers, nodes, contexts)
     all_edges = edges.select("src", "dst", "exact").unionByName(pseudo.withColumn("exact", F.lit(False)))
-    found = closures({"proven": (roots, F.col("exact")), "retained": (seeds, None)}, all_edges)
-    of = lambda run: found.where(F.col("run") == run).select("context", "id")
-    return of("proven"), _real(of("retained"))
+    return _real(memberships({"proven": (roots, F.col("exact")), "retained": (seeds, None)}, all_edges))
 
 
 def without(kept: DataFrame, seeds: DataFrame, edges: DataFrame, gone: DataFrame) -> DataFrame:

@@ -31,7 +31,17 @@ def candidates(nodes: DataFrame, proven: DataFrame, retained: DataFrame, protect
     """Unproven, reportable nodes with retained_in, is_protected and has_blockers."""
     open_ = nodes.where(~F.col("kind").isin(*NOT_REPORTED)).join(proven.select("id").distinct(), "id", "left_anti")
     kept = retained.groupBy("id").agg(F.array_sort(F.collect_set("context")).alias("retained_in"))
-    out = open_.join(kept, "id", "left").withColumn("retained_in", F.coalesce("retained_in", F.array().cast("array<string>")))
+    return _flagged(open_.join(kept, "id", "left"), protected, blocked)
+
+
+def marked(nodes: DataFrame, found: DataFrame, protected: DataFrame, blocked: DataFrame) -> DataFrame:
+    """As candidates, from one row a reached node: id, proven, retained_in."""
+    out = nodes.where(~F.col("kind").isin(*NOT_REPORTED)).join(found.select("id", "proven", "retained_in"), "id", "left")
+    return _flagged(out.where(~F.coalesce("proven", F.lit(False))).drop("proven"), protected, blocked)
+
+
+def _flagged(out: DataFrame, protected: DataFrame, blocked: DataFrame) -> DataFrame:
+    out = out.withColumn("retained_in", F.coalesce("retained_in", F.array().cast("array<string>")))
     for side, name in ((protected, "is_protected"), (blocked, "has_blockers")):
         out = out.join(side.select("id").distinct().withColumn(name, F.lit(True)), "id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
     return out
