@@ -31,7 +31,8 @@ _encoders: dict = {}
 
 
 class ChunkEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_chunks: int = MEMO_CHUNKS, slab_bytes: int = SLAB_BYTES):
+        self.memo_chunks, self.slab_bytes = memo_chunks, slab_bytes
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -68,7 +69,7 @@ class ChunkEncoder:
         start = 0
         while start < len(texts):
             before = size[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(size, before + SLAB_BYTES)))
+            end = max(start + 1, int(np.searchsorted(size, before + self.slab_bytes)))
             some = texts.slice(start, end - start).fill_null("")
             if self.splits:
                 # The memo holds no cycles; looking for some in it costs a good part of the time.
@@ -106,7 +107,7 @@ class ChunkEncoder:
 
     def _chunks(self, chunks: list[bytes]) -> list[bytes]:
         """The ids of different chunks."""
-        if len(self.memo) > MEMO_CHUNKS:
+        if len(self.memo) > self.memo_chunks:
             self.old, self.memo = self.memo, {}
         memo = self.memo
         memo[b""] = b""
@@ -176,8 +177,9 @@ def _drops_white_space(spec: dict) -> bool:
     return bool(fixed and bytewise and pattern and safe and head.get("type") == "Split" and head.get("behavior") == "Removed" and head.get("invert"))
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, memo_chunks: int = MEMO_CHUNKS, slab_bytes: int = SLAB_BYTES) -> ChunkEncoder:
     """The worker's encoder of a vocabulary file, with its memo."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    key = path, memo_chunks, slab_bytes
+    if key not in _encoders:
+        _encoders[key] = ChunkEncoder(*key)
+    return _encoders[key]

@@ -25,6 +25,8 @@ from quern.llm._common import cut, stored
 
 CAPACITY = 2048
 END_ID = 0
+#: Chunks that a worker remembers and bytes that it encodes at a time: less than elsewhere, as in the pipeline its executor's heap is full by then.
+MEMO_CHUNKS, SLAB_BYTES = 150_000, 2_000_000
 #: Bits of a rank within its length.
 RANK_BITS = 48
 
@@ -112,7 +114,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
 
         tail, step = np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
         for b in batches:
-            for start, flat, counts in encoder(path).slabs(b.column(1)):
+            for start, flat, counts in encoder(path, MEMO_CHUNKS, SLAB_BYTES).slabs(b.column(1)):
                 rows = [], [], [], []
                 of, at = [], 0
                 raw = memoryview(flat).cast("B") if len(flat) else memoryview(b"")
