@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.catalogue import QUERIES, _read, query
 from quern.operators import expressions
+from quern.plans.materialise import cut
 
 __all__ = ["QUERIES"]
 
@@ -15,22 +16,22 @@ def _text(prefix: str, c: str):
 
 
 def _asset_expressions(spark, sf_dir):
-    """Suppliers as variables, written by the first lines of orders; orders as the expressions that use them.
+    """Suppliers as variables, written by the first lines of orders; orders with such a line as the expressions that use them.
 
     A supplier's values come from 50, 66 or 80 names, so some have more than the bound; every ninth part's name
     is not known, and supplier 7 also refers to itself. The kind of an order's expression goes by its key.
     """
     line, orders = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "orders")
-    first = line.where("l_linenumber = 1").groupBy("l_orderkey").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    first = cut(line.where("l_linenumber = 1").groupBy("l_orderkey").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey")))
+    of = cut(orders.join(first, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_suppkey"))
     name = F.concat(F.lit("img/"), (F.col("l_partkey") % F.expr("array(50, 66, 80)[l_suppkey % 3]")).cast("string"))
     literals = first.select(_text("d:", "l_orderkey").alias("id"), F.lit("literal").alias("kind"), F.when((F.col("l_suppkey") % 4 != 0) | (F.col("l_partkey") % 9 != 0), name).alias("text"))
     variables = first.select(_text("v:", "l_suppkey").alias("id"), F.lit("reference").alias("kind"), F.lit(None).cast("string").alias("text")).distinct()
     kind = F.expr("array('plus', 'conditional', 'interpolation', 'parens', 'call')[o_orderkey % 5]")
-    uses = orders.select(_text("o:", "o_orderkey").alias("id"), kind.alias("kind"), F.lit(None).cast("string").alias("text"))
+    uses = of.select(_text("o:", "o_orderkey").alias("id"), kind.alias("kind"), F.lit(None).cast("string").alias("text"))
     fixed = spark.createDataFrame([("base", "literal", "assets/a+b/"), ("png", "literal", ".png")], "id string, kind string, text string")
     writes = first.select(_text("v:", "l_suppkey").alias("id"), F.col("l_orderkey").cast("bigint").alias("position"), _text("d:", "l_orderkey").alias("operand"))
     ring = spark.createDataFrame([("v:7", -1, "v:7")], "id string, position bigint, operand string")
-    of = orders.join(first, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_suppkey")
     kinds = F.expr("array(array('base', v), array('base', v), array('base', v, 'png'), array(v), array(v))[o_orderkey % 5]")
     takes = of.withColumn("v", _text("v:", "l_suppkey")).select(_text("o:", "o_orderkey").alias("id"), F.posexplode(kinds).alias("position", "operand")).select("id", F.col("position").cast("bigint").alias("position"), "operand")
     return literals.unionByName(variables).unionByName(uses).unionByName(fixed), writes.unionByName(ring).unionByName(takes)
@@ -49,7 +50,7 @@ _ASSETS = """
 @query(f"WITH {_ASSETS} SELECT 'o:' || o_orderkey AS id, array_to_string(exact, ',') AS exact, CASE WHEN exact IS NULL THEN -1 ELSE len(exact) END AS n FROM sets")
 def bounded_strings(spark, sf_dir):
     nodes, operands = _asset_expressions(spark, sf_dir)
-    found = expressions.exact_values(nodes, operands).where("id like 'o:%'").join(operands.select("id").distinct(), "id", "left_semi")
+    found = expressions.exact_values(nodes, operands).where("id like 'o:%'")
     return found.select("id", F.array_join("exact", ",").alias("exact"), F.coalesce(F.size("exact"), F.lit(-1)).cast("bigint").alias("n"))
 
 
@@ -58,13 +59,13 @@ def bounded_strings(spark, sf_dir):
 def string_patterns(spark, sf_dir):
     nodes, operands = _asset_expressions(spark, sf_dir)
     found = expressions.patterns(nodes, operands, expressions.exact_values(nodes, operands))
-    return found.where("id like 'o:%' AND pattern is not null").join(operands.select("id").distinct(), "id", "left_semi")
+    return found.where("id like 'o:%' AND pattern is not null")
 
 
 @query("""WITH RECURSIVE n AS (SELECT o_orderkey, count(DISTINCT l_linenumber) AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)
     SELECT 'o:' || o_orderkey AS id, least(CASE WHEN o_orderkey % 400 = 0 THEN 1200 ELSE 0 END + lines + 1, 1024) AS nested, CASE WHEN o_orderkey % 400 = 0 THEN 1200 ELSE 0 END + lines + 1 <= 1024 AS complete FROM n""")
 def expression_provenance(spark, sf_dir):
-    line, orders = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct(), _read(spark, sf_dir, "orders")
+    line, orders = cut(_read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()), _read(spark, sf_dir, "orders")
     # An order's argument holds its lines; some hold 1,200 more, and lines that are calls hold a part that does not count.
     root = orders.select(_text("o:", "o_orderkey").alias("id"), F.lit("list").alias("kind"), F.lit(None).cast("string").alias("text"))
     leaf = line.select(F.concat_ws(":", F.lit("l"), "l_orderkey", "l_linenumber").alias("id"), F.when(F.col("l_linenumber") == 2, "call").otherwise("literal").alias("kind"), F.lit(None).cast("string").alias("text"))
@@ -124,7 +125,7 @@ def type_keys(spark, sf_dir):
     line = line.groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_returnflag")])
     order, at = _text("o:", "l_orderkey"), F.concat_ws(":", F.lit("l"), "l_orderkey", "l_linenumber")
     col = lambda c, name: (F.lit(c) if isinstance(c, str) else c).alias(name)
-    lines = line.join(part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    lines = cut(line.join(part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey"))
     top = lines.select(order.alias("id"), "l_orderkey").distinct().select("id", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("position"), col("interface", "kind"), F.when(F.col("l_orderkey") % 40 == 0, "file:///tmp/a.dart").otherwise("dart:core").alias("library"), col("Record", "name"), col("nonNullable", "nullability"))
     mid = lines.select(at.alias("id"), order.alias("parent"), F.col("l_linenumber").alias("position"), col("interface", "kind"), col("package:p/p.dart", "library"), F.col("p_brand").alias("name"), F.when(F.col("l_returnflag") == "N", "nonNullable").otherwise("legacy").alias("nullability"))
     supplier = F.col("l_suppkey")

@@ -24,33 +24,58 @@ CALLS = ("call", "creation", "closure")
 _STRINGS = "array<string>"
 
 
-def bottom_up(nodes: DataFrame, operands: DataFrame, leaf: Column, combine: Callable[[Column], Column], folds: Column | None = None) -> DataFrame:
+def bottom_up(nodes: DataFrame, operands: DataFrame | None, leaf: Column, combine: Callable[[Column], Column], folds: Column | None = None, holds: Column | None = None, rest: bool = False) -> DataFrame:
     """id, value: of nodes without operands ``leaf``, of others ``combine`` of the array of their operands' structs (position, value), in order.
 
-    Nodes on or above a ring of operands get no row. Of nodes that ``folds`` holds for, the first and
+    Without operands the nodes form trees, and each one names its parent and its position there.
+    Nodes on or above a ring of operands get no row, or with ``rest`` a null. Nodes that ``holds``
+    does not hold for are leaves, whatever operands they have. Of nodes that ``folds`` holds for, the first and
     the last of equal operand values are combined, so that they may have any
     number of operands: repeats in between must change nothing.
+
+    A value goes to those that wait for it once, and only if some do. What a level has met is
+    written, its values are not: they are combined where they are read.
     """
-    slot = F.col("position") if folds is None else F.when(~folds, F.col("position"))
-    waits = cut(operands.join(nodes, "id").select("id", "position", "operand", slot.alias("slot")).distinct())
-    counts = waits.groupBy("id").agg(F.count("*").alias("n"))
-    inner = cut(nodes.join(counts, "id"))
-    fresh = cut(nodes.join(counts.select("id"), "id", "left_anti").select("id", leaf.alias("value")))
-    pieces, got = [fresh], None
-    while not fresh.isEmpty():
-        new = waits.join(fresh.select(F.col("id").alias("operand"), "value"), "operand").select("id", "position", "slot", "value")
-        got = cut(new if got is None else got.unionByName(new))
-        ends = got.groupBy("id", "value", "slot").agg(F.min("position").alias("a"), F.max("position").alias("b"), F.count("*").alias("m"))
-        both = ends.select("id", "value", "a", "m", F.explode(F.array_distinct(F.array("a", "b"))).alias("position"))
-        full = both.groupBy("id").agg(F.sum(F.when(F.col("position") == F.col("a"), F.col("m")).otherwise(0)).alias("have"), F.array_sort(F.collect_list(F.struct("position", "value"))).alias("args"))
-        ready = full.join(inner, "id").where("have = n").select("id", combine(F.col("args")).alias("value"))
-        fresh = cut(ready)
-        got = got.join(fresh.select("id"), "id", "left_anti")
+    if operands is None:
+        links, of, up = None, nodes.where("parent is not null").select(F.col("parent").alias("id")), ["parent", "position"]
+    else:
+        folded = None if folds is None else nodes.where(folds).select("id", F.lit(True).alias("fold"))
+        links, up = operands.select("id", "position", "operand"), []
+        links = of = cut(links.withColumn("fold", F.lit(False)) if folded is None else links.join(folded, "id", "left").withColumn("fold", F.coalesce("fold", F.lit(False))))
+    rows = nodes.join(of.groupBy("id").agg(F.count("*").alias("_n")), "id", "left")
+    used = F.col("parent").isNotNull()
+    if links is not None:
+        rows, used = rows.join(links.select(F.col("operand").alias("id"), F.lit(True).alias("_some")).distinct(), "id", "left"), F.col("_some").isNotNull()
+    rows = cut(rows.select(*nodes.columns, (F.col("_n") if holds is None else F.when(holds, F.col("_n"))).alias("_n"), used.alias("_used")))
+    fresh = rows.where("_n is null").select("id", *up, "_used", leaf.alias("value"))
+    args = f"array<struct<position:{(nodes if links is None else links).schema['position'].dataType.simpleString()},value:{fresh.schema['value'].dataType.simpleString()}>>"
+    waiting = rows.where("_n is not null").withColumn("_have", F.lit(0).cast("bigint")).withColumn("_args", F.array().cast(args))
+    known, pieces = rows.agg(F.count(F.when(F.col("_n").isNull() & F.col("_used"), 1)).alias("told"), F.count("_n").alias("waits")).first(), [fresh]
+    while known.told and known.waits:
+        told = fresh.where("_used")
+        if links is None:
+            met = told.select(F.col("parent").alias("id"), "position", "value", F.lit(1).alias("m"))
+        else:
+            met = links.join(told.select(F.col("id").alias("operand"), "value"), "operand")
+            ends = met.where("fold").groupBy("id", "value").agg(F.min("position").alias("a"), F.max("position").alias("b"), F.count("*").alias("c"))
+            ends = ends.select("id", F.explode(F.array_distinct(F.array("a", "b"))).alias("position"), "value", "a", "c")
+            met = met.where("not fold").select("id", "position", "value", F.lit(1).cast("bigint").alias("m"))
+            if folds is not None:
+                met = met.unionByName(ends.select("id", "position", "value", F.when(F.col("position") == F.col("a"), F.col("c")).otherwise(0).alias("m")))
+        new = met.groupBy("id").agg(F.sum("m").alias("_m"), F.collect_list(F.struct("position", "value")).cast(args).alias("_new"))
+        step = waiting.join(new, "id", "left").withColumn("_have", F.col("_have") + F.coalesce("_m", F.lit(0)))
+        step = step.withColumn("_all", F.array_sort(F.concat("_args", F.coalesce("_new", F.array().cast(args)))))
+        # Equal values at one place are one.
+        step = step.withColumn("_args", F.filter("_all", lambda x, k: (k == 0) | ~x.eqNullSafe(F.get("_all", k - 1))))
+        step = cut(step.select(*nodes.columns, "_n", "_used", "_have", "_args"))
+        ready = F.col("_have") == F.col("_n")
+        known = step.agg(F.count(F.when(ready & F.col("_used"), 1)).alias("told"), F.count(F.when(~ready, 1)).alias("waits")).first()
+        fresh, waiting = step.where(ready).select("id", *up, "_used", combine(F.col("_args")).alias("value")), step.where(~ready)
         pieces.append(fresh)
-    out = pieces[0]
+    out = pieces[0].select("id", "value")
     for more in pieces[1:]:
-        out = out.unionByName(more)
-    return out
+        out = out.unionByName(more.select("id", "value"))
+    return out.unionByName(waiting.select("id", F.lit(None).cast(fresh.schema["value"].dataType).alias("value"))) if rest else out
 
 
 def _union(most: int | None):
@@ -88,8 +113,8 @@ def exact_values(nodes: DataFrame, operands: DataFrame) -> DataFrame:
         out = F.when(kind.isin(*SEQUENCES), _product(args)).when(kind == "conditional", _union(None)(args)).when(kind == "reference", _union(MOST_VALUES)(args))
         return out.when(kind == "accessor", _union(None)(args)).when(kind == "parens", F.get(args, F.lit(0))["value"]).cast(_STRINGS)
 
-    known = bottom_up(nodes, operands, leaf, combine, kind.isin("reference", "accessor", "conditional"))
-    return nodes.select("id").join(known, "id", "left").select("id", F.array_sort("value").alias("exact"))
+    known = bottom_up(nodes, operands, leaf, combine, kind.isin("reference", "accessor", "conditional"), rest=True)
+    return known.select("id", F.array_sort("value").alias("exact"))
 
 
 def _escaped(text: Column) -> Column:
@@ -98,19 +123,20 @@ def _escaped(text: Column) -> Column:
 
 def patterns(nodes: DataFrame, operands: DataFrame, exact: DataFrame) -> DataFrame:
     """id, pattern: an anchored regular expression for strings that are known in part, with a hole for each part that is not; null if nothing is known."""
-    known = cut(nodes.join(exact, "id", "left").withColumn("one", F.when(F.size("exact") == 1, F.get("exact", F.lit(0)))))
-    made = known.where(F.col("one").isNull() & F.col("kind").isin("plus", "interpolation", "parens")).select("id")
-    held = operands.join(made, "id", "left_semi")
+    # Only the one string of a set goes along, not the set.
+    single = exact.select("id", F.when(F.size("exact") == 1, F.get("exact", F.lit(0))).alias("one")).where("one is not null")
+    known = cut(nodes.join(single, "id", "left"))
+    made = F.col("one").isNull() & F.col("kind").isin("plus", "interpolation", "parens")
     hole = lambda x: F.coalesce(x["value"], F.lit(".*"))
     joined = lambda args: F.when(F.col("kind") == "parens", F.get(args, F.lit(0))["value"]).otherwise(F.array_join(F.transform(args, hole), ""))
-    found = bottom_up(known, held, F.when(F.col("one").isNotNull(), _escaped(F.col("one"))), joined)
+    found = bottom_up(known, operands, F.when(F.col("one").isNotNull(), _escaped(F.col("one"))), joined, holds=made)
     return found.select("id", F.when(F.col("value") != ".*", F.concat(F.lit("^"), "value", F.lit("$"))).alias("pattern"))
 
 
 def provenance(nodes: DataFrame, operands: DataFrame) -> DataFrame:
     """id, nested, complete: how many expressions an argument holds, itself included, not through calls and closures; beyond the bound the walk is not complete."""
-    inside = operands.join(nodes.where(~F.col("kind").isin(*CALLS, "reference", "accessor")).select("id"), "id", "left_semi")
-    found = bottom_up(nodes, inside, F.lit(1).cast("bigint"), lambda args: F.aggregate(args, F.lit(1).cast("bigint"), lambda s, x: s + x["value"]))
+    through = ~F.col("kind").isin(*CALLS, "reference", "accessor")
+    found = bottom_up(nodes, operands, F.lit(1).cast("bigint"), lambda args: F.aggregate(args, F.lit(1).cast("bigint"), lambda s, x: s + x["value"]), holds=through)
     return found.select("id", F.least("value", F.lit(MOST_NESTED)).alias("nested"), (F.col("value") <= MOST_NESTED).alias("complete"))
 
 
@@ -218,10 +244,9 @@ def type_keys(types: DataFrame) -> DataFrame:
         whole = F.concat(F.col("own"), F.lit("|"), F.size(args).cast("string"), F.lit("|"), F.array_join(F.transform(keys, _token), "|"))
         return F.when(F.col("own").isNotNull() & ~F.exists(keys, lambda k: k.isNull()), whole)
 
-    rows = cut(types.select("id", F.when(stable, own).alias("own")))
-    inside = types.where("parent is not null").select(F.col("parent").alias("id"), "position", F.col("id").alias("operand"))
-    found = bottom_up(rows, inside, F.concat("own", F.lit("|0")), combine)
-    return rows.select("id").join(found, "id", "left").select("id", F.col("value").alias("type_key"))
+    rows = types.select("id", "parent", "position", F.when(stable, own).alias("own"))
+    found = bottom_up(rows, None, F.concat("own", F.lit("|0")), combine, rest=True)
+    return found.select("id", F.col("value").alias("type_key"))
 
 
 def _token(text: Column) -> Column:
