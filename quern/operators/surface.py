@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quern.plans.materialise import bounded, cut
 
+#: Owners in the lists of names that are broadcast at most; beyond, the tasks that a name's list is dealt to.
+BROADCAST_OWNERS, PARTS = 1_000_000, 16
+
 
 def exported_names(own: DataFrame, exports: DataFrame) -> DataFrame:
     """library, name, exact: own(library, name) and what comes through exports(library, target, exact, show, hide).
@@ -82,11 +85,28 @@ def reference_candidates(refs: DataFrame, names: DataFrame) -> DataFrame:
 
     A name may be any top-level or member of that name, a dispatched one also any owner of
     noSuchMethod; a nameless reference blocks its namespace, an unmatched name nothing.
+
+    Each name has its list once; a row for each reference and owner is never made. References
+    that share a ref_id share their candidates.
     """
-    same = refs.where("name is not null").join(names, "name").select("ref_id", "owner_id")
-    catchers = bounded(names.where("name = 'noSuchMethod'").select("owner_id").distinct())
-    dispatched = refs.where("name is not null and can_dispatch").select("ref_id").join(catchers).select("ref_id", "owner_id")
-    found = same.unionByName(dispatched).groupBy("ref_id").agg(F.array_sort(F.collect_set("owner_id")).alias("candidates"))
-    none = F.array().cast(found.schema["candidates"].dataType)
-    outcome = F.when(F.col("name").isNull(), "namespace_blocker").when(F.size(F.coalesce("candidates", none)) > 0, "id_blocker").otherwise("none")
-    return refs.join(found, "ref_id", "left").select("ref_id", F.coalesce("candidates", none).alias("candidates"), outcome.alias("outcome"))
+    caught = names.where("name = 'noSuchMethod'").agg(F.array_sort(F.collect_set("owner_id")).alias("caught"))
+    lists = names.groupBy("name").agg(F.array_sort(F.collect_set("owner_id")).alias("own"))
+    lists = cut(lists.crossJoin(F.broadcast(caught)).select("name", "own", F.array_sort(F.array_union("own", "caught")).alias("any")))
+    asked, keys = refs, ["name"]
+    if (lists.agg(F.sum(F.size("any"))).first()[0] or 0) <= BROADCAST_OWNERS:
+        lists = F.broadcast(lists)
+    else:
+        # Few names may have nearly all references: a name's list goes to several tasks.
+        asked, keys = asked.withColumn("_part", F.pmod(F.xxhash64("ref_id"), F.lit(PARTS)).cast("int")), ["name", "_part"]
+        lists = lists.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    met = asked.join(lists, keys, "left").crossJoin(F.broadcast(caught))
+    none = F.array().cast(lists.schema["own"].dataType)
+    of = F.when(F.col("ref_id").isNull() | F.col("name").isNull(), none).when(F.col("can_dispatch"), F.coalesce("any", "caught")).otherwise(F.coalesce("own", none))
+    found = met.select("ref_id", "name", of.alias("candidates"))
+    again = cut(refs.where("ref_id is not null").groupBy("ref_id").agg(F.count("*").alias("n")).where("n > 1").select("ref_id"))
+    if not again.isEmpty():
+        shared = found.join(again, "ref_id")
+        one = shared.groupBy("ref_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("candidates")))).alias("candidates"))
+        found = found.join(again, "ref_id", "left_anti").unionByName(shared.drop("candidates").join(one, "ref_id"))
+    outcome = F.when(F.col("name").isNull(), "namespace_blocker").when(F.size("candidates") > 0, "id_blocker").otherwise("none")
+    return found.select("ref_id", "candidates", outcome.alias("outcome"))
