@@ -54,20 +54,29 @@ class Model:
         return facts.join(bounded(t), yes).select("context", *facts.columns, F.lit("applies").alias("applicability"))
 
     @cached_property
-    def edge_contexts(self) -> DataFrame:
-        """Every edge once per context in which it may apply: applies or unknown."""
-        facts = cut(self.edges)
+    def _facts(self) -> DataFrame:
+        return cut(self.edges)
+
+    def _auxiliary(self, facts: DataFrame) -> DataFrame:
+        """facts and the auxiliary contexts in which they may apply."""
         aux = bounded(self.aux_targets.select(F.col("id").alias("context")))
         seen = facts.join(aux).withColumn("applicability", applies_to_auxiliary(F.col("condition"), F.col("context"))).where("applicability <> 'does_not_apply'")
-        configured = self._configured(facts)
-        return cut(configured.unionByName(seen.select(*configured.columns)))
+        return seen.select("context", *facts.columns, "applicability")
+
+    @cached_property
+    def edge_contexts(self) -> DataFrame:
+        """Every edge once per context in which it may apply: applies or unknown."""
+        return cut(self._configured(self._facts).unionByName(self._auxiliary(self._facts)))
 
     @cached_property
     def root_contexts(self) -> DataFrame:
         """context, id of the roots that apply."""
-        app = self._configured(self.roots.where("aux_id is null").select("id", "condition")).select("context", "id")
-        aux = self.roots.join(self.aux_targets.select(F.col("id").alias("aux_id")), "aux_id").select(F.col("aux_id").alias("context"), "id")
-        return cut(app.unionByName(aux).distinct())
+        return cut(self._rooted(self.roots).distinct())
+
+    def _rooted(self, roots: DataFrame) -> DataFrame:
+        app = self._configured(roots.where("aux_id is null").select("id", "condition")).select("context", "id")
+        aux = roots.join(self.aux_targets.select(F.col("id").alias("aux_id")), "aux_id").select(F.col("aux_id").alias("context"), "id")
+        return app.unionByName(aux)
 
     @cached_property
     def blockers(self) -> DataFrame:
@@ -117,29 +126,31 @@ class Model:
 
     @cached_property
     def integrity(self) -> DataFrame:
-        """context, dangling_edges, dangling_roots, unknown_edges, complete; the row ``unattributed`` counts facts of no context."""
-        known = self.nodes.select("id").distinct()
-        identity = ["src", "dst", "kind", "condition"]
-
-        def loose(df):
-            ends = [df.join(known.withColumnRenamed("id", end), end, "left_anti").select(*df.columns) for end in ("src", "dst")]
-            return ends[0].unionByName(ends[1]).dropDuplicates([c for c in ("context", *identity) if c in df.columns and c != "condition"] + ["_condition"])
-
-        keyed = lambda df: df.withColumn("_condition", F.to_json("condition"))
-        per = loose(keyed(self.edge_contexts.select("context", *identity))).groupBy("context").agg(F.count("*").alias("dangling_edges"))
-        roots = self.root_contexts.join(known, "id", "left_anti").groupBy("context").agg(F.count_distinct("id").alias("dangling_roots"))
-        unknown = self.edge_contexts.where("applicability = 'unknown'").groupBy("context").agg(F.count("*").alias("unknown_edges"))
+        """context, dangling_edges, dangling_roots, unknown_edges, complete; the row ``unattributed`` counts facts of no context.
+
+        Whether a fact dangles does not depend on the context, so only those that do are dealt out over contexts.
+        """
+        known = self.nodes.select("id")
+        identity = ["src", "dst", "kind", "_condition"]
+        edges = self._facts.select("src", "dst", "kind", "condition")
+        ends = [edges.join(known.withColumnRenamed("id", end), end, "left_anti").select(*edges.columns) for end in ("src", "dst")]
+        loose = cut(ends[0].unionByName(ends[1]).withColumn("_condition", F.to_json("condition")).dropDuplicates(identity))
+        held_edges = cut(self._configured(loose).unionByName(self._auxiliary(loose)).select("context", *identity))
+        per = held_edges.groupBy("context").agg(F.count("*").alias("dangling_edges"))
+        loose_roots = cut(self.roots.join(known, "id", "left_anti").select("id", "condition", "aux_id"))
+        roots = self._rooted(loose_roots).groupBy("context").agg(F.count_distinct("id").alias("dangling_roots"))
+        unknown = self._auxiliary(edges).where("applicability = 'unknown'").groupBy("context").agg(F.count("*").alias("unknown_edges"))
         counts = ["dangling_edges", "dangling_roots", "unknown_edges"]
         rows = self.contexts.select("context").join(per, "context", "left").join(roots, "context", "left").join(unknown, "context", "left")
-        attributed = keyed(self.edge_contexts).select("src", "dst", "kind", "_condition").distinct()
-        free = loose(keyed(self.edges.select(*identity)))
-        free = free.join(attributed.select("src", "dst", "kind", F.col("_condition").alias("_c")).withColumnRenamed("src", "_s").withColumnRenamed("dst", "_d").withColumnRenamed("kind", "_k"),
-            F.col("src").eqNullSafe(F.col("_s")) & F.col("dst").eqNullSafe(F.col("_d")) & F.col("kind").eqNullSafe(F.col("_k")) & F.col("_condition").eqNullSafe(F.col("_c")), "left_anti")
-        held = self._configured(self.roots.where("aux_id is null").select("id", "condition")).select("id", F.to_json("condition").alias("_condition")).distinct()
-        lost_app = self.roots.where("aux_id is null").select("id", F.to_json("condition").alias("_condition")).alias("r")
+        attributed = held_edges.select(*[F.col(c).alias(f"h_{c}") for c in identity]).distinct()
+        same = lambda c: F.col(c).eqNullSafe(F.col(f"h_{c}"))
+        free = loose.join(attributed, same("src") & same("dst") & same("kind") & same("_condition"), "left_anti")
+        of_app = loose_roots.where("aux_id is null").select("id", "condition")
+        held = self._configured(of_app).select("id", F.to_json("condition").alias("_condition")).distinct()
+        lost_app = of_app.select("id", F.to_json("condition").alias("_condition")).alias("r")
         lost_app = lost_app.join(held.alias("h"), (F.col("r.id") == F.col("h.id")) & F.col("r._condition").eqNullSafe(F.col("h._condition")), "left_anti").select("id")
-        lost_aux = self.roots.where("aux_id is not null").join(self.aux_targets.select(F.col("id").alias("aux_id")), "aux_id", "left_anti").select("id")
-        lost = lost_app.unionByName(lost_aux).join(known, "id", "left_anti").agg(F.count_distinct("id").alias("dangling_roots"))
+        lost_aux = loose_roots.where("aux_id is not null").join(self.aux_targets.select(F.col("id").alias("aux_id")), "aux_id", "left_anti").select("id")
+        lost = lost_app.unionByName(lost_aux).agg(F.count_distinct("id").alias("dangling_roots"))
         rest = free.agg(F.count("*").alias("dangling_edges")).join(lost).select(F.lit("unattributed").alias("context"), "dangling_edges", "dangling_roots", F.lit(0).cast("bigint").alias("unknown_edges"))
         out = rows.unionByName(rest).select("context", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
         return cut(out.withColumn("complete", F.expr(" + ".join(counts)) == 0))
