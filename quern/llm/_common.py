@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -62,3 +63,14 @@ def texts_of(column) -> list[bytes | None]:
 def once(df: DataFrame) -> DataFrame:
     """The same rows; what later columns use several times is computed once, not inlined into each use."""
     return df.select(F.explode(F.array(F.struct(*[F.col(c) for c in df.columns]))).alias("row")).select("row.*")
+
+
+def trimmed() -> None:
+    """Gives back to the system what a Python worker has freed: workers outlive their tasks, and later stages share the executor's memory with them."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass

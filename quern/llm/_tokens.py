@@ -18,6 +18,8 @@ from array import array
 
 import numpy as np
 
+from quern.llm._common import trimmed
+
 #: Chunks in a generation of a Python worker's memo, and the longest one kept. When a
 #: generation is full it becomes the old one and the one before goes, except for the
 #: chunks met again: memory stays bounded however large the input.
@@ -81,7 +83,7 @@ class ChunkEncoder:
                 ids, n = np.frombuffer(b"".join(each), dtype="<u4"), np.array([len(x) // 4 for x in each], dtype=np.int64)
             yield start, ids, n
             start = end
-        pa.default_memory_pool().release_unused()
+        trimmed()
 
     def _slab(self, texts) -> tuple[np.ndarray, np.ndarray]:
         import pyarrow as pa

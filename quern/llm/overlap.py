@@ -42,7 +42,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._common import cut, texts_of
+from quern.llm._common import cut, texts_of, trimmed
 from quern.llm.simhash import SLICE, bounded, components, links, majorities, shingle_hashes
 
 WIDTH = 5
@@ -119,7 +119,7 @@ def _banded(texts: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))
             columns = [b.column(0), pa.array(n, pa.int32()), pa.array(np.concatenate(fps).view(np.int64)), lists, *[pa.array(np.ascontiguousarray(sig[:, k])) for k in range(WORDS)]]
             yield pa.RecordBatch.from_arrays(columns, names=["h", "n", "fp", "keys", *words])
-        pa.default_memory_pool().release_unused()
+        trimmed()
 
     schema = "h bigint, n int, fp bigint, keys array<bigint>" + "".join(f", {w} bigint" for w in words)
     return texts.select("h", "text").mapInArrow(run, schema).dropDuplicates(["h"])
@@ -136,7 +136,7 @@ def _sets(texts: DataFrame) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["h", "set"])
-        pa.default_memory_pool().release_unused()
+        trimmed()
 
     return texts.dropDuplicates(["h"]).select("h", "text").mapInArrow(run, "h bigint, set array<bigint>")
 

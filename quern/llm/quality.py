@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._common import crc_mod, texts_of
+from quern.llm._common import crc_mod, texts_of, trimmed
 
 #: Labelled rows that a fit uses at most.
 TRAIN_ROWS = 20_000
@@ -180,6 +180,6 @@ def score(docs: DataFrame, trees: Trees, keep: list[str] | None = None, name: st
         for b in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             s = trees.score(features(texts_of(b.column(at)))).astype(np.float64)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(s)], names=[*keep, name])
-        pa.default_memory_pool().release_unused()
+        trimmed()
 
     return docs.select(*keep, *([] if text_at is None else ["text"])).mapInArrow(run, schema)

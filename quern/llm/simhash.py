@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm._common import cut, texts_of
+from quern.llm._common import cut, texts_of, trimmed
 
 SHINGLE = 4
 DISTANCE = 4
@@ -91,7 +91,7 @@ def fingerprinted(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
         for b in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints(texts_of(b.column(1)), width).view(np.int64))], names=["doc_id", "fp"])
-        pa.default_memory_pool().release_unused()
+        trimmed()
 
     schema = docs.select("doc_id").withColumn("fp", F.lit(0).cast("bigint")).schema
     return docs.select("doc_id", "text").mapInArrow(run, schema)
