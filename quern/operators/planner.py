@@ -262,9 +262,14 @@ def plan(selected: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     inner, consumers = dependencies(selected, edges)
     stopped = cut(blocked(inner, consumers))
     active = selected.select("id").distinct().join(stopped.select("id"), "id", "left_anti")
+    return freed(active, inner, stopped), stopped
+
+
+def freed(active: DataFrame, inner: DataFrame, stopped: DataFrame) -> DataFrame:
+    """The units of the findings ``active`` (id), from the edges between selected ones and what is blocked (id)."""
     held = stopped.select("id")
     free = cut(inner.join(held.withColumnRenamed("id", "src"), "src", "left_anti").join(held.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
-    return units(cut(strong_components(active, free)), free), stopped
+    return units(cut(strong_components(active, free)), free)
 
 
 def fingerprint(rows: DataFrame, stopped: DataFrame, ordered: list[str]) -> str:
